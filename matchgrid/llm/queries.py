@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import near_dup
+from matchgrid.llm import embed_dup, language, mixing, near_dup, packing, secrets, tokens, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_warc": warc.op2_warc,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_embeddings": embed_dup.op5_embeddings,
+    "op6_tokens": tokens.op6_tokens,
     "op9_minhash": near_dup.op9_minhash,
+    "op10_language": language.op10_language,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+    "op4_mixing": mixing.OP4_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
