@@ -189,28 +189,37 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(node, component) over confirmed links that join all linked classes sharing a bucket.
 
     Rounds of stars. In round r an open bucket takes up to ``GROWTH ** r`` further
-    members as centres (the smallest member not yet a centre of each of so many hash
-    parts) and compares each with the members of other components that have not been
-    centres. A bucket closes when one component is left, or all but one of its members
-    have been centres. So no bucket gives its pairs at once, groups of copies cost one
-    edge a member, and no pair that could join two components goes untested.
+    members as centres, one of each of so many hash parts, and compares each with the
+    members of other components that have not been centres. The member whose buckets
+    hold most comes first: an original before its copies. A bucket closes when one
+    component is left, or all but one of its members have been centres. So no bucket
+    gives its pairs at once, groups of copies cost one edge a member, and no pair that
+    could join two components goes unjudged.
+
+    After round 0 the shingles of a class that occur in another component at all bound
+    any further intersection (``_shared``), which settles most pairs that are left
+    without comparing them.
     """
     members = classes.select("node", "n", F.explode("b").alias("k"))
-    shared = members.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("k")
-    members = members.join(shared, "k").select("k", "node", "n", F.lit(False).alias("done"), F.col("node").alias("g"))
-    members = write_table(members, "buckets")
+    shared = members.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("k", "w")
+    members = write_table(members.join(shared, "k").select("k", "node", "n", "w"), "buckets")
+    order = members.groupBy("node").agg((-F.sum("w")).alias("o"))
+    members = members.join(order, "node").select("k", "node", "n", "o", F.col("n").alias("c"), F.lit(False).alias("done"), F.col("node").alias("g"))
     tested = comp = None
     r = 0
-    while not members.isEmpty():
+    while r == 0 or not members.isEmpty():
         part = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(GROWTH**r))
-        centres = members.where("not done").groupBy("k", part.alias("part")).agg(F.min(F.struct("node", "n", "g")).alias("c")).select("k", "c")
-        marked = members.join(centres.select("k", F.col("c.node").alias("node"), F.lit(True).alias("now")), ["k", "node"], "left")
-        marked = write_table(marked.withColumn("now", F.col("now").isNotNull()), "marked")
-        centres = marked.where("now").select("k", F.struct("node", "n", "g").alias("c"))
-        near = (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent) & (F.col("g") != F.col("c.g"))
-        once = ~F.col("done") & (~F.col("now") | (F.col("node") > F.col("c.node")))
-        edges = marked.join(centres, "k").where(once & near)
-        edges = edges.select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
+        best = F.min(F.struct("o", "node"))
+        centres = members.where("not done").groupBy("k", part.alias("part")).agg(best.alias("h")).select("k", F.col("h.node").alias("node"), F.lit(True).alias("now"))
+        marked = members.join(centres, ["k", "node"], "left").withColumn("now", F.col("now").isNotNull())
+        marked = write_table(marked, "marked")
+        hubs = marked.where("now").select("k", F.struct("node", "n", "c", "g").alias("h"))
+        # |a & b| <= min(c); a link needs percent * |a | b| <= 100 * |a & b|
+        near = (100 + percent) * F.least("c", "h.c") >= percent * (F.col("n") + F.col("h.n"))
+        near &= (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent) & (F.col("g") != F.col("h.g"))
+        once = ~F.col("done") & (~F.col("now") | (F.col("node") > F.col("h.node")))
+        edges = marked.join(hubs, "k").where(once & near)
+        edges = edges.select(F.greatest("node", "h.node").alias("u"), F.least("node", "h.node").alias("v")).distinct()
         edges = write_table(edges if tested is None else edges.join(tested, ["u", "v"], "left_anti"), "edges")
         found = (
             edges.join(texts.select(F.col("r").alias("u"), F.col("t").alias("tu")), "u")
@@ -222,15 +231,39 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         if comp is not None:
             links = links.union(comp.select("node", "component"))
         comp = connected_components(links)
-        label = marked.select("k", "node", "n", (F.col("done") | F.col("now")).alias("done")).join(comp, "node", "left").withColumn("g", F.coalesce("component", "node"))
-        still = label.groupBy("k").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count_if(~F.col("done")).alias("left"))
-        still = still.where("g0 <> g1 and left > 1").select("k")
-        members = write_table(label.join(still, "k").select("k", "node", "n", "done", "g"), "buckets")
-        tested = edges if tested is None else tested.union(edges)
+        label = marked.select("k", "node", "n", "o", "c", (F.col("done") | F.col("now")).alias("done")).join(comp, "node", "left").withColumn("g", F.coalesce("component", "node"))
+        members = _open(label)
         if r == 0:
-            texts = write_table(texts.join(members.select(F.col("node").alias("r")).distinct(), "r"), "texts")
+            texts = write_table(texts.join(members.select(F.col("node").alias("r"), "g").distinct(), "r"), "texts")
+            bound = _shared(texts).where(F.col("c") * 100 >= F.col("n") * percent)
+            members = _open(members.drop("n", "c").join(bound, "node").select("k", "node", "n", "o", "c", "done", "g"))
+        members = write_table(members, "buckets")
+        tested = edges if tested is None else tested.union(edges)
         r += 1
-    return comp if comp is not None else classes.select("node", F.col("node").alias("component")).limit(0)
+    return comp
+
+
+def _open(label: DataFrame) -> DataFrame:
+    """Members of buckets with two components at least and a pair that nobody has judged."""
+    still = label.groupBy("k").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count_if(~F.col("done")).alias("left"))
+    still = still.where("g0 <> g1 and left > 1").select("k")
+    return label.join(still, "k").select("k", "node", "n", "o", "c", "done", "g")
+
+
+def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = _Words()
+    for batch in batches:
+        sets = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(2).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "g", "x"])
+
+
+def _shared(texts: DataFrame) -> DataFrame:
+    """(node, n, c): a class's shingles, and those of them that occur in another component of ``texts(r, g, t)``."""
+    sets = texts.select("r", "g", "t").mapInArrow(_shingler, "node long, g long, x array<long>")
+    each = sets.select("node", "g", F.explode("x").alias("x"))
+    wide = each.groupBy("x").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("x")
+    common = each.join(wide, "x").groupBy("node").agg(F.count("*").alias("c"))
+    return sets.select("node", F.size("x").cast("long").alias("n")).join(common, "node")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
