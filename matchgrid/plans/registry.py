@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from matchgrid.plans import market_queries
+
+_ALL = dict(market_queries.QUERIES)
+
+QUERIES = {k: f for k, (f, _) in _ALL.items()}
+ORACLE_SQL: dict[str, str] = {k: sql for k, (_, sql) in _ALL.items() if sql}
