@@ -4,9 +4,8 @@
    sets form one class before anything is compared, so exact copies cost nothing.
 2. One permutation fills ``BINS`` bins; empty bins borrow from bins that a
    universal hash picks (optimal densification). ``BANDS`` bands of bins are buckets.
-3. A bucket of k classes gives k - 1 edges: each class to a centre. A bucket whose
-   members are not all joined after that gets further centres, more each round, until
-   every pair in it is joined or was compared.
+3. A bucket of k classes gives k - 1 edges: each class to the bucket's hub. What a star
+   leaves apart is settled by a bound on shingles or compared exactly in blocks.
 4. Edges are confirmed on the full sets. Components of confirmed edges are the groups.
 """
 
@@ -29,8 +28,8 @@ BINS = 128
 BANDS = 32
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Centres of an open bucket in round r: GROWTH ** r.
-GROWTH = 4
+#: Classes of a block; a task compares two blocks of a family exactly.
+BLOCK = 512
 #: Entries of a worker's word cache; it is emptied when full.
 WORD_CACHE = 300_000
 
@@ -188,66 +187,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(node, component) over confirmed links that join all linked classes sharing a bucket.
 
-    Rounds of stars. In round r an open bucket takes up to ``GROWTH ** r`` further
-    members as centres, one of each of so many hash parts, and compares each with the
-    members of other components that have not been centres. The member whose buckets
-    hold most comes first: an original before its copies. A bucket closes when one
-    component is left, or all but one of its members have been centres. So no bucket
-    gives its pairs at once, groups of copies cost one edge a member, and no pair that
-    could join two components goes unjudged.
-
-    After round 0 the shingles of a class that occur in another component at all bound
-    any further intersection (``_shared``), which settles most pairs that are left
-    without comparing them.
+    First a star a bucket: its members against its hub, the member whose buckets hold most
+    (an original before its copies). That joins groups of copies at one edge a member.
+    Buckets that still hold two components are open. The shingles of a class that occur in
+    another open component at all bound any further intersection, which settles most
+    classes; the others are compared exactly within families of buckets that share
+    members, in blocks. No step gives the pairs of a bucket, and no pair that could join
+    two components goes unjudged.
     """
     members = classes.select("node", "n", F.explode("b").alias("k"))
     shared = members.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("k", "w")
     members = write_table(members.join(shared, "k").select("k", "node", "n", "w"), "buckets")
     order = members.groupBy("node").agg((-F.sum("w")).alias("o"))
-    members = members.join(order, "node").select("k", "node", "n", "o", F.col("n").alias("c"), F.lit(False).alias("done"), F.col("node").alias("g"))
-    tested = comp = None
-    r = 0
-    while r == 0 or not members.isEmpty():
-        part = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(GROWTH**r))
-        best = F.min(F.struct("o", "node"))
-        centres = members.where("not done").groupBy("k", part.alias("part")).agg(best.alias("h")).select("k", F.col("h.node").alias("node"), F.lit(True).alias("now"))
-        marked = members.join(centres, ["k", "node"], "left").withColumn("now", F.col("now").isNotNull())
-        marked = write_table(marked, "marked")
-        hubs = marked.where("now").select("k", F.struct("node", "n", "c", "g").alias("h"))
-        # |a & b| <= min(c); a link needs percent * |a | b| <= 100 * |a & b|
-        near = (100 + percent) * F.least("c", "h.c") >= percent * (F.col("n") + F.col("h.n"))
-        near &= (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent) & (F.col("g") != F.col("h.g"))
-        once = ~F.col("done") & (~F.col("now") | (F.col("node") > F.col("h.node")))
-        edges = marked.join(hubs, "k").where(once & near)
-        edges = edges.select(F.greatest("node", "h.node").alias("u"), F.least("node", "h.node").alias("v")).distinct()
-        edges = write_table(edges if tested is None else edges.join(tested, ["u", "v"], "left_anti"), "edges")
-        found = (
-            edges.join(texts.select(F.col("r").alias("u"), F.col("t").alias("tu")), "u")
-            .join(texts.select(F.col("r").alias("v"), F.col("t").alias("tv")), "v")
-            .select("u", "v", "tu", "tv")
-            .mapInArrow(_confirmer(percent), "u long, v long")
-        )
-        links = write_table(found, "links")
-        if comp is not None:
-            links = links.union(comp.select("node", "component"))
-        comp = connected_components(links)
-        label = marked.select("k", "node", "n", "o", "c", (F.col("done") | F.col("now")).alias("done")).join(comp, "node", "left").withColumn("g", F.coalesce("component", "node"))
-        members = _open(label)
-        if r == 0:
-            texts = write_table(texts.join(members.select(F.col("node").alias("r"), "g").distinct(), "r"), "texts")
-            bound = _shared(texts).where(F.col("c") * 100 >= F.col("n") * percent)
-            members = _open(members.drop("n", "c").join(bound, "node").select("k", "node", "n", "o", "c", "done", "g"))
-        members = write_table(members, "buckets")
-        tested = edges if tested is None else tested.union(edges)
-        r += 1
-    return comp
+    members = members.join(order, "node")
+    hubs = members.groupBy("k").agg(F.min(F.struct("o", "node", "n")).alias("h")).select("k", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
+    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("node") != F.col("hub"))
+    edges = members.join(hubs, "k").where(near).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    found = (
+        edges.join(texts.select(F.col("r").alias("u"), F.col("t").alias("tu")), "u")
+        .join(texts.select(F.col("r").alias("v"), F.col("t").alias("tv")), "v")
+        .select("u", "v", "tu", "tv")
+        .mapInArrow(_confirmer(percent), "u long, v long")
+    )
+    star = connected_components(write_table(found, "links"))
+
+    label = members.select("k", "node").join(star, "node", "left").select("k", "node", F.coalesce("component", "node").alias("g"))
+    label = write_table(_open(label), "open")
+    nodes = label.select("node", "g").distinct()
+    sets = texts.join(nodes, F.col("r") == F.col("node")).select("node", "g", "t").mapInArrow(_shingler, "node long, g long, x array<long>")
+    sets = write_table(sets, "sets")
+    each = sets.select("node", "g", F.explode("x").alias("x"))
+    wide = each.groupBy("x").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("x")
+    common = each.join(wide, "x").groupBy("node").agg(F.count("*").alias("c"))
+    able = sets.join(common, "node").where(F.col("c") * 100 >= F.size("x") * percent).select("node")
+    label = write_table(_open(label.join(able, "node").select("k", "node", "g")), "open")
+    low = label.groupBy("k").agg(F.min("node").alias("v"))
+    family = connected_components(label.join(low, "k").select(F.col("node").alias("u"), "v"))
+    family = family.select("node", F.col("component").alias("f"))
+    parts = family.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    dealt = sets.join(family.join(parts, "f"), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("f", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "node", "g", "x")
+    rest = dealt.groupBy("f", "b1", "b2").applyInArrow(_comparer(percent), "u long, v long")
+    rest = write_table(rest, "links")
+    return connected_components(rest.union(star.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
 def _open(label: DataFrame) -> DataFrame:
-    """Members of buckets with two components at least and a pair that nobody has judged."""
-    still = label.groupBy("k").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count_if(~F.col("done")).alias("left"))
-    still = still.where("g0 <> g1 and left > 1").select("k")
-    return label.join(still, "k").select("k", "node", "n", "o", "c", "done", "g")
+    """Members of buckets that hold two components at least."""
+    still = label.groupBy("k").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("k")
+    return label.join(still, "k").select("k", "node", "g")
 
 
 def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +246,45 @@ def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "g", "x"])
 
 
-def _shared(texts: DataFrame) -> DataFrame:
-    """(node, n, c): a class's shingles, and those of them that occur in another component of ``texts(r, g, t)``."""
-    sets = texts.select("r", "g", "t").mapInArrow(_shingler, "node long, g long, x array<long>")
-    each = sets.select("node", "g", F.explode("x").alias("x"))
-    wide = each.groupBy("x").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("x")
-    common = each.join(wide, "x").groupBy("node").agg(F.count("*").alias("c"))
-    return sets.select("node", F.size("x").cast("long").alias("n")).join(common, "node")
+def _comparer(percent: int):
+    """Links that join different components among one or two blocks of a family, found by exact intersections."""
+
+    def run(group: pa.Table) -> pa.Table:
+        one = group.column("b1")[0].as_py() == group.column("b2")[0].as_py()
+        node, g, block = (group.column(c).to_numpy() for c in ("node", "g", "b"))
+        lists = group.column("x").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(np.array(lists.value_lengths()))
+        sets = np.split(flat, ends[:-1])
+        size = np.array([len(x) for x in sets])
+        head = {int(c): int(c) for c in g}
+
+        def top(c: int) -> int:
+            while head[c] != c:
+                head[c] = head[head[c]]
+                c = head[c]
+            return c
+
+        first = np.flatnonzero(block == block.min())
+        second = first if one else np.flatnonzero(block != block.min())
+        value = np.concatenate([sets[i] for i in second]) if len(second) else flat[:0]
+        owner = np.repeat(np.arange(len(second)), size[second])
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        us, vs = [], []
+        for i in first:
+            lo, hi = np.searchsorted(value, sets[i], "left"), np.searchsorted(value, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(second))
+            for j in second[100 * common >= percent * (size[i] + size[second] - common)]:
+                p, q = top(int(g[i])), top(int(g[j]))
+                if p != q:
+                    head[p] = q
+                    us.append(int(node[i]))
+                    vs.append(int(node[j]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
