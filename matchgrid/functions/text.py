@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Latin letters that have no decomposition, and their spellings (fixed values).
 LATIN = {
@@ -26,7 +27,7 @@ def fold_ascii(text: str | None) -> str | None:
     return " ".join(plain.encode("ascii", "ignore").decode().split())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def ascii_name(names: pd.Series) -> pd.Series:
     """``fold_ascii`` in Arrow batches (Spark has no Unicode normalisation)."""
     return names.map(fold_ascii, na_action="ignore")

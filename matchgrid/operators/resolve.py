@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from matchgrid.functions.text import ascii_name
 
@@ -56,7 +57,7 @@ def token_set_ratio(a: str | None, b: str | None) -> int:
     return max(scores)
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], index=a.index, dtype="int32")
 
