@@ -5,6 +5,8 @@ All paths go to Spark's readers, so any store that Spark can read works.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,13 +27,24 @@ def csv(spark: SparkSession, paths: str | list[str], schema: str | None = None,
 
 
 def club_matches(spark: SparkSession, paths: list[str], encoding: str = "ISO-8859-1", missing_ok: bool = True) -> DataFrame:
-    """Domestic results of files named ``<league>_<season>.csv``: one scan, unreadable rows skipped, in date order.
+    """Domestic results of files named ``<league>_<season>.csv``, unreadable rows skipped, in date order.
 
-    A missing partition is skipped where ``missing_ok``; rows without teams or whole goals go.
+    A missing file is skipped where ``missing_ok``, one without a HomeTeam column always;
+    columns are taken by name, since seasons order them differently. Rows without teams or
+    whole goals go.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding).option("ignoreMissingFiles", str(missing_ok).lower())
-    raw = reader.schema(schemas.DOMESTIC).option("enforceSchema", False).csv(paths).select("*", F.col("_metadata.file_name").alias("source_file"))
-    return tidy_results(raw)
+    names = [c.split(" ")[0] for c in schemas.DOMESTIC.split(", ")]
+    frames = []
+    for path in paths:
+        if missing_ok and not _exists(spark, path):
+            continue
+        raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
+        if "HomeTeam" in raw.columns:
+            have = [F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names]
+            frames.append(raw.select(*have, F.col("_metadata.file_name").alias("source_file")))
+    if not frames:
+        return tidy_results(spark.createDataFrame([], schemas.DOMESTIC + ", source_file string"))
+    return tidy_results(reduce(DataFrame.union, frames))
 
 
 def tidy_results(raw: DataFrame) -> DataFrame:

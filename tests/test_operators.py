@@ -58,8 +58,9 @@ def test_streaming_ingest_adds_once(spark, tmp_path):
 
 
 def test_streaming_windows(spark, sf, tmp_path):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    src = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(str(tmp_path / "in"))
+    src = live.read(spark, str(tmp_path / "in"), rows.schema)
     q = live.event_windows(src, "ts", ["event_type"], [F.count("*").alias("n")], "1 hour").writeStream.outputMode("complete").format("memory").queryName("win").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
