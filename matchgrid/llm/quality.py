@@ -112,7 +112,7 @@ def thresholds(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", ris
     good = good.where("lo = 1 and hi = 1").select(F.col("doc_id").alias("g"))
     seen = scored.join(good, F.col(id_col) == F.col("g"), "left_semi").dropDuplicates([id_col])
     passed = lambda r: F.size(F.filter(F.array(*map(F.lit, RULES[r][1])), lambda c: F.coalesce(F.col(f"s_{r}") > c, F.lit(False))))
-    bins = seen.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), passed(r).alias("b"), F.lit(len(RULES[r][1])).alias("j"))) for r in RULES))).alias("x"))
+    bins = seen.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), passed(r).alias("b"), F.lit(len(RULES[r][1])).alias("j")) for r in RULES))).alias("x"))
     bins = write_table(bins.groupBy("stratum", "x.rule", "x.b", "x.j").agg(F.count("*").alias("n")), "bins")
     n = bins.groupBy("stratum", "rule").agg(F.sum("n").alias("n"))
     above = bins.where("b > 0").select("stratum", "rule", "n", F.explode(F.sequence(F.col("j") - F.col("b"), F.col("j") - 1)).alias("at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import embed_dup, language, mixing, near_dup, packing, secrets, tokens, warc
+from matchgrid.llm import embed_dup, language, licences, mixing, near_dup, packing, quality, secrets, tokens, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_embeddings": embed_dup.op5_embeddings,
     "op6_tokens": tokens.op6_tokens,
+    "op7_licences": licences.op7_licences,
+    "op8_quality": quality.op8_quality,
     "op9_minhash": near_dup.op9_minhash,
     "op10_language": language.op10_language,
 }
