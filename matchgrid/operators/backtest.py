@@ -186,7 +186,8 @@ def lopsided_listing(f: DataFrame, least: float) -> DataFrame:
     return f.where(F.col("elo_gap") >= least).orderBy(F.desc("elo_gap"), "match_id")
 
 
-def source_coverage(f: DataFrame) -> list[Column]:
+def source_coverage() -> list[Column]:
+    """Rows with bookmakers' odds, and with odds made from ratings. Needs odds_source."""
     return [F.count("*").alias("n"), F.count_if(F.col("odds_source").startswith("oddsportal")).alias("bookmaker"), F.count_if(F.col("odds_source") == "elo_fallback").alias("fallback")]
 
 

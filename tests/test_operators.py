@@ -168,3 +168,37 @@ def test_models_keep_folds_apart(spark):
     assert met.count() == 60 and met.where("prediction = y").count() > 50
     folds = models.with_folds(rows, "id", 5, "y").groupBy("y", "fold").count()
     assert folds.agg(F.max("count") - F.min("count")).first()[0] <= 8
+
+
+def test_ranks_before_each_match(spark):
+    from matchgrid.operators import builders
+
+    m = spark.createDataFrame([("g", 1, "A", "B", 2, 0), ("g", 2, "B", "C", 1, 1), ("g", 3, "A", "C", 0, 1)], "grp string, r int, home string, away string, hg int, ag int")
+    got = {r["r"]: (r["rank_home"], r["rank_away"]) for r in builders.ranked_before(ratings.elo_fold(m, "grp", ["r"]), "grp", "r").collect()}
+    assert got == {1: (1, 1), 2: (2, 3), 3: (1, 2)}
+
+
+def test_stat_tables_do_not_fan_out(spark):
+    from matchgrid.operators import builders
+
+    a = spark.createDataFrame([("p", "A", 1), ("p", "B", 2)], "player string, team string, goals int")
+    b = spark.createDataFrame([("p", "A", 5), ("p", "A", 4), ("q", "A", 1)], "player string, team string, shots int")
+    assert sorted(map(tuple, builders.merge_stat_tables(a, [b]).collect())) == [("p", "A", 1, 4), ("p", "B", 2, None)]
+
+
+def test_club_dataset(spark):
+    import datetime
+
+    from matchgrid.operators import builders
+
+    day = datetime.datetime(2023, 8, 5)
+    m = spark.createDataFrame([(day, "2324", "E0", "A", "B", 2, 1), (None, "2324", "E0", "A", "B", 0, 0)], "date timestamp, season_code string, league string, home_team string, away_team string, home_score int, away_score int")
+    p = spark.createDataFrame([("A", "2022-2023", 3.0), ("B", "2022-2023", 1.0)], "team string, season string, lg_goals double")
+    got = builders.club_dataset(m, p).collect()
+    assert len(got) == 1 and got[0]["diff_lg_goals"] == 2.0 and got[0]["diff_elo"] == 0.0
+    t = builders.tournaments({"x": m.select("home_team"), "y": m.select("away_team")})
+    assert t.count() == 4 and set(t.columns) == {"home_team", "away_team", "tournament"}
+    teams = spark.createDataFrame([("A",), ("Z",)], "team string")
+    r = spark.createDataFrame([("A", 1600.0, 1, "CAF")], "team string, elo double, rank int, confederation string")
+    rows = {x["team"]: x for x in builders.tournament_matrix(teams, r, [p.drop("season"), p.drop("season").where("team = 'A'").withColumn("lg_goals", F.lit(9.0))]).collect()}
+    assert rows["A"]["lg_goals"] == 9.0 and rows["A"]["conf_caf"] == 1.0 and rows["Z"]["elo"] == 1500.0
