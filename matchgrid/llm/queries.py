@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import embed_dup, language, licences, mixing, near_dup, packing, quality, secrets, tokens, warc
+from matchgrid.llm import embed_dup, language, licences, mixing, near_dup, oracles, packing, quality, secrets, tokens, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -19,4 +19,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op5_embeddings": oracles.OP5_SQL,
+    "op8_quality": oracles.OP8_SQL,
+    "op9_minhash": oracles.OP9_SQL,
 }
