@@ -55,8 +55,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each step
     is a partial aggregation and an inner join that adaptive execution can split,
-    so a hub with a third of all edges does not land in one task. Every second
-    step is written to the shared folder; only its row count and checksum reach
+    so a hub with a third of all edges does not land in one task. Every pair of
+    steps is written to the shared folder; only its row count and checksum reach
     the driver. Self links and null ends are ignored.
     """
     e = (
@@ -69,9 +69,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = e.select(F.col("v").alias("u"), F.col("u").alias("v")).union(e.limit(0))
         # neighbours larger than u go to the smallest of u and its neighbours
-        large = large.join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        turned = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = turned.join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.union(low.select("u", F.col("m").alias("v"))).distinct()
