@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,52 +31,84 @@ SEQUENCE = 2048
 GRANULARITY = 8
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's cache of chunk ids; it is emptied when full.
-CHUNK_CACHE = 300_000
+#: Entries of each of a worker's two caches; half goes when one is full.
+CACHE = 600_000
 #: Pieces that one ranking task gets on average.
 RANK_ROWS = 20_000
 
+#: The vocabulary's pre-tokens in lower-cased text (fixed value).
+_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _worker: dict = {}
 
 
-def _odd(text: str) -> bool:
-    """Separators that ``str.split`` takes for white space and the vocabulary's pattern does not."""
-    return any(c in text for c in "\x1c\x1d\x1e\x1f")
-
-
-def encoder(vocabulary: str):
+class Encoder:
     """texts -> list of bytes, the ids as little-endian unsigned 32-bit numbers.
 
-    No token spans white space, so ids are kept by white-space chunk: a chunk is
-    tokenised once per worker, however often the corpus repeats it.
+    No token spans white space or two pre-tokens, so ids are kept by white-space chunk and
+    by pre-token: the tokenizer sees a pre-token once per worker, however often the corpus
+    repeats it, and all of a batch's new ones in one call. Pre-tokens are cut here only in
+    Latin-1 texts, where lower-casing and the vocabulary's pattern are beyond doubt; other
+    texts, and those with special tokens, go to the tokenizer as they are.
     """
-    if _worker.get("vocabulary") != vocabulary:
-        from tokenizers import Tokenizer
 
-        _worker.update(vocabulary=vocabulary, tokenizer=Tokenizer.from_file(vocabulary), chunks={})
-    tokenizer, chunks = _worker["tokenizer"], _worker["chunks"]
-
-    def ids_of(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def run(texts: list[str]) -> list[bytes]:
-        if len(chunks) > CHUNK_CACHE:
-            chunks.clear()
-        found = []
-        for text in texts:
-            if _odd(text):
-                found.append(ids_of([text])[0])
-                continue
-            parts = text.split()
-            try:
-                found.append(b"".join(map(chunks.__getitem__, parts)))
-            except KeyError:
-                new = [p for p in dict.fromkeys(parts) if p not in chunks]
-                chunks.update(zip(new, ids_of(new), strict=True))
-                found.append(b"".join(map(chunks.__getitem__, parts)))
-        return found
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
 
-    return run
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pre-tokens, from one call."""
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            self.pieces.update((p, self._direct(p)) for p in new)
+            return
+        data, start = ids.tobytes(), 0
+        for p, end in zip(new, (ends * 4).tolist(), strict=True):
+            self.pieces[p] = data[start:end]
+            start = end
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        for cache in (self.chunks, self.pieces):
+            if len(cache) > CACHE:  # the oldest entries are the commonest
+                for k in list(islice(cache, CACHE // 2, None)):
+                    del cache[k]
+        parts: list[list[str] | None] = [x.lower().split() if _plain(x) else None for x in texts]
+        chunks = self.chunks
+        new = set().union(*(p for p in parts if p is not None)).difference(chunks)
+        cut = {c: _PRE_TOKENS.findall(c) for c in new}
+        unknown = set().union(*cut.values()).difference(self.pieces)
+        if unknown:
+            self._learn(sorted(unknown))
+        get = self.pieces.__getitem__
+        for c, p in cut.items():
+            chunks[c] = b"".join(map(get, p))
+        get = chunks.__getitem__
+        return [b"".join(map(get, p)) if p is not None else self._direct(x) for x, p in zip(texts, parts, strict=True)]
+
+
+def _plain(text: str) -> bool:
+    """Latin-1 without special tokens and without the separators that only ``str.split`` takes for white space."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder."""
+    if _worker.get("vocabulary") != vocabulary:
+        _worker.update(vocabulary=vocabulary, encoder=Encoder(vocabulary))
+    return _worker["encoder"]
 
 
 def _cutter(vocabulary: str, length: int, granularity: int, end_id: int):
