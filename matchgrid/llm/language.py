@@ -8,142 +8,146 @@ order in which n-grams were met.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchgrid.llm.common import free_name, table
 
-#: Longest n-gram, and n-grams of a profile.
-LONGEST = 3
+#: N-grams have one to three characters; PROFILE of them make a profile.
 PROFILE = 400
 UNKNOWN = "und"
 FOLDS = 5
-#: Entries of a worker's caches of chunks and n-grams; they are emptied when full.
-CHUNK_CACHE = 200_000
-NGRAM_CACHE = 200_000
-
-_LETTERS = regex.compile(r"\p{L}+")
-
-
-class Ngrams:
-    """Chunks of text to arrays of n-gram numbers; a number means the same n-gram until the caches are emptied."""
-
-    def __init__(self, known: list[str] = ()):
-        self.known = list(known)
-        self.clear()
-
-    def clear(self) -> None:
-        self.number = {g: i for i, g in enumerate(self.known)}
-        self.chunks: dict[str, np.ndarray] = {}
-
-    def of_chunk(self, chunk: str) -> np.ndarray:
-        ids = []
-        number = self.number
-        for word in _LETTERS.findall(chunk.lower()):
-            word = f"_{word}_"
-            for n in range(1, LONGEST + 1):
-                for i in range(len(word) - n + 1):
-                    gram = word[i : i + n]
-                    if gram != "_":
-                        ids.append(number.setdefault(gram, len(number)))
-        found = self.chunks[chunk] = np.array(ids, np.int32)
-        return found
-
-    def counts(self, text: str) -> np.ndarray:
-        """Count of each numbered n-gram in a text."""
-        if len(self.chunks) > CHUNK_CACHE or len(self.number) > NGRAM_CACHE + len(self.known):
-            self.clear()
-        chunks = Counter(text.split())
-        get, of = self.chunks.get, self.of_chunk
-        arrays = [a if (a := get(c)) is not None else of(c) for c in chunks]
-        if not arrays:
-            return np.zeros(0)
-        ids = np.concatenate(arrays)
-        weights = np.repeat(np.fromiter(chunks.values(), np.float64, len(arrays)), [len(a) for a in arrays])
-        return np.bincount(ids, weights, len(self.number))
+#: N-grams that a training task adds up before it gives them out.
+HELD = 500_000
+
+_BITS = 21
+_letters: list[np.ndarray] = []
+
+
+def _letter_table() -> np.ndarray:
+    """Code point -> itself for letters, 0 for all else; built once a worker."""
+    if not _letters:
+        _letters.append(np.fromiter((i if chr(i).isalpha() else 0 for i in range(0x110000)), np.int64, 0x110000))
+    return _letters[0]
+
+
+def key_of(gram: str) -> int:
+    """An n-gram's number: its code points, 21 bits each, ``_`` as 0 after a leading 1."""
+    n = 1
+    for c in gram:
+        n = n << _BITS | (0 if c == "_" else ord(c))
+    return n - (1 << 63) if n >> 63 else n
+
+
+_LEAD = {n: np.int64(key_of("_" * n)) for n in (1, 2)}
+
+
+def keys_of(text: str | None) -> np.ndarray:
+    """The numbers of a text's n-grams, repeats and all: of each run of letters, lower-cased and padded with ``_``, but ``_`` alone."""
+    if not text:
+        return np.empty(0, np.int64)
+    c = _letter_table()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    c = np.concatenate(([0], c, [0]))
+    c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]  # one gap between words
+    one = c[c != 0]
+    if not len(one):
+        return one
+    two = c[:-1] << _BITS | c[1:]
+    inner = c[1:-1] != 0
+    # a three-gram fills all 63 bits, so the leading 1 of the shorter ones is left out of it
+    three = (two[:-1] << _BITS | c[2:])[inner]
+    return np.concatenate((one | _LEAD[1], two | _LEAD[2], ~three))
+
+
+def _added(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, and their counts."""
+    order = np.argsort(keys, kind="stable") if counts is not None else None
+    k = np.sort(keys) if order is None else keys[order]
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    n = np.diff(np.r_[at, len(k)]) if order is None else np.add.reduceat(counts[order], at)
+    return k[at], n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of a task's documents, added up in the task."""
 
-    def flush():
-        for lang, n in totals.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([names[i] for i in at], pa.string()), pa.array(n[at].astype(np.int64))], names=["lang", "gram", "n"])
+    def rows():
+        for lang, (k, n) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    grams, totals = Ngrams(), {}
+    totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
+        found: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if len(grams.chunks) > CHUNK_CACHE or len(grams.number) > NGRAM_CACHE:
-                names = list(grams.number)
-                yield from flush()
-                totals = {}
-                grams.clear()
-            n = grams.counts(text.as_py())
-            old = totals.get(lang)
-            if old is None:
-                totals[lang] = n
-            elif len(old) < len(n):
-                n[: len(old)] += old
-                totals[lang] = n
-            else:
-                old[: len(n)] += n
-    names = list(grams.number)
-    yield from flush()
-
-
-def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, dict[str, int]]:
-    """language -> n-gram -> rank, over all rows with a language and a text.
+            found.setdefault(lang, []).append(keys_of(text.as_py()))
+            if len(found[lang]) >= 64:
+                _merge(totals, lang, found.pop(lang))
+        for lang, keys in found.items():
+            _merge(totals, lang, keys)
+        if sum(len(k) for k, _ in totals.values()) > HELD:
+            yield from rows()
+            totals = {}
+    yield from rows()
+
+
+def _merge(totals: dict, lang: str, arrays: list[np.ndarray]) -> None:
+    keys = np.concatenate(arrays)
+    if not len(keys):
+        return
+    k, n = _added(keys)
+    if lang in totals:
+        k, n = _added(np.concatenate((totals[lang][0], k)), np.concatenate((totals[lang][1], n)))
+    totals[lang] = k, n
+
+
+def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, dict[int, int]]:
+    """language -> n-gram number -> rank, over all rows with a language and a text.
 
     Each task adds up its own documents. What reaches the driver is ``size`` n-grams a
     language (more only where counts tie at the last rank).
     """
     used = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    total = used.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = used.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.rank().over(W.partitionBy("lang").orderBy(F.desc("n"))) - 1
-    found: dict[str, dict[str, int]] = {}
+    found: dict[str, dict[int, int]] = {}
     for lang, gram, r in total.withColumn("r", rank).where(F.col("r") < size).select("lang", "gram", "r").collect():
         found.setdefault(lang, {})[gram] = r
     return found
 
 
-def _judge(model: dict[str, dict[str, int]], size: int, text_at: int, names: list[str]):
+def _judge(model: dict[str, dict[int, int]], size: int, text_at: int, names: list[str]):
     langs = sorted(model)
-    known = sorted({g for p in model.values() for g in p})
-    ranks = np.full((len(langs), len(known)), size, np.int64)
-    at = {g: i for i, g in enumerate(known)}
-    absent = np.ones((len(langs), len(known)), bool)
+    known = np.array(sorted({g for p in model.values() for g in p}), np.int64)
+    # in a language's profile: its rank; else the place is always out by the whole size
+    ranks = np.full((len(langs), len(known)), 2 * size, np.int64)
     for i, lang in enumerate(langs):
-        for g, r in model[lang].items():
-            ranks[i, at[g]], absent[i, at[g]] = r, False
+        at = np.searchsorted(known, np.array(list(model[lang]), np.int64))
+        ranks[i, at] = list(model[lang].values())
 
-    def judge(counts: np.ndarray) -> tuple[str, float]:
-        seen = np.flatnonzero(counts)
-        if not len(seen) or not langs:
+    def judge(text: str | None) -> tuple[str, float]:
+        keys = keys_of(text)
+        if not len(keys) or not langs:
             return UNKNOWN, 0.0
-        c = counts[seen]
-        up = np.sort(c)
-        rank = len(c) - np.searchsorted(up, c, side="right")
+        keys, n = _added(keys)
+        up = np.sort(n)
+        rank = len(n) - np.searchsorted(up, n, side="right")
         top = rank < size
-        seen, rank = seen[top], rank[top]
-        mine = seen < len(known)
-        near, place = seen[mine], rank[mine]
-        out = np.where(absent[:, near], size, np.minimum(np.abs(ranks[:, near] - place), size)).sum(axis=1)
-        far = (out + size * (len(seen) - len(near))) / (size * len(seen))
+        keys, rank = keys[top], rank[top]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        mine = known[at] == keys
+        out = np.minimum(np.abs(ranks[:, at[mine]] - rank[mine]), size).sum(axis=1)
+        far = (out + size * (len(keys) - int(mine.sum()))) / (size * len(keys))
         best = int(far.argmin())
         return langs[best], float(1 - far[best])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Ngrams(known)
         for batch in batches:
-            found = [judge(grams.counts(t.as_py() or "")) for t in batch.column(text_at)]
+            found = [judge(t.as_py()) for t in batch.column(text_at)]
             kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] in names]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*kept, *more], names=names)
@@ -151,7 +155,7 @@ def _judge(model: dict[str, dict[str, int]], size: int, text_at: int, names: lis
     return run
 
 
-def identify(docs: DataFrame, model: dict[str, dict[str, int]], text_col: str = "text", size: int = PROFILE, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, dict[int, int]], text_col: str = "text", size: int = PROFILE, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with lang_pred and score.
 
     lang_pred: the language whose profile is nearest, the first by name where several

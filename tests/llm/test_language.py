@@ -16,7 +16,7 @@ def test_held_out_accuracy(spark):
 def test_distance_by_hand(spark):
     docs = spark.createDataFrame([("x", "aaa bb"), ("y", "cc dd cc"), (None, "zz")], "lang string, text string")
     model = language.profiles(docs)
-    assert set(model) == {"x", "y"} and model["y"]["c"] == 0 and model["x"]["a"] == 0
+    assert set(model) == {"x", "y"} and model["y"][language.key_of("c")] == 0 and model["x"][language.key_of("a")] == 0
     got = [tuple(r) for r in language.identify(spark.createDataFrame([("cc dd cc",), ("AAA bb",), (None,), ("12 !",), ("zz",)], "text string"), model, keep=[]).collect()]
     assert got[0] == ("y", 1.0) and got[1] == ("x", 1.0) and got[2] == got[3] == ("und", 0.0) and got[4] == ("x", 0.0)
 
@@ -27,3 +27,13 @@ def test_no_model_no_rows_and_clashing_names(spark):
     assert got.columns == ["doc_id", "text", "score", "lang_pred", "_score"] and [r["lang_pred"] for r in got.collect()] == ["und", "und"]
     assert language.profiles(docs.limit(0), "score") == {}
     assert language.identify(docs.limit(0), {}).count() == 0
+
+
+def test_numbers_of_n_grams_differ():
+    text = "Aé 日本!ab"
+    want = set()
+    for word in ("aé", "日本", "ab"):
+        word = f"_{word}_"
+        want |= {word[i : i + n] for n in (1, 2, 3) for i in range(len(word) - n + 1)} - {"_"}
+    assert len(set(language.keys_of(text).tolist())) == len(want)
+    assert len(language.keys_of(text)) == len(set(language.keys_of(text).tolist())) + 2  # a and _a, twice
