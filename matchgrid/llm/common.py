@@ -26,8 +26,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has written, in order.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/matchgrid/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/matchgrid/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "written_to", None)
+        if path in _written:
+            _delete(t.sparkSession, path)
+
+
+def forget_all_but(spark: SparkSession, *used: DataFrame) -> None:
+    """Delete all that this driver has written, but for what ``used`` read. For a caller whose earlier results are stored elsewhere."""
+    files = [f for u in used for f in u.inputFiles()]
+    for path in list(_written):
+        if not any(path.rsplit("/", 1)[-1] in f for f in files):
+            _delete(spark, path)
 
 
 def write_table(df: DataFrame, tag: str) -> DataFrame:
@@ -35,7 +63,9 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,14 +104,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = turned.join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = write_table(e, "cc")
+        new = write_table(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        forget(e)
+        e = new
         after = _checksum(e)
         if after == before:
             break
         before = after
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return members.union(e.select("v", "v")).distinct()
+    out = members.union(e.select("v", "v")).distinct()
+    out.written_to = e.written_to
+    return out
 
 
 def _checksum(e: DataFrame) -> tuple[int, int]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import connected_components, free_name, table, write_table
+from matchgrid.llm.common import connected_components, forget, free_name, table, write_table
 
 WORDS = 5
 BINS = 128
@@ -197,40 +197,52 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """
     members = classes.select("node", "n", F.explode("b").alias("k"))
     shared = members.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("k", "w")
-    members = write_table(members.join(shared, "k").select("k", "node", "n", "w"), "buckets")
+    written = members = write_table(members.join(shared, "k").select("k", "node", "n", "w"), "buckets")
+    # the one shuffle of whole texts; a merge join at every size, as the side that picks them grows with the corpus
+    nodes = members.select(F.col("node").alias("r")).distinct()
+    texts = write_table(texts.join(nodes.hint("merge"), "r", "left_semi"), "texts")
     order = members.groupBy("node").agg((-F.sum("w")).alias("o"))
     members = members.join(order, "node")
     hubs = members.groupBy("k").agg(F.min(F.struct("o", "node", "n")).alias("h")).select("k", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("node") != F.col("hub"))
     edges = members.join(hubs, "k").where(near).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     found = (
-        edges.join(texts.select(F.col("r").alias("u"), F.col("t").alias("tu")), "u")
+        edges.hint("merge")
+        .join(texts.select(F.col("r").alias("u"), F.col("t").alias("tu")), "u")
+        .hint("merge")
         .join(texts.select(F.col("r").alias("v"), F.col("t").alias("tv")), "v")
         .select("u", "v", "tu", "tv")
         .mapInArrow(_confirmer(percent), "u long, v long")
     )
-    star = connected_components(write_table(found, "links"))
+    found = write_table(found, "links")
+    star = connected_components(found)
+    forget(found)
 
     label = members.select("k", "node").join(star, "node", "left").select("k", "node", F.coalesce("component", "node").alias("g"))
     label = write_table(_open(label), "open")
+    forget(written)
     nodes = label.select("node", "g").distinct()
     sets = texts.join(nodes, F.col("r") == F.col("node")).select("node", "g", "t").mapInArrow(_shingler, "node long, g long, x array<long>")
     sets = write_table(sets, "sets")
+    forget(texts)
     each = sets.select("node", "g", F.explode("x").alias("x"))
     wide = each.groupBy("x").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("x")
     common = each.join(wide, "x").groupBy("node").agg(F.count("*").alias("c"))
     able = sets.join(common, "node").where(F.col("c") * 100 >= F.size("x") * percent).select("node")
-    label = write_table(_open(label.join(able, "node").select("k", "node", "g")), "open")
+    label, old = write_table(_open(label.join(able, "node").select("k", "node", "g")), "open"), label
+    forget(old)
     low = label.groupBy("k").agg(F.min("node").alias("v"))
-    family = connected_components(label.join(low, "k").select(F.col("node").alias("u"), "v"))
-    family = family.select("node", F.col("component").alias("f"))
+    families = connected_components(label.join(low, "k").select(F.col("node").alias("u"), "v"))
+    family = families.select("node", F.col("component").alias("f"))
     parts = family.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     dealt = sets.join(family.join(parts, "f"), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("f", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "node", "g", "x")
     rest = dealt.groupBy("f", "b1", "b2").applyInArrow(_comparer(percent), "u long, v long")
     rest = write_table(rest, "links")
-    return connected_components(rest.union(star.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    out = connected_components(rest.union(star.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    forget(label, sets, families, rest, star)
+    return out
 
 
 def _open(label: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -32,7 +33,7 @@ GRANULARITY = 8
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of each of a worker's two caches; half goes when one is full.
-CACHE = 600_000
+CACHE = 400_000
 #: Pieces that one ranking task gets on average.
 RANK_ROWS = 20_000
 
@@ -41,58 +42,58 @@ _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N
 _worker: dict = {}
 
 
+#: Bytes that byte-level vocabularies write as other characters, and those.
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
+class _Pieces(dict):
+    """pre-token -> ids; what is missing goes to the tokenizer's model."""
+
+    def __init__(self, tokenizer):
+        self.cut = tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        ids = self[piece] = array("I", [t.id for t in self.cut(written)]).tobytes()
+        return ids
+
+
+class _Chunks(dict):
+    """White-space chunk -> ids; what is missing is put together from its pre-tokens."""
+
+    def __init__(self, pieces: _Pieces):
+        self.piece = pieces.__getitem__
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = b"".join(map(self.piece, _PRE_TOKENS.findall(chunk)))
+        return ids
+
+
 class Encoder:
-    """texts -> list of bytes, the ids as little-endian unsigned 32-bit numbers.
+    """text -> bytes, the ids as little-endian unsigned 32-bit numbers.
 
     No token spans white space or two pre-tokens, so ids are kept by white-space chunk and
-    by pre-token: the tokenizer sees a pre-token once per worker, however often the corpus
-    repeats it, and all of a batch's new ones in one call. Pre-tokens are cut here only in
-    Latin-1 texts, where lower-casing and the vocabulary's pattern are beyond doubt; other
-    texts, and those with special tokens, go to the tokenizer as they are.
+    by pre-token: the model sees a pre-token once per worker, however often the corpus
+    repeats it. Pre-tokens are cut here only in Latin-1 texts, where lower-casing and the
+    vocabulary's pattern are beyond doubt; other texts, and those with special tokens, go
+    to the tokenizer as they are.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pre-tokens, from one call."""
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(new):
-            self.pieces.update((p, self._direct(p)) for p in new)
-            return
-        data, start = ids.tobytes(), 0
-        for p, end in zip(new, (ends * 4).tolist(), strict=True):
-            self.pieces[p] = data[start:end]
-            start = end
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.pieces = _Pieces(self.tokenizer)
+        self.chunks = _Chunks(self.pieces)
+
+    def __call__(self, text: str) -> bytes:
+        if not _plain(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for cache in (self.chunks, self.pieces):
             if len(cache) > CACHE:  # the oldest entries are the commonest
                 for k in list(islice(cache, CACHE // 2, None)):
                     del cache[k]
-        parts: list[list[str] | None] = [x.lower().split() if _plain(x) else None for x in texts]
-        chunks = self.chunks
-        new = set().union(*(p for p in parts if p is not None)).difference(chunks)
-        cut = {c: _PRE_TOKENS.findall(c) for c in new}
-        unknown = set().union(*cut.values()).difference(self.pieces)
-        if unknown:
-            self._learn(sorted(unknown))
-        get = self.pieces.__getitem__
-        for c, p in cut.items():
-            chunks[c] = b"".join(map(get, p))
-        get = chunks.__getitem__
-        return [b"".join(map(get, p)) if p is not None else self._direct(x) for x, p in zip(texts, parts, strict=True)]
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
 def _plain(text: str) -> bool:
@@ -124,8 +125,8 @@ def _cutter(vocabulary: str, length: int, granularity: int, end_id: int):
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 256):
                 rows = []
-                for key, ids in zip(keys[at : at + 256], encode([t or "" for t in texts.slice(at, 256).to_pylist()]), strict=True):
-                    ids += end
+                for key, text in zip(keys[at : at + 256], texts.slice(at, 256), strict=True):
+                    ids = encode(text.as_py() or "") + end
                     n = len(ids) // 4
                     for start in range(0, n, length):
                         piece = ids[4 * start : 4 * (start + length)]
