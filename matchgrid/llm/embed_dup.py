@@ -33,6 +33,8 @@ CELL = 2000
 BLOCK = 2048
 #: Room for rounding in what is copied over a border.
 SLACK = 1e-6
+#: Pivots lie farther apart than this, so that rounding in squared distances (about 1e-15), over the gap, stays far below SLACK.
+APART = 1e-3
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -68,11 +70,24 @@ def _digester(vec_at: int, names: list[str]):
     return run
 
 
+def _spread(p: np.ndarray) -> np.ndarray:
+    """The rows of ``p``, in order, but for those within ``APART`` of one already taken."""
+    taken = np.empty_like(p)
+    n = 0
+    for v in p:
+        d = taken[:n] - v
+        if not n or np.einsum("ij,ij->i", d, d).min() > APART * APART:
+            taken[n] = v
+            n += 1
+    return taken[:n]
+
+
 def _dealer(pivots: dict[int, np.ndarray], reach: float):
     """(cell, node, m, home, v): each class in its own cell, and in earlier cells that a partner can lie in."""
     gaps = {}
     for dim, p in pivots.items():
-        gaps[dim] = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-30))
+        gaps[dim] = np.array([np.sqrt(((p - q) ** 2).sum(axis=1)) for q in p])
+        np.fill_diagonal(gaps[dim], 1)  # a class is not copied into its own cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +190,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         pivots.setdefault(len(v), []).append(v)
     reach = np.sqrt(2 - 2 * cosine) + SLACK
     dealt = reps.mapInArrow(
-        _dealer({k: np.array(v) for k, v in pivots.items()}, reach),
+        _dealer({k: _spread(np.array(v)) for k, v in pivots.items()}, reach),
         f"label {dict(rows.dtypes)['label']}, dim int, cell int, node long, m long, home boolean, v array<double>",
     )
     dealt = write_table(dealt, "cells")

@@ -51,6 +51,30 @@ def test_cells_and_blocks_lose_and_invent_nothing(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == _brute(rows)
 
 
+def test_pivots_that_nearly_coincide_lose_nothing(spark, monkeypatch):
+    """Copies that differ in scale or in a last bit are classes of their own, and most pivots are among them."""
+    monkeypatch.setattr(embed_dup, "CELL", 10)
+    monkeypatch.setattr(embed_dup, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=8).astype(np.float32)
+    rows = []
+    for i in range(160):
+        v = hot.copy()
+        if i < 60:
+            v[i % 8] = np.nextafter(v[i % 8], np.float32(9 if i % 2 else -9))
+        v = v * np.float32(1 + i // 8)
+        if i >= 100:
+            v = v + (rng.normal(size=8) * 0.1).astype(np.float32) * np.abs(v).max()
+        rows.append((i, [float(x) for x in v], 1))
+    rows += [(200 + i, [float(np.float32(x)) for x in rng.normal(size=8)], 1) for i in range(40)]
+    got = embed_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).drop("embedding", "label")
+    assert sorted(map(tuple, got.collect())) == _brute(rows)
+    p = np.array([v for _, v, _ in rows])
+    p = embed_dup._spread(p / np.linalg.norm(p, axis=1)[:, None])
+    assert 40 < len(p) < 160
+    assert min(np.linalg.norm(p[i] - p[j]) for i in range(len(p)) for j in range(i)) > embed_dup.APART
+
+
 def test_bad_vectors_link_with_nothing(spark):
     v = [1.0, 0.0]
     rows = [(1, v, 1), (2, v, 1), (3, v, None), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [1.0, float("nan")], 1), (9, [1.0, float("inf")], 1), (10, [2.0, 0.0], 1), (2, v, 1), (11, [1e-200, 0.0], 1)]
