@@ -53,7 +53,7 @@ class _Pieces(dict):
         self.cut = tokenizer.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        written = piece.encode().decode("latin-1").translate(_BYTES)
         ids = self[piece] = array("I", [t.id for t in self.cut(written)]).tobytes()
         return ids
 

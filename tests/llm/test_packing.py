@@ -54,6 +54,14 @@ def test_null_empty_odd_and_repeated_rows(spark):
     _check(rows, docs)
 
 
+def test_every_code_point_below_256_has_the_tokenizers_ids():
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"{a}{chr(i)}{b}" for i in range(256) for a, b in (("", ""), ("bell ", " here"), ("ab", "cd"), ("!", "?"), ("", "'s 1"))]
+    texts += ["".join(map(chr, range(256))), "".join(chr(i) for i in range(256) if not 28 <= i <= 31)]
+    for text, ids in zip(texts, _ids(texts), strict=True):
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids[:-1], ascii(text)
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
