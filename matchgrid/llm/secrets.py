@@ -1,14 +1,17 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found in whole texts in Arrow batches. The hash of each candidate's
-value is counted over the corpus by distinct repositories and owners: a value that
-several owners hold is a copied example, one that stays with its owner looks live.
+value is counted over the corpus by distinct repositories and owners, and both decide: a
+value that many owners hold in many repositories, or a few owners in very many, is a
+copied example; a random-looking one with few copies looks live, whoever holds them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +40,14 @@ ADDED = {
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 64),
 }
 KINDS = [*BASE, *ADDED]
-#: Owners that may hold a value which still counts as one owner's own.
+#: Owners that may hold a value which still counts as one owner's own, however little random it looks.
 MAX_OWNERS = 1
+#: Widely copied is a value that more owners than this hold, in more repositories than this.
+WIDE_OWNERS, WIDE_REPOS = 4, 8
+#: And one in more repositories than this, even of one owner or of none named.
+HOT_REPOS = 100
+#: Bits a character (of the value's own distribution) from which a value looks random: 32 random hex digits have about 3.7.
+MIN_BITS = 3.1
 #: A value with fewer different characters looks like a placeholder.
 MIN_DISTINCT = 6
 MASK = "<SECRET>"
@@ -58,8 +67,13 @@ def spans_of(text: str) -> list[tuple[str, int, int, int, int]]:
     return [(kind, start, end, a, b) for start, _, kind, end, a, b in found]
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("hash", pa.int64()), ("plain", pa.bool_())])
-_SPAN_SQL = "struct<kind:string,start:long,end:long,from:long,to:long,hash:long,plain:boolean>"
+def looks_random(value: str) -> bool:
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= MIN_BITS
+
+
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("hash", pa.int64()), ("plain", pa.bool_()), ("random", pa.bool_())])
+_SPAN_SQL = "struct<kind:string,start:long,end:long,from:long,to:long,hash:long,plain:boolean,random:boolean>"
 
 
 def _finder(text_at: int, keep: list[int], names: list[str]):
@@ -75,7 +89,7 @@ def _finder(text_at: int, keep: list[int], names: list[str]):
                 sums.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e, _, _ in base).encode()).hexdigest())
                 spans.append(
                     [
-                        (k, s, e, a, b, xxhash.xxh3_64_intdigest(text[a:b].encode("utf-8", "replace")) - (1 << 63), len(set(text[a:b])) < MIN_DISTINCT)
+                        (k, s, e, a, b, xxhash.xxh3_64_intdigest(text[a:b].encode("utf-8", "replace")) - (1 << 63), len(set(text[a:b])) < MIN_DISTINCT, looks_random(text[a:b]))
                         for k, s, e, a, b in got
                     ]
                 )
@@ -100,8 +114,10 @@ def find_secrets(
 
     found: array of (kind, start, end, from, to, live, n_repos, n_owners) by start, then
     kind in the order of ``KINDS``; start and end in code points, end exclusive, from and
-    to around the value alone. live: at most ``max_owners`` owners hold the value and it
-    has at least ``MIN_DISTINCT`` different characters. Null and empty texts have no
+    to around the value alone. live: the value has at least ``MIN_DISTINCT`` different
+    characters; it looks random or at most ``max_owners`` owners hold it; at most
+    ``WIDE_OWNERS`` owners or at most ``WIDE_REPOS`` repositories hold it, and at most
+    ``HOT_REPOS`` repositories do. Null and empty texts have no
     candidates; null owners count together as one owner, so do null repositories.
     Repeated rows stay, and count once in their repository. An empty table gives an empty
     table. ``carry_text`` false leaves the text column out.
@@ -116,7 +132,8 @@ def find_secrets(
     some = scanned.where(F.size(cands) > 0)
     each = some.select(F.col(key).alias("r"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.explode(cands).alias("s"))
     known = frequencies(each.select(F.col("s.hash").alias("h"), "repo", "owner"))
-    live = (F.col("n_owners") <= max_owners) & ~F.col("s.plain")
+    wide = (F.col("n_owners") > WIDE_OWNERS) & (F.col("n_repos") > WIDE_REPOS) | (F.col("n_repos") > HOT_REPOS)
+    live = ~F.col("s.plain") & ~wide & (F.col("s.random") | (F.col("n_owners") <= max_owners))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind"))
     one = F.struct(F.col("s.start").alias("start"), order.alias("k"), *(F.col(f"s.{c}").alias(c) for c in ("kind", "end", "from", "to")), live.alias("live"), "n_repos", "n_owners")
     lists = each.join(known, F.col("s.hash") == F.col("h")).groupBy("r").agg(F.sort_array(F.collect_list(one)).alias("l"))

@@ -46,6 +46,22 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert secrets.mask_secrets(docs).columns == docs.columns
 
 
+def test_chance_copies_stay_live_and_wide_copies_are_examples(spark):
+    few, wide, hot, unowned, many = (hashlib.md5(x.encode()).hexdigest() for x in ("few", "wide", "hot", "unowned", "many"))
+    rows = [(i, f"o{i}", f"x {few}") for i in range(3)]
+    rows += [(100 + i, f"o{i % 6}", f"x {wide}") for i in range(12)]
+    rows += [(1000 + i, "hot", f"x {hot}") for i in range(secrets.HOT_REPOS + 1)]
+    rows += [(2000 + i, None, f"x {unowned}") for i in range(secrets.HOT_REPOS + 1)]
+    rows += [(3000 + i, "o1", f"x {many}") for i in range(secrets.WIDE_REPOS + 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    live = {}
+    for r in secrets.find_secrets(docs).collect():
+        live.setdefault(r["text"][2:], set()).add(r["found"][0]["live"])
+    assert live == {few: {True}, many: {True}, wide: {False}, hot: {False}, unowned: {False}}
+    masked = {r["text"] for r in secrets.mask_secrets(docs).collect()}
+    assert masked == {f"x {secrets.MASK}", f"x {wide}", f"x {hot}", f"x {unowned}"}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert secrets.find_secrets(docs).count() == 0
