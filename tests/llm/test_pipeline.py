@@ -33,6 +33,23 @@ def test_language_stage_rejects_letterless_documents(spark, sf):
     assert sorted((r["doc_id"], r["lang"]) for r in cp.language_stage(spark, docs, sf).collect()) == [(1, "en"), (4, "en")]
 
 
+def test_language_stage_rejects_unlearned_languages_and_letter_noise(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    fi = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    pl = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), n)) for n in (64, 200, 1000, 9000)]
+    bad = [fi[:64], fi, fi * 30, pl[:64], pl, pl * 30, *noise]
+    clean = ["The people of the town", "and they were there that day with all of the others"]
+    rows = [(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(bad)] + [(2 * 10**9 + i, t, None, "s", len(t)) for i, t in enumerate(clean)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["lang"] for r in cp.language_stage(spark, docs.unionByName(more), sf).collect()}
+    assert set(kept) == ids | {2 * 10**9, 2 * 10**9 + 1}
+    assert kept[2 * 10**9] == kept[2 * 10**9 + 1] == "en"
+
+
 def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
