@@ -1,8 +1,8 @@
 """Packing into training sequences: cutting-stock column generation over a length histogram.
 
 1. Documents are tokenised once, in Arrow batches. Full-length pieces are cut off
-   from the front; what is left is shorter than a sequence. The pieces, with their
-   ids, are written to the shared folder; all later steps read thin columns.
+   from the front; what is left is shorter than a sequence. The pieces (with their ids
+   where those are asked for) are written to the shared folder; later steps read thin columns.
 2. Rest lengths, rounded up to classes of ``GRANULARITY`` tokens, give a histogram of
    bounded size. The driver solves the cutting-stock program over it (``cutting``).
 3. Pieces of a class are ranked, in parallel and reproducibly; each rank has one slot
@@ -112,7 +112,7 @@ def encoder(vocabulary: str) -> Encoder:
     return _worker["encoder"]
 
 
-def _cutter(vocabulary: str, length: int, granularity: int, end_id: int):
+def _cutter(vocabulary: str, length: int, granularity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "units", "ids"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -131,7 +131,7 @@ def _cutter(vocabulary: str, length: int, granularity: int, end_id: int):
                     for start in range(0, n, length):
                         piece = ids[4 * start : 4 * (start + length)]
                         k = len(piece) // 4
-                        rows.append((doc, key, start, k, zlib.crc32(piece), n, -(-k // granularity), piece))
+                        rows.append((doc, key, start, k, zlib.crc32(piece), n, -(-k // granularity), piece if with_ids else None))
                     doc += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
@@ -150,7 +150,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    ids (left out, with its join, where ``with_ids`` is false): the piece's token ids, little-endian unsigned 32-bit. doc numbers the input
+    ids (neither written nor joined where ``with_ids`` is false): the piece's token ids, little-endian unsigned 32-bit. doc numbers the input
     rows, so repeated rows and repeated ids stay apart. Null text counts as empty: a
     document of the end id alone. A null id is kept. An empty table gives no pieces.
     Other columns of ``docs`` are not read. Sequence ids start at 0 without gaps.
@@ -158,7 +158,7 @@ def pack(
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, units int, ids binary"
-    pieces = write_table(thin.mapInArrow(_cutter(path, length, granularity, end_id), schema), "pieces")
+    pieces = write_table(thin.mapInArrow(_cutter(path, length, granularity, end_id, with_ids), schema), "pieces")
     placed = _place(pieces.drop("ids"), -(-length // granularity), pieces.count())
     if not with_ids:
         return placed
