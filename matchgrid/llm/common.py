@@ -7,8 +7,11 @@ only the tasks it ran.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,28 +21,45 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named (tests)."""
+    """The cluster's shared folder. Where none is named, a local session (tests) gets a temporary one; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="matchgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Folders that this driver has written, in order.
-_written: list[str] = []
+#: Folders that this driver has written and not deleted, in order.
+_written: dict[str, None] = {}
+_recorders = threading.local()
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/matchgrid/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written[path] = None
+    for paths in getattr(_recorders, "lists", []):
+        paths.append(path)
     return path
 
 
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths that this thread makes inside the block."""
+    lists = _recorders.__dict__.setdefault("lists", [])
+    paths: list[str] = []
+    lists.append(paths)
+    try:
+        yield paths
+    finally:
+        lists.pop()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _written.remove(path)
+    _written.pop(path, None)
 
 
 def forget(*tables: DataFrame) -> None:
@@ -50,14 +70,26 @@ def forget(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
-def forget_all_but(spark: SparkSession, *used: DataFrame) -> None:
-    """Delete all that this driver has written, but for what ``used`` read. For a caller whose earlier results are stored elsewhere."""
-    files = [f for u in used for f in u.inputFiles()]
-    for path in list(_written):
-        if not any(path.rsplit("/", 1)[-1] in f for f in files):
+def _read_by(used: tuple[DataFrame, ...]) -> set[str]:
+    return {part for u in used for f in u.inputFiles() for part in f.split("/")}
+
+
+def forget_paths(spark: SparkSession, paths: list[str], *used: DataFrame) -> None:
+    """Delete the written ``paths``, but for those that ``used`` read."""
+    kept = _read_by(used)
+    for path in paths:
+        if path in _written and path.rsplit("/", 1)[-1] not in kept:
             _delete(spark, path)
 
 
+def release(*results: DataFrame) -> None:
+    """Delete the working tables that results of this module's operators read; call it once they are stored elsewhere."""
+    kept = _read_by(results)
+    for path in list(_written):
+        if path.rsplit("/", 1)[-1] in kept:
+            _delete(results[0].sparkSession, path)
+
+
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again."""
     spark = df.sparkSession

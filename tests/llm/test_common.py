@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from matchgrid.llm import common
 from matchgrid.llm.common import connected_components, free_name
 
 
@@ -33,3 +35,15 @@ def test_components_of_chains_stars_and_random_links(spark):
 def test_free_names(spark):
     df = spark.createDataFrame([], "a int, A_x int, _b int")
     assert [free_name(df, c) for c in ("A", "c", "_b")] == ["_A", "c", "__b"]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)

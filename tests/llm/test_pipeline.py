@@ -1,6 +1,9 @@
+import os
+
 import corpus_pipeline as cp
 import numpy as np
-from matchgrid.llm import secrets
+from matchgrid.llm import common, secrets
+from matchgrid.llm.queries import QUERIES
 
 
 def test_stages_end_to_end(spark, sf):
@@ -55,3 +58,18 @@ def test_empty_documents(spark, sf):
     for _, stage in cp.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def test_other_results_survive_a_run_and_its_own_tables_go(spark, sf):
+    """An operator's result, and an earlier run's, can be read after a run; a run keeps only what its result reads."""
+    with common.recording() as all_paths:
+        found = QUERIES["op3_secrets"](spark, sf)
+        first = cp.run(spark, sf)
+    n = found.count(), first.count()
+    with common.recording() as paths:
+        again = cp.run(spark, sf)
+    assert (found.count(), first.count()) == n and again.count() == n[1]
+    left = [p for p in paths if os.path.exists(p.removeprefix("file://"))]
+    assert left and all(p.rsplit("/", 1)[-1].split("-")[0] in ("pieces", "counts", "mixing") for p in left)
+    common.release(found, first, again)
+    assert not [p for p in [*all_paths, *paths] if os.path.exists(p.removeprefix("file://"))]
