@@ -38,8 +38,9 @@ _SCORES = {
     "symbols": "n_symbols / word_chars", "capitals": "n_capitals / word_chars", "marks": "n_marks / word_chars", "lines": "n_dup_lines / n_lines",
     "repeats": "n_repeat_words / n_words", "long_words": "word_chars / n_words",
 }
-_GRID = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, (_, cs) in quality.RULES.items() for i, c in enumerate(cs))
-_R = quality.RISK / len(quality.RULES)
+_GRID = ", ".join(f"('{r}', {i + 1}, {c}::DOUBLE)" for r, (_, cs) in quality.RULES.items() for i, c in enumerate(cs))
+_STEPS = max(len(cs) for _, cs in quality.RULES.values())
+_R = quality.RISK
 
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, chr(0)) AS stratum, coalesce(text, '') AS t FROM documents),
@@ -54,12 +55,18 @@ f AS (
 s AS (SELECT doc_id, stratum, unnest([{', '.join(f"'{k}'" for k in _SCORES)}]) AS rule, unnest([{', '.join(f'coalesce({v}, 0)' for v in _SCORES.values())}]) AS score FROM f),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
 grid AS (SELECT * FROM (VALUES {_GRID}) v(rule, pos, cut)),
-h AS (SELECT stratum, rule, pos, cut, count(*) AS n, count(*) FILTER (score > cut) AS k FROM s JOIN good USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
-lv AS (SELECT {quality.LEVEL} / (greatest(count(DISTINCT stratum), 1) * {len(quality.RULES)}) AS lv FROM h),
+h AS (SELECT doc_id, stratum, strpos('0123456789abcdef', left(md5(CAST(doc_id AS VARCHAR)), 1)) <= {quality.TUNING} AS tunes, rule, pos, cut, score > cut AS hit FROM s JOIN good USING (doc_id) JOIN grid USING (rule)
+  WHERE doc_id IN (SELECT doc_id FROM f WHERE NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words))),
+last AS (
+  SELECT stratum, rule, max(pos) AS last FROM (SELECT stratum, rule, pos, count(*) FILTER (tunes AND hit) AS k, count(*) FILTER (tunes) AS n FROM h GROUP BY ALL)
+  WHERE k <= n * {quality.TUNED!r} GROUP BY 1, 2),
+v AS (SELECT stratum, step, doc_id, bool_or(hit AND pos <= step AND pos <= last) AS rejected FROM h JOIN last USING (stratum, rule), range(1, {_STEPS + 1}) t(step) WHERE NOT tunes GROUP BY ALL),
 b AS (
-  SELECT stratum, rule, pos, cut, CASE WHEN k >= n * {_R!r} THEN 1.0
-    ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_R!r}) + (n - i) * ln(1 - {_R!r})))) END <= lv AS ok FROM h, lv),
-c AS (SELECT stratum, rule, min(cut) AS cut FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY pos) AS held FROM b) WHERE held GROUP BY 1, 2),
+  SELECT stratum, step, CASE WHEN k >= n * {_R!r} THEN 1.0
+    ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_R!r}) + (n - i) * ln(1 - {_R!r})))) END
+    <= {quality.LEVEL} / (SELECT greatest(count(DISTINCT stratum), 1) FROM h) AS ok FROM (SELECT stratum, step, count(*) AS n, count(*) FILTER (rejected) AS k FROM v GROUP BY 1, 2)),
+st AS (SELECT stratum, max(step) AS step FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY step) AS held FROM b) WHERE held GROUP BY 1),
+c AS (SELECT stratum, rule, min(cut) AS cut FROM st JOIN last USING (stratum) JOIN grid USING (rule) WHERE pos <= step AND pos <= last GROUP BY 1, 2),
 x AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position([{', '.join(f"'{k}'" for k in _SCORES)}], rule)) AS failed FROM s JOIN c USING (stratum, rule) WHERE score > cut GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND failed IS NULL AS kept, coalesce(failed, '') AS failed_rules

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -41,7 +42,7 @@ def test_binomial_tail_is_exact(spark):
 
 
 def test_cutoffs_stop_at_the_first_that_fails(spark):
-    """20,000 good documents a stratum: 0.05 % score 0.9, the rest 0.03; the allowed share a rule is RISK / rules."""
+    """20,000 good documents a stratum: 0.05 % score 0.9, the rest 0.03; the path stops before the cutoff that rejects all."""
     rows = [(i, "a" if i % 2 else "b", 0.9 if i % 4000 < 2 else 0.03) for i in range(40000)] + [(50000, "few", 0.9)]
     scored = spark.createDataFrame(rows, "doc_id long, stratum string, s_symbols double")
     for r in quality.RULES:
@@ -50,10 +51,52 @@ def test_cutoffs_stop_at_the_first_that_fails(spark):
     labels = scored.select("doc_id", F.lit(1).alias("quality")).union(spark.createDataFrame([(0, 0)], "doc_id long, quality int"))
     got = {r["stratum"]: r["cutoffs"] for r in quality.thresholds(scored, labels).collect()}
     assert set(got) == {"a", "b"}
-    # 10 of 20,000 against 33 allowed on average: certified down to 0.03; at 0.02 all would go
     assert got["a"]["symbols"] == 0.03 and got["a"]["lines"] == 0.01
 
 
+def _tunes(i):
+    return int(hashlib.md5(str(i).encode()).hexdigest()[0], 16) < quality.TUNING
+
+
+def test_the_holdout_ends_the_path(spark):
+    """Documents that pick the path score 0; in the holdout 10 % of one stratum score 0.27, and 2 of 300 of another."""
+    ids = [i for i in range(4000) if not _tunes(i)][:1000]
+    rows = [(i, "many", 0.27 if k % 10 == 0 else 0.0) for k, i in enumerate(ids[:700])]
+    rows += [(i, "some", 0.27 if k in (5, 6) else 0.0) for k, i in enumerate(ids[700:])]
+    rows += [(i, "many", 0.0) for i in range(4000) if _tunes(i)][:200]
+    scored = spark.createDataFrame(rows, "doc_id long, stratum string, s_symbols double")
+    for r in quality.RULES:
+        if r != "symbols":
+            scored = scored.withColumn(f"s_{r}", F.lit(0.0))
+    got = {r["stratum"]: (r["steps"], r["cutoffs"]["symbols"]) for r in quality.thresholds(scored, scored.select("doc_id", F.lit(1).alias("quality"))).collect()}
+    # 0.25 is the fourth cutoff; the binomial tail of 2 in 300 at 0.03 is 0.006, of 70 in 700 far above
+    assert got == {"many": (3, 0.3), "some": (14, 0.01)}
+
+
+def test_a_second_holdout_loses_no_more_than_the_risk(spark):
+    """Cutoffs from every other label; the other good documents lose at most RISK, and bad ones go."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    got = quality.judge(docs, labels.where("doc_id % 2 = 0"), keep=["doc_id", "lang"]).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed")
+    met = got.groupBy("quality", "lang").agg(F.avg((~F.col("kept")).cast("int")).alias("lost"), F.count("*").alias("n")).collect()
+    assert [r for r in met if r["quality"] == 1 and r["n"] * r["lost"] > r["n"] * quality.RISK] == []
+    assert {r["lang"]: r["lost"] for r in met if r["quality"] == 0}["en"] > 0.5
+
+
+def test_rules_are_certified_and_reject(spark):
+    """On sf0.01 too: some rule has a cutoff and rejects documents that are labelled bad."""
+    sf = "/root/testdata/sf0.01"
+    got = quality.op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    assert got.where("failed_rules <> '' and quality = 0").count() > 0
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(200_000)) + " same five words again here" * 2
+    docs = spark.createDataFrame([(1, "en", text)], "doc_id long, lang string, text string")
+    assert [quality.features(docs).first()[c] for c in quality.BASE_FEATURES] == _features(text)
+
+
 def test_nulls_ties_and_clashing_names(spark):
     rows = [(1, None, None), (2, "", "en"), (3, "word " * 30, "en"), (3, "word " * 30, "en"), (None, " ".join(f"w{i}" for i in range(40)), "fr")]
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, lang string, kept int")
