@@ -51,6 +51,31 @@ def test_cells_and_blocks_lose_and_invent_nothing(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == _brute(rows)
 
 
+def test_copies_over_borders_stay_few(spark, monkeypatch, tmp_path):
+    """Vectors without structure, where pruning is hardest: below two rows a vector at two cells a label, and no label's cells cut another's."""
+    monkeypatch.setattr(embed_dup, "CELL", 500)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=64)], i % 3 if i % 10 else None) for i in range(3300)]
+    written = {}
+    kept = embed_dup.write_table
+    monkeypatch.setattr(embed_dup, "write_table", lambda df, tag: written.setdefault(tag, kept(df, tag)))
+    monkeypatch.setattr(embed_dup, "forget", lambda *t: None)
+    got = embed_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).drop("embedding", "label")
+    assert sorted(map(tuple, got.collect())) == sorted((i, 0, i, True) for i, _, _ in rows)
+    cells = written["cells"].groupBy("label").agg({"*": "count", "cell": "max"}).collect()
+    assert len(cells) == 3 and all(r["max(cell)"] == 1 and r["count(1)"] < 2 * 990 for r in cells)
+
+
+def test_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embed_dup, "CELL", 4)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=20_000)
+    rows = [(i, [float(x) for x in (base + rng.normal(size=20_000) * (0.1 if i % 2 else 2))], 1) for i in range(12)]
+    rows.append((50, rows[0][1][:-1], 1))
+    got = embed_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).drop("embedding", "label")
+    assert sorted(map(tuple, got.collect())) == _brute(rows)
+
+
 def test_pivots_that_nearly_coincide_lose_nothing(spark, monkeypatch):
     """Copies that differ in scale or in a last bit are classes of their own, and most pivots are among them."""
     monkeypatch.setattr(embed_dup, "CELL", 10)
