@@ -1,15 +1,20 @@
 """Token counts by trie-shared dynamic programming.
 
-Distinct pre-tokens (white-space words with the word-start mark) are walked in sorted
-order, which visits a trie's nodes depth first: a node is a prefix, and the best
-unigram score and token count of a prefix are computed once for all words below it.
-Terminal nodes give the words' token counts; a document's count is the sum over its
-words. Words and trie live in the task, bounded by a cache; nothing is shuffled.
+Distinct pre-tokens (white-space words with the word-start mark) are inserted in a trie. A
+node is a prefix; its best unigram score and token count are computed when it is made, once
+for all words below it, from the nodes above it. The node where a word ends gives the word's
+token count; a document's count is the sum over its words. A worker keeps its trie, and the
+terminal counts of its words, from batch to batch within bounds; nothing is shuffled.
+
+No public vocabulary here has unigram probabilities, and tokenizers are not trained: a
+piece's weight follows its rank in the file (``unigram_scores``), so the counts are those of
+that model and of no published tokenizer.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +31,10 @@ MARK = "▁"
 UNKNOWN_PENALTY = -10.0
 #: Entries of a worker's cache of word counts; it is emptied when full.
 WORD_CACHE = 500_000
+#: Nodes of a worker's trie (about 150 bytes each); a larger one is dropped before the next batch.
+TRIE_NODES = 500_000
+#: Longer words are scored along their path alone and leave no nodes.
+LONG_WORD = 64
 
 _worker: dict = {}
 
@@ -41,44 +50,54 @@ def unigram_scores(vocabulary: str) -> dict[str, float]:
 
 
 class PrefixCounter:
-    """Words to token counts, with the states along the current trie path kept."""
+    """A trie of words with the forward state of each prefix: its best score, and the fewest tokens that reach it."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.floor = min(scores.values(), default=0.0) + UNKNOWN_PENALTY
         self.nodes = 0
+        self._plant()
+
+    def _plant(self) -> None:
+        self.children: dict[int, int] = {}  # node << 21 | code point -> node
+        self.score, self.tokens = array("d", [0.0]), array("q", [0])
 
     def count(self, words: list[str]) -> dict[str, int]:
-        found = {}
-        path, states = "", [(0.0, 0)]
-        for word in sorted(words):
-            full = MARK + word
-            same = 0
-            for a, b in zip(path, full, strict=False):
-                if a != b:
-                    break
-                same += 1
-            del states[same + 1 :]
-            for end in range(same + 1, len(full) + 1):
-                states.append(self._state(full, end, states))
-            path = full
-            found[word] = states[-1][1]
-        return found
+        if len(self.score) > TRIE_NODES:
+            self._plant()
+        return {word: self._insert(MARK + word) if len(word) <= LONG_WORD else self._along(MARK + word) for word in words}
+
+    def _insert(self, full: str) -> int:
+        children, node, path = self.children, 0, [0]
+        for end, c in enumerate(full, 1):
+            key = node << 21 | ord(c)
+            node = children.get(key, 0)
+            if not node:
+                score, n = self._state(full, end, [(self.score[i], self.tokens[i]) for i in path[-self.longest :]])
+                node = children[key] = len(self.score)
+                self.score.append(score)
+                self.tokens.append(n)
+            path.append(node)
+        return self.tokens[node]
+
+    def _along(self, full: str) -> int:
+        states = [(0.0, 0)]
+        for end in range(1, len(full) + 1):
+            states = [*states[-self.longest :], self._state(full, end, states[-self.longest :])]
+        return states[-1][1]
 
     def _state(self, full: str, end: int, states: list[tuple[float, int]]) -> tuple[float, int]:
-        """The best (score, tokens) of the prefix that ends here; the fewer tokens where scores tie."""
+        """The best (score, tokens) of the prefix that ends here, of the states before it; the fewer tokens where scores tie."""
         self.nodes += 1
-        score, n = states[end - 1]
-        best = (score + self.floor, n + len(full[end - 1].encode("utf-8", "surrogatepass")))
+        score, n = states[-1]
+        best, fewest = score + self.floor, n + len(full[end - 1].encode("utf-8", "surrogatepass"))
         get = self.scores.get
-        for start in range(max(0, end - self.longest), end):
+        for start, (score, n) in enumerate(states, end - len(states)):
             s = get(full[start:end])
-            if s is not None:
-                score, n = states[start]
-                if (score + s, -n - 1) > (best[0], -best[1]):
-                    best = (score + s, n + 1)
-        return best
+            if s is not None and (score + s > best or score + s == best and n + 1 < fewest):
+                best, fewest = score + s, n + 1
+        return best, fewest
 
 
 def _counter(vocabulary: str, text_at: int, keep: list[int], names: list[str]):
@@ -106,7 +125,8 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     """``docs`` (or its columns ``keep``) with n_pretokens, n_distinct and n_tokens.
 
     Null, empty and white-space texts have 0 of each. Repeated rows stay; an empty table
-    gives an empty table. Whole texts are read, of any length.
+    gives an empty table. Whole texts are read, of any length; added names take a leading
+    underscore where ``docs`` has them.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     at = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]

@@ -15,7 +15,7 @@ def _brute(word):
 
 
 def test_counts_match_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: r for r in tokens.count_tokens(docs).collect()}
     memo = {}
     for r in docs.collect():
@@ -32,6 +32,23 @@ def test_prefixes_are_scored_once():
     assert counter.nodes == len(prefixes)
 
 
+def test_states_stay_from_batch_to_batch_and_within_bounds(monkeypatch):
+    counter = tokens.PrefixCounter(SCORES)
+    counter.count(["interest"])
+    before = counter.nodes
+    assert counter.count(["interested"]) == {"interested": _brute("interested")} and counter.nodes == before + 2
+    monkeypatch.setattr(tokens, "TRIE_NODES", 5)
+    assert counter.count(["interest"]) == {"interest": _brute("interest")} and len(counter.score) == 10
+
+
+def test_long_words_and_texts(spark):
+    words = ["ab" * 40, "x" * 5000, "interesting" * 300, "日本" * 200]
+    text = " ".join(words * 200)
+    got = tokens.count_tokens(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"), keep=["doc_id"]).collect()
+    want = (800, 4, 200 * sum(map(_brute, words)))
+    assert [tuple(r)[1:] for r in got] == [want, want]
+
+
 def test_nulls_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, " \n", 5), (4, "a a b", 5)], "doc_id long, text string, n_tokens int")
     got = {r["doc_id"]: (r["n_tokens"], r["n_pretokens"], r["n_distinct"]) for r in tokens.count_tokens(docs).collect()}
