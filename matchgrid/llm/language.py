@@ -8,6 +8,7 @@ order in which n-grams were met.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ UNKNOWN = "und"
 FOLDS = 5
 #: N-grams that a training task adds up before it gives them out.
 HELD = 500_000
+#: Parts in which a language's n-grams are ranked before the whole.
+SHARDS = 64
+#: Characters of a long text that are judged or counted at once; a text's n-grams are added up over such parts.
+CHUNK = 1 << 18
 
 _BITS = 21
 _letters: list[np.ndarray] = []
@@ -37,11 +42,11 @@ def _letter_table() -> np.ndarray:
 
 
 def key_of(gram: str) -> int:
-    """An n-gram's number: its code points, 21 bits each, ``_`` as 0 after a leading 1."""
+    """An n-gram's number: its code points, 21 bits each, ``_`` as 0 after a leading 1; of a three-gram, which fills all bits, the complement without it."""
     n = 1
     for c in gram:
         n = n << _BITS | (0 if c == "_" else ord(c))
-    return n - (1 << 63) if n >> 63 else n
+    return ~(n - (1 << 63)) if n >> 63 else n
 
 
 _LEAD = {n: np.int64(key_of("_" * n)) for n in (1, 2)}
@@ -64,9 +69,35 @@ def keys_of(text: str | None) -> np.ndarray:
     return np.concatenate((one | _LEAD[1], two | _LEAD[2], ~three))
 
 
+_SPACE = re.compile(r"\s")
+
+
+def parts_of(text: str | None) -> Iterator[str]:
+    """A text in parts of about ``CHUNK`` characters, cut at white space, so that their n-grams are those of the whole."""
+    text, at = text or "", 0
+    while len(text) - at > CHUNK:
+        gap = _SPACE.search(text, at + CHUNK)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-gram numbers of a text, ascending, and their counts."""
+    keys, n = _added(np.empty(0, np.int64))
+    for part in parts_of(text):
+        k, m = _added(keys_of(part))
+        keys, n = _added(np.concatenate((keys, k)), np.concatenate((n, m))) if len(keys) else (k, m)
+    return keys, n
+
+
 def _added(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Different keys, ascending, and their counts."""
     order = np.argsort(keys, kind="stable") if counts is not None else None
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
     k = np.sort(keys) if order is None else keys[order]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     n = np.diff(np.r_[at, len(k)]) if order is None else np.add.reduceat(counts[order], at)
@@ -84,9 +115,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found.setdefault(lang, []).append(keys_of(text.as_py()))
-            if len(found[lang]) >= 64:
-                _merge(totals, lang, found.pop(lang))
+            for part in parts_of(text.as_py()):
+                found.setdefault(lang, []).append(keys_of(part))
+                if len(found[lang]) >= 64 or len(part) >= CHUNK:
+                    _merge(totals, lang, found.pop(lang))
         for lang, keys in found.items():
             _merge(totals, lang, keys)
         if sum(len(k) for k, _ in totals.values()) > HELD:
@@ -108,14 +140,20 @@ def _merge(totals: dict, lang: str, arrays: list[np.ndarray]) -> None:
 def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, dict[int, int]]:
     """language -> n-gram number -> rank, over all rows with a language and a text.
 
-    Each task adds up its own documents. What reaches the driver is ``size`` n-grams a
-    language (more only where counts tie at the last rank).
+    Each task adds up its own documents. A profile holds the ``size`` most frequent n-grams,
+    those of smaller number first where counts tie at the end of it; equal counts in it share
+    a rank. What reaches the driver is at most ``size`` n-grams a language.
     """
     used = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     total = used.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.rank().over(W.partitionBy("lang").orderBy(F.desc("n"))) - 1
+    # the best of each of SHARDS parts of a language first, so that no task ranks all its n-grams
+    shard = F.pmod(F.xxhash64("gram"), F.lit(SHARDS))
+    order = (F.desc("n"), F.asc("gram"))
+    best = total.withColumn("s", shard).withColumn("p", F.row_number().over(W.partitionBy("lang", "s").orderBy(*order))).where(F.col("p") <= size)
+    lang = W.partitionBy("lang")
+    best = best.withColumn("p", F.row_number().over(lang.orderBy(*order))).where(F.col("p") <= size).withColumn("r", F.rank().over(lang.orderBy(F.desc("n"))) - 1)
     found: dict[str, dict[int, int]] = {}
-    for lang, gram, r in total.withColumn("r", rank).where(F.col("r") < size).select("lang", "gram", "r").collect():
+    for lang, gram, r in best.select("lang", "gram", "r").collect():
         found.setdefault(lang, {})[gram] = r
     return found
 
@@ -130,10 +168,9 @@ def _judge(model: dict[str, dict[int, int]], size: int, text_at: int, names: lis
         ranks[i, at] = list(model[lang].values())
 
     def judge(text: str | None) -> tuple[str, float]:
-        keys = keys_of(text)
+        keys, n = counts_of(text)
         if not len(keys) or not langs:
             return UNKNOWN, 0.0
-        keys, n = _added(keys)
         up = np.sort(n)
         rank = len(n) - np.searchsorted(up, n, side="right")
         top = rank < size
@@ -160,8 +197,10 @@ def identify(docs: DataFrame, model: dict[str, dict[int, int]], text_col: str =
 
     lang_pred: the language whose profile is nearest, the first by name where several
     are; ``und`` with score 0 where the text is null, empty or without letters, or the
-    model is empty. score: 1 less the distance, from 0 (no n-gram in place) to 1. Rows
-    stay as they are, repeated ones too; an empty table gives an empty table.
+    model is empty. score: 1 less the distance, from 0 (no n-gram in place) to 1. Whole
+    texts of any length are read, in parts. Rows stay as they are, repeated ones too; an
+    empty table gives an empty table; added names take a leading underscore where ``docs``
+    has them.
     """
     kept = [c for c in docs.columns if keep is None or c in keep]
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
