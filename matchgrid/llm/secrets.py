@@ -36,7 +36,8 @@ BASE = {
 ADDED = {
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 35),
+    # from the start of a run, and without going back, so that long runs cost no more than their length
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", 0, 35),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 64),
 }
 KINDS = [*BASE, *ADDED]

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from matchgrid.llm import secrets
 
@@ -65,3 +66,36 @@ def test_chance_copies_stay_live_and_wide_copies_are_examples(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert secrets.find_secrets(docs).count() == 0
+
+
+def test_whole_table_matches_brute_force(spark):
+    """Spans and verdicts of every document, with the frequencies counted in one dictionary."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    rows = docs.collect()
+    holders = {}
+    for r in rows:
+        for _, _, _, a, b in secrets.spans_of(r["text"] or ""):
+            holders.setdefault((r["text"] or "")[a:b], set()).add((r["doc_id"], r["source"]))
+
+    def live(value):
+        repos, owners = len(holders[value]), len({o for _, o in holders[value]})
+        wide = owners > secrets.WIDE_OWNERS and repos > secrets.WIDE_REPOS or repos > secrets.HOT_REPOS
+        return len(set(value)) >= secrets.MIN_DISTINCT and not wide and (secrets.looks_random(value) or owners <= secrets.MAX_OWNERS)
+
+    want = {}
+    for r in rows:
+        found = [(k, s, e, live(r["text"][a:b])) for k, s, e, a, b in secrets.spans_of(r["text"] or "")]
+        shown = ",".join(f"{k}:{s}:{e}" for k, s, e, ok in found if k in secrets.BASE or ok)
+        want[r["doc_id"]] = (shown, sum(x[3] for x in found), sum(not x[3] for x in found))
+    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_example"]) for r in secrets.op3_secrets(spark, sf).collect()}
+    assert got == want and any(n for _, n, _ in want.values())
+
+
+def test_long_texts_take_time_in_proportion():
+    began = time.perf_counter()
+    for text in ("eyJ" * 400_000, "eyJhbGciOiJI." * 80_000, "password " * 100_000, "-----BEGIN A" * 80_000, "ghp_" * 200_000, "a" * 1_000_000):
+        secrets.spans_of(text)
+    assert time.perf_counter() - began < 30
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    assert [(k, s, e) for k, s, e, _, _ in secrets.spans_of(f"x {jwt} y {jwt}") if k == "jwt"] == [("jwt", 2, 2 + len(jwt)), ("jwt", 5 + len(jwt), 5 + 2 * len(jwt))]
