@@ -49,6 +49,11 @@ def poisson(rate: Column, k: Column) -> Column:
     return F.exp(-rate) * F.pow(rate, k) / F.factorial(k.cast("int"))
 
 
+def likeliest_goals(rate: Column, most: int = 6) -> Column:
+    """The likeliest count of a Poisson rate up to ``most``; of two, the smaller."""
+    return F.least(F.greatest(F.ceil(rate) - 1, F.lit(0)), F.lit(most)).cast("int")
+
+
 def score_matrix(df: DataFrame, home: str, away: str, most: int = 8, normalised: bool = True) -> DataFrame:
     """``df`` with a row for each score (i, j) up to ``most`` goals and its probability p, i the home goals."""
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("j"))

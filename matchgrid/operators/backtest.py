@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 
 from matchgrid.functions import market, numbers
 
-THRESHOLDS = (0.34, 0.38, 0.42, 0.46, 0.5, 0.54, 0.58, 0.62, 0.66)
-ALPHAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0)
+# Grids of the sweeps (fixed values).
+THRESHOLDS = (0.33, 0.36, 0.38, 0.40, 0.42, 0.45, 0.48, 0.50, 0.55)
+ALPHAS = (0.0, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 1.0)
+#: Upset probabilities from which the gate opens: of the gated predictor, of the combined one, and of the upset model alone.
+GATE_TAUS = (0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60)
+COMBINED_TAUS = (0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65)
+UPSET_TAUS = (0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60)
+BET_TAUS = (0.40, 0.45, 0.50, 0.55)
+#: Elo gaps between the tiers.
+TIERS = (100.0, 200.0)
 
 
 def frame(predictions: DataFrame) -> DataFrame:
@@ -34,40 +42,55 @@ def summary() -> list[Column]:
     return [n.alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.sum("pnl").alias("pnl"), (F.sum("pnl") / n * 100).alias("roi")]
 
 
-def swept(df: DataFrame, name: str, values) -> DataFrame:
-    """Each row once for each of a few fixed values: an explode, not a join."""
-    return df.select("*", F.explode(F.array(*(F.lit(float(v)) for v in values))).alias(name))
+def _level(value: Column, grid) -> Column:
+    """How many values of an ascending grid are at most ``value``."""
+    return F.size(F.filter(F.array(*(F.lit(float(v)) for v in grid)), lambda v: value >= v))
+
+
+def _one_row_each(row: DataFrame, names: list[str], parts: tuple[str, ...], key: str) -> DataFrame:
+    """A row for each name of a single row that has a column ``part_i`` for part and the name's place."""
+    each = [F.struct(F.lit(n).alias(key), *(F.col(f"{p}_{i}").alias(p) for p in parts)) for i, n in enumerate(names)]
+    return row.select(F.explode(F.array(*each)).alias("s")).select("s.*")
 
 
 def threshold_sweep(f: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    return swept(f, "threshold", thresholds).where("max_prob >= threshold").groupBy("threshold").agg(*summary())
+    """(threshold, summary) of the rows whose max_prob reaches it: rows are added up once, by the thresholds they pass."""
+    bins = f.groupBy(_level(F.col("max_prob"), thresholds).alias("b")).agg(F.count("*").alias("n"), F.count_if("correct").alias("c"), F.sum("pnl").alias("p"))
+    passed = F.slice(F.array(*(F.lit(float(v)) for v in thresholds)), F.lit(1), F.col("b"))
+    n, pnl = F.sum("n"), F.sum("p")
+    return bins.select("n", "c", "p", F.explode(passed).alias("threshold")).groupBy("threshold").agg(n.alias("n"), (F.sum("c") / n).alias("accuracy"), pnl.alias("pnl"), (pnl / n * 100).alias("roi"))
 
 
 def rules() -> dict[str, Column]:
-    """Named selections by confidence, margin, entropy and edge over Elo."""
+    """Named selections by confidence, margin, entropy, edge over Elo and agreement with its pick or its favourite (fixed values)."""
     c = F.col
     return {
-        "all": F.lit(True),
-        "confident": c("max_prob") >= 0.5,
-        "very_confident": c("max_prob") >= 0.6,
-        "clear": c("prob_margin") >= 0.2,
-        "certain": c("norm_entropy") <= 0.9,
-        "edge": c("edge_vs_elo") >= 0.05,
-        "confident_edge": (c("max_prob") >= 0.5) & (c("edge_vs_elo") >= 0.05),
-        "agrees": c("agree_elo"),
-        "confident_agrees": (c("max_prob") >= 0.5) & c("agree_elo"),
-        "contrarian": ~c("agree_elo"),
+        "baseline_all": F.lit(True),
+        "max_prob>=0.42": c("max_prob") >= 0.42,
+        "max_prob>=0.45": c("max_prob") >= 0.45,
+        "max_prob>=0.45 & margin>=0.12": (c("max_prob") >= 0.45) & (c("prob_margin") >= 0.12),
+        "max_prob>=0.45 & entropy<=0.85": (c("max_prob") >= 0.45) & (c("norm_entropy") <= 0.85),
+        "max_prob>=0.42 & agree_elo": (c("max_prob") >= 0.42) & c("agree_elo"),
+        "max_prob>=0.42 & agree_elo_fav": (c("max_prob") >= 0.42) & c("agree_elo_fav"),
+        "edge>=0.05 & max_prob>=0.40": (c("edge_vs_elo") >= 0.05) & (c("max_prob") >= 0.40),
+        "edge>=0.08 & max_prob>=0.38": (c("edge_vs_elo") >= 0.08) & (c("max_prob") >= 0.38),
+        "disagree_elo & max_prob>=0.45": ~c("agree_elo") & (c("max_prob") >= 0.45),
     }
 
 
 def rule_report(f: DataFrame, made: dict[str, Column] | None = None) -> DataFrame:
-    """(rule, summary): rows go to each rule they meet, in one pass."""
-    hits = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in (made or rules()).items())))
-    return f.select("*", F.explode(hits).alias("rule")).groupBy("rule").agg(*summary())
+    """(rule, summary) of the rules that some row meets: one aggregation of conditional sums."""
+    made = made or rules()
+    sums = []
+    for i, v in enumerate(made.values()):
+        sums += [F.count_if(v).alias(f"n_{i}"), F.count_if(v & F.col("correct")).alias(f"c_{i}"), F.sum(F.when(v, F.col("pnl"))).alias(f"p_{i}")]
+    out = _one_row_each(f.agg(*sums), list(made), ("n", "c", "p"), "rule").where("n > 0")
+    return out.select("rule", "n", (F.col("c") / F.col("n")).alias("accuracy"), F.col("p").alias("pnl"), (F.col("p") / F.col("n") * 100).alias("roi"))
 
 
 def best_rule(report: DataFrame, least: int = 15) -> DataFrame:
-    return report.where(F.col("n") >= least).orderBy(F.desc("accuracy"), F.desc("n"), "rule").limit(1)
+    """The rule of the highest return among those with enough rows."""
+    return report.where(F.col("n") >= least).orderBy(F.desc("roi"), F.desc("n"), "rule").limit(1)
 
 
 def accuracy_sets(f: DataFrame, tournament: str, phase: str) -> DataFrame:
@@ -82,21 +105,57 @@ def gated_pick(p_upset: Column, tau: Column, favorite: Column, lopsided: Column,
     return F.when(~lopsided, own).when(p_upset >= tau, F.when(draw_wins, 0).otherwise(-favorite)).otherwise(favorite)
 
 
-def gate_sweep(f: DataFrame, taus, last_best: bool = False) -> DataFrame:
-    """(tau, n, accuracy, best): the first, or last, tau of the highest accuracy is best. Needs p_upset, favorite, is_lopsided, pick."""
+def gate_sweep(f: DataFrame, taus=GATE_TAUS, last_best: bool = False) -> DataFrame:
+    """(tau, n, accuracy, lopsided_accuracy, normal_accuracy, recall, precision, best) of gated picks.
+
+    recall and precision are those of upsets called among lopsided matches, 0 where
+    undefined; the first, or last, tau of the highest accuracy is best. Rows are added up
+    once, by the taus that their upset probability reaches. Needs p_upset, favorite,
+    is_lopsided, pick.
+    """
     p = {1: F.col("p_home"), 0: F.col("p_draw"), -1: F.col("p_away")}
-    gated = swept(f, "tau", taus).withColumn("g", gated_pick(F.col("p_upset"), F.col("tau"), F.col("favorite"), F.col("is_lopsided"), F.col("pick"), p))
-    out = gated.groupBy("tau").agg(F.count("*").alias("n"), F.avg((F.col("g") == F.col("result")).cast("double")).alias("accuracy"))
+    pick = lambda open_: gated_pick(F.lit(1.0 if open_ else 0.0), F.lit(0.5), F.col("favorite"), F.col("is_lopsided"), F.col("pick"), p)
+    hit = lambda open_: (pick(open_) == F.col("result")).cast("int")
+    bins = f.groupBy(_level(F.col("p_upset"), taus).alias("b"), "is_lopsided").agg(
+        F.count("*").alias("n"), F.count_if(F.col("result") != F.col("favorite")).alias("u"), F.sum(hit(True)).alias("open"), F.sum(hit(False)).alias("shut"),
+    )
+    grid = F.array(*(F.struct(F.lit(i + 1).alias("i"), F.lit(float(t)).alias("tau")) for i, t in enumerate(taus)))
+    each = bins.select("*", F.explode(grid).alias("g")).withColumn("on", F.col("b") >= F.col("g.i"))
+    right = F.when(F.col("on"), F.col("open")).otherwise(F.col("shut"))
+    lop = F.col("is_lopsided")
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    called, upsets, hits = total(lop & F.col("on"), F.col("n")), total(lop, F.col("u")), total(lop & F.col("on"), F.col("u"))
+    out = each.groupBy(F.col("g.tau").alias("tau")).agg(
+        F.sum("n").alias("n"), (F.sum(right) / F.sum("n")).alias("accuracy"), ratio(total(lop, right), total(lop, F.col("n"))).alias("lopsided_accuracy"),
+        ratio(total(~lop, right), total(~lop, F.col("n"))).alias("normal_accuracy"), F.coalesce(ratio(hits, upsets), F.lit(0.0)).alias("recall"), F.coalesce(ratio(hits, called), F.lit(0.0)).alias("precision"),
+    )
     order = F.desc("tau") if last_best else F.asc("tau")
     return out.withColumn("best", F.row_number().over(W.orderBy(F.desc("accuracy"), order)) == 1)
 
 
+def upset_sweep(f: DataFrame, taus=UPSET_TAUS) -> DataFrame:
+    """(tau, called, precision, recall, f1, best) of upsets called from ``tau`` on; the last tau of the highest F1 is best. Needs p_upset, upset."""
+    bins = f.groupBy(_level(F.col("p_upset"), taus).alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col("upset") == 1).alias("u"))
+    grid = F.array(*(F.struct(F.lit(i + 1).alias("i"), F.lit(float(t)).alias("tau")) for i, t in enumerate(taus)))
+    each = bins.select("*", F.explode(grid).alias("g")).withColumn("on", F.col("b") >= F.col("g.i"))
+    total = lambda v: F.sum(F.when(F.col("on"), F.col(v)).otherwise(0))
+    out = each.groupBy(F.col("g.tau").alias("tau")).agg(total("n").alias("called"), total("u").alias("hits"), F.sum("u").alias("upsets"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    precision, recall = ratio(F.col("hits"), F.col("called")), ratio(F.col("hits"), F.col("upsets"))
+    out = out.select("tau", "called", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"))
+    return out.withColumn("best", F.row_number().over(W.orderBy(F.desc("f1"), F.desc("tau"))) == 1)
+
+
 def blend_sweep(f: DataFrame, alphas=ALPHAS) -> DataFrame:
-    """(alpha, n, accuracy, log_loss) of blends of p_* with market m_*."""
-    mixed = market.blend((F.col("p_home"), F.col("p_draw"), F.col("p_away")), (F.col("m_home"), F.col("m_draw"), F.col("m_away")), F.col("alpha"))
-    rows = swept(f, "alpha", alphas).select("alpha", "result", *(x.alias(n) for x, n in zip(mixed, ("h", "d", "a"), strict=True)))
-    pick = market.argmax_outcome(F.col("h"), F.col("d"), F.col("a"))
-    return rows.groupBy("alpha").agg(F.count("*").alias("n"), F.avg((pick == F.col("result")).cast("double")).alias("accuracy"), log_loss("h", "d", "a").alias("log_loss"))
+    """(alpha, n, accuracy, log_loss) of blends of p_* with market m_*: one aggregation."""
+    model, odds = (F.col("p_home"), F.col("p_draw"), F.col("p_away")), (F.col("m_home"), F.col("m_draw"), F.col("m_away"))
+    sums = []
+    for i, alpha in enumerate(alphas):
+        h, d, a = market.blend(model, odds, F.lit(float(alpha)))
+        won = F.when(F.col("result") == 1, h).when(F.col("result") == 0, d).otherwise(a)
+        sums += [F.count("*").alias(f"n_{i}"), F.avg((market.argmax_outcome(h, d, a) == F.col("result")).cast("double")).alias(f"accuracy_{i}"), F.avg(-F.log(F.greatest(won, F.lit(1e-15)))).alias(f"log_loss_{i}")]
+    return _one_row_each(f.agg(*sums), [float(a) for a in alphas], ("n", "accuracy", "log_loss"), "alpha")
 
 
 def log_loss(home: str, draw: str, away: str, floor: float = 1e-15) -> Column:
@@ -105,13 +164,63 @@ def log_loss(home: str, draw: str, away: str, floor: float = 1e-15) -> Column:
 
 
 def strategies(f: DataFrame, bets: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
-    """(strategy, n, wins, pnl, roi) of name -> (condition, pick, odds): one pass in long form."""
-    each = F.explode(F.array_compact(F.array(*(F.when(c, F.struct(F.lit(k).alias("strategy"), pick.cast("int").alias("bet"), odds.cast("double").alias("odds"))) for k, (c, pick, odds) in bets.items()))))
-    rows = f.select("result", each.alias("b"))
-    won = F.col("b.bet") == F.col("result")
-    n = F.count("*")
-    pnl = F.sum(market.profit(won, F.col("b.odds")))
-    return rows.groupBy("b.strategy").agg(n.alias("n"), F.count_if(won).alias("wins"), pnl.alias("pnl"), (pnl / n * 100).alias("roi"))
+    """(strategy, n, wins, pnl, roi, avg_odds) of name -> (condition, won, odds), for those with a bet: one aggregation of conditional sums."""
+    sums = []
+    for i, (c, won, odds) in enumerate(bets.values()):
+        sums += [F.count_if(c).alias(f"n_{i}"), F.count_if(c & won).alias(f"wins_{i}"), F.sum(F.when(c, market.profit(won, odds))).alias(f"pnl_{i}"), F.avg(F.when(c, odds)).alias(f"odds_{i}")]
+    out = _one_row_each(f.agg(*sums), list(bets), ("n", "wins", "pnl", "odds"), "strategy").where("n > 0")
+    return out.select("strategy", "n", "wins", "pnl", (F.col("pnl") / F.col("n") * 100).alias("roi"), F.col("odds").alias("avg_odds"))
+
+
+def upset_bets(taus=BET_TAUS) -> dict[str, tuple[Column, Column, Column]]:
+    """Strategies A to J on lopsided matches.
+
+    Needs is_lopsided, favorite, result, hg, ag, p_home/draw/away, p_upset, odds_home/draw/
+    away, xg_home, xg_away. J, as its model has it, leaves out matches that the favourite won.
+    """
+    c = F.col
+    lop, fav, dog = c("is_lopsided"), c("favorite"), -c("favorite")
+    side = lambda code, h, a: F.when(code == 1, c(h)).otherwise(c(a))
+    p_dog = side(dog, "p_home", "p_away")
+    other = F.when(p_dog > c("p_draw"), dog).otherwise(0)
+    odds_fav, odds_dog, odds_draw = side(fav, "odds_home", "odds_away"), side(dog, "odds_home", "odds_away"), c("odds_draw")
+    odds_other, p_other = F.when(other == 0, odds_draw).otherwise(odds_dog), F.greatest(p_dog, c("p_draw"))
+    won = lambda code: c("result") == code
+    h, a = F.bround("xg_home").cast("int"), F.bround("xg_away").cast("int")
+    p_score = market.poisson(c("xg_home"), h) * market.poisson(c("xg_away"), a)
+    exact = (c("hg") == h) & (c("ag") == a)
+    out = {"A: favorite": (lop, won(fav), odds_fav), "B: underdog": (lop, won(dog), odds_dog), "C: draw": (lop, won(F.lit(0)), odds_draw), "D: best non-favorite": (lop, won(other), odds_other)}
+    for t in taus:
+        opens = lop & (c("p_upset") >= t)
+        out[f"E: P(upset)>={t:.2f}, best non-favorite"] = (opens, won(other), odds_other)
+        out[f"F: P(upset)>={t:.2f}, underdog"] = (opens, won(dog), odds_dog)
+        out[f"G: P(upset)>={t:.2f}, draw"] = (opens, won(F.lit(0)), odds_draw)
+    called = lop & (c("p_upset") >= 0.45)
+    out["H: P(upset)>=0.45, value edge>=10%"] = (called & (p_other >= 1.10 / odds_other), won(other), odds_other)
+    out["I: correct score"] = (lop, exact, market.score_odds(p_score))
+    out["J: P(upset)>=0.45, correct score with P>=6%"] = (called & (p_score >= 0.06) & ~won(fav), exact, market.score_odds(p_score))
+    return out
+
+
+def pick_bets() -> dict[str, tuple[Column, Column, Column]]:
+    """Strategies A to C on the model's picks, at odds that Elo without home advantage implies, a draw at 0.25. Needs pick, result, favorite, elo_gap."""
+    c = F.col
+    odds = lambda p: 1 / F.greatest(p, F.lit(0.01))
+    p_dog = 1 - market.win_probability(c("elo_gap"), F.lit(0.0), 0.0)
+    upset, draw = c("pick") == -c("favorite"), c("pick") == 0
+    dog_won, drawn = c("result") == -c("favorite"), c("result") == 0
+    return {
+        "A: underdog": (upset, dog_won, odds(p_dog)),
+        "B: draw": (draw & (c("elo_gap") > 50), drawn, odds(F.lit(0.25))),
+        "C: underdog or draw": (upset | draw & (c("elo_gap") > 80), F.when(upset, dog_won).otherwise(drawn), F.when(upset, odds(p_dog)).otherwise(odds(F.lit(0.25)))),
+    }
+
+
+def contrarian() -> list[Column]:
+    """Bets at even odds wherever the model's pick is not Elo's: n, wins, pnl, roi. Needs pick, elo_pick, result."""
+    apart = F.col("pick") != F.col("elo_pick")
+    n, wins = F.count_if(apart), F.count_if(apart & (F.col("pick") == F.col("result")))
+    return [n.alias("n"), wins.alias("wins"), (2 * wins - n).alias("pnl"), F.when(n > 0, (2 * wins - n) / n * 100).otherwise(0.0).alias("roi")]
 
 
 def alpha_analysis() -> list[Column]:
@@ -125,7 +234,7 @@ def alpha_analysis() -> list[Column]:
     ]
 
 
-def tier_capture(f: DataFrame, edges: tuple[float, ...] = (50.0, 150.0, 300.0)) -> DataFrame:
+def tier_capture(f: DataFrame, edges: tuple[float, ...] = TIERS) -> DataFrame:
     """By tiers of the Elo gap: matches, upsets, draws, and those the pick caught."""
     tier = reduce(lambda c, i: c.when(F.col("elo_gap") < edges[i], i), range(1, len(edges)), F.when(F.col("elo_gap") < edges[0], 0)).otherwise(len(edges))
     hit = F.col("pick") == F.col("result")
@@ -169,16 +278,28 @@ def goal_accuracy() -> list[Column]:
     return [F.avg(eh).alias("mae_home"), F.avg(ea).alias("mae_away"), F.avg(et).alias("mae_total"), F.count_if((eh == 0) & (ea == 0)).alias("exact"), F.count_if(et == 0).alias("exact_total")]
 
 
+def scoreline_accuracy() -> list[Column]:
+    """Of the likeliest scores: n, exact ones, outcomes they get right. Needs hg, ag, result, xg_home, xg_away."""
+    h, a = market.likeliest_goals(F.col("xg_home")), market.likeliest_goals(F.col("xg_away"))
+    return [F.count("*").alias("n"), F.count_if((F.col("hg") == h) & (F.col("ag") == a)).alias("exact"), F.count_if(F.signum(h - a) == F.col("result")).alias("outcome_right")]
+
+
 def over_under_accuracy(f: DataFrame, lines=(1.5, 2.5, 3.5)) -> DataFrame:
-    right = ((F.col("hg") + F.col("ag")) > F.col("line")) == ((F.col("pred_h") + F.col("pred_a")) > F.col("line"))
-    return swept(f, "line", lines).groupBy("line").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+    """(line, n, accuracy): one aggregation."""
+    sums = []
+    for i, line in enumerate(lines):
+        right = ((F.col("hg") + F.col("ag")) > line) == ((F.col("pred_h") + F.col("pred_a")) > line)
+        sums += [F.count("*").alias(f"n_{i}"), F.avg(right.cast("double")).alias(f"accuracy_{i}")]
+    return _one_row_each(f.agg(*sums), [float(x) for x in lines], ("n", "accuracy"), "line")
 
 
 def effect_sizes(f: DataFrame, features: list[str], correct: str = "correct") -> DataFrame:
-    """(feature, mean_correct, mean_wrong, effect): difference of means over the sample deviation."""
-    long = f.unpivot([correct], features, "feature", "value")
-    mean = lambda c: F.avg(F.when(c, F.col("value")))
-    out = long.groupBy("feature").agg(mean(F.col(correct)).alias("mean_correct"), mean(~F.col(correct)).alias("mean_wrong"), F.stddev_samp("value").alias("sd"))
+    """(feature, mean_correct, mean_wrong, effect): difference of means over the sample deviation; one aggregation."""
+    sums = []
+    for i, x in enumerate(features):
+        mean = lambda c: F.avg(F.when(c, F.col(x)))  # noqa: B023, E731
+        sums += [mean(F.col(correct)).alias(f"mean_correct_{i}"), mean(~F.col(correct)).alias(f"mean_wrong_{i}"), F.stddev_samp(x).alias(f"sd_{i}")]
+    out = _one_row_each(f.agg(*sums), features, ("mean_correct", "mean_wrong", "sd"), "feature")
     return out.select("feature", "mean_correct", "mean_wrong", F.when(F.col("sd") > 0, F.abs(F.col("mean_correct") - F.col("mean_wrong")) / F.col("sd")).alias("effect"))
 
 

@@ -30,9 +30,10 @@ PAIRS_SQL = "pairs AS (SELECT a.team AS home, b.team AS away, a.elo AS eh, b.elo
 
 
 def _pairs(spark, sf):
-    """All pairings of the nations: teams are a table of fixed size."""
-    r = team_ratings(spark, sf)
-    return r.select(F.col("team").alias("home"), F.col("elo").alias("eh")).join(r.select(F.col("team").alias("away"), F.col("elo").alias("ea")), F.col("home") != F.col("away"))
+    """All pairings of the nations, from one pass over the ratings: teams are a table of fixed size, one row here."""
+    one = team_ratings(spark, sf).agg(F.collect_list(F.struct("team", "elo")).alias("t"))
+    each = one.select("t", F.explode("t").alias("h")).select("h", F.explode("t").alias("a")).where("h.team <> a.team")
+    return each.select(F.col("h.team").alias("home"), F.col("h.elo").alias("eh"), F.col("a.team").alias("away"), F.col("a.elo").alias("ea"))
 
 
 def q02_elo_1x2(spark, sf):
@@ -179,66 +180,157 @@ def q24_threshold_sweep(spark, sf):
 
 _SUM = "count(*) AS n, round(avg(CAST(correct AS INTEGER)), 4) AS accuracy, round(sum(pnl), 4) AS pnl, round(sum(pnl) / count(*) * 100, 4) AS roi"
 Q24 = _with(f""",
-t AS (SELECT CAST(unnest([0.34, 0.38, 0.42, 0.46, 0.5, 0.54, 0.58, 0.62, 0.66]) AS DOUBLE) AS threshold)
+t AS (SELECT CAST(unnest({list(backtest.THRESHOLDS)}) AS DOUBLE) AS threshold)
 SELECT threshold, {_SUM} FROM pf, t WHERE max_prob >= threshold GROUP BY threshold""")
 
 
-def q24b_rules(spark, sf):
+def _against_elo(spark, sf):
+    """Predictions beside Elo probabilities without home advantage, which stand for Elo's own."""
     f = predictions(spark, sf)
-    edge = F.col("max_prob") - F.when(F.col("elo_pick") == 1, F.col("p_home")).when(F.col("elo_pick") == 0, F.col("p_draw")).otherwise(F.col("p_away"))
-    f = f.withColumn("edge_vs_elo", edge).withColumn("agree_elo", F.col("pick") == F.col("elo_pick"))
-    return _rounded(backtest.rule_report(f), "rule")
+    q = market.outcome_probabilities(F.col("eh"), F.col("ea"), 0.0)
+    f = f.withColumns({f"e_{k}": v for k, v in q.items()})
+    own = lambda h, d, a: F.when(F.col("pick") == 1, F.col(h)).when(F.col("pick") == 0, F.col(d)).otherwise(F.col(a))
+    return f.withColumns({
+        "edge_vs_elo": own("p_home", "p_draw", "p_away") - own("e_p_home", "e_p_draw", "e_p_away"), "agree_elo": F.col("pick") == F.col("elo_pick"),
+        "agree_elo_fav": F.col("pick") == market.argmax_outcome(F.col("e_p_home"), F.col("e_p_draw"), F.col("e_p_away")),
+    })
+
+
+def q24b_rules(spark, sf):
+    return _rounded(backtest.rule_report(_against_elo(spark, sf)), "rule")
+
+
+_RULES = _with("""
+z AS (SELECT *, 1.0 / (1.0 + pow(10.0, -(eh - ea) / 400.0)) AS q0, least(greatest(0.26 * (0.55 + 0.45 * exp(-abs(eh - ea) / 150.0)), 0.08), 0.38) AS qd FROM pf),
+y AS (SELECT *, (1 - qd) * q0 AS qh, (1 - qd) * (1 - q0) AS qa FROM z),
+x AS (SELECT *, CASE pick WHEN 1 THEN p_home - qh WHEN 0 THEN p_draw - qd ELSE p_away - qa END AS edge, pick = elo_pick AS agree,
+  pick = CASE WHEN qh >= qd AND qh >= qa THEN 1 WHEN qd >= qa THEN 0 ELSE -1 END AS fav FROM y),
+r AS (SELECT x.*, unnest([CASE WHEN true THEN 'baseline_all' END, CASE WHEN max_prob >= 0.42 THEN 'max_prob>=0.42' END, CASE WHEN max_prob >= 0.45 THEN 'max_prob>=0.45' END,
+  CASE WHEN max_prob >= 0.45 AND prob_margin >= 0.12 THEN 'max_prob>=0.45 & margin>=0.12' END, CASE WHEN max_prob >= 0.45 AND norm_entropy <= 0.85 THEN 'max_prob>=0.45 & entropy<=0.85' END,
+  CASE WHEN max_prob >= 0.42 AND agree THEN 'max_prob>=0.42 & agree_elo' END, CASE WHEN max_prob >= 0.42 AND fav THEN 'max_prob>=0.42 & agree_elo_fav' END,
+  CASE WHEN edge >= 0.05 AND max_prob >= 0.40 THEN 'edge>=0.05 & max_prob>=0.40' END, CASE WHEN edge >= 0.08 AND max_prob >= 0.38 THEN 'edge>=0.08 & max_prob>=0.38' END,
+  CASE WHEN NOT agree AND max_prob >= 0.45 THEN 'disagree_elo & max_prob>=0.45' END]) AS rule FROM x)""").replace("\nz AS", ",\nz AS", 1)
+Q24B = _RULES + f"\nSELECT rule, {_SUM} FROM r WHERE rule IS NOT NULL GROUP BY rule"
+
+
+def q24c_best_rule(spark, sf):
+    return _rounded(backtest.best_rule(backtest.rule_report(_against_elo(spark, sf))), "rule")
+
+
+Q24C = _RULES + f", s AS (SELECT rule, {_SUM}, sum(pnl) / count(*) AS e FROM r WHERE rule IS NOT NULL GROUP BY rule) SELECT rule, n, accuracy, pnl, roi FROM s WHERE n >= 15 ORDER BY e DESC, n DESC, rule LIMIT 1"
+
 
+def _upset_rows(spark, sf):
+    """Predictions with the probability that the favourite does not win as that of an upset, and a gap of 100 as lopsided."""
+    return predictions(spark, sf).withColumns({
+        "p_upset": 1 - F.when(F.col("favorite") == 1, F.col("p_home")).otherwise(F.col("p_away")), "is_lopsided": F.col("elo_gap") >= 100,
+        "upset": (F.col("result") != F.col("favorite")).cast("int"),
+    })
 
-Q24B = _with(f""",
-x AS (SELECT *, max_prob - CASE elo_pick WHEN 1 THEN p_home WHEN 0 THEN p_draw ELSE p_away END AS edge, pick = elo_pick AS agree FROM pf),
-r AS (SELECT x.*, unnest([CASE WHEN true THEN 'all' END, CASE WHEN max_prob >= 0.5 THEN 'confident' END, CASE WHEN max_prob >= 0.6 THEN 'very_confident' END,
-  CASE WHEN prob_margin >= 0.2 THEN 'clear' END, CASE WHEN norm_entropy <= 0.9 THEN 'certain' END, CASE WHEN edge >= 0.05 THEN 'edge' END,
-  CASE WHEN max_prob >= 0.5 AND edge >= 0.05 THEN 'confident_edge' END, CASE WHEN agree THEN 'agrees' END, CASE WHEN max_prob >= 0.5 AND agree THEN 'confident_agrees' END,
-  CASE WHEN NOT agree THEN 'contrarian' END]) AS rule FROM x)
-SELECT rule, {_SUM} FROM r WHERE rule IS NOT NULL GROUP BY rule""")
 
-TAUS = (0.1, 0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6)
+_GATED = ("accuracy", "lopsided_accuracy", "normal_accuracy", "recall", "precision")
 
 
 def q25_gated_sweep(spark, sf):
-    f = predictions(spark, sf).withColumn("p_upset", F.when(F.col("favorite") == 1, F.col("p_away")).otherwise(F.col("p_home"))).withColumn("is_lopsided", F.col("elo_gap") >= 100)
-    out = backtest.gate_sweep(f, TAUS)
-    return out.select("tau", "n", F.round("accuracy", 6).alias("accuracy"), "best")
+    out = backtest.gate_sweep(_upset_rows(spark, sf))
+    return out.select("tau", "n", *(r6(c) for c in _GATED), "best")
 
 
-Q25 = _with(f""",
-t AS (SELECT CAST(unnest({list(TAUS)}) AS DOUBLE) AS tau),
-g AS (SELECT tau, result, CASE WHEN elo_gap < 100 THEN pick WHEN CASE favorite WHEN 1 THEN p_away ELSE p_home END >= tau
-  THEN CASE WHEN p_draw > CASE favorite WHEN 1 THEN p_away ELSE p_home END THEN 0 ELSE -favorite END ELSE favorite END AS g FROM pf, t),
-a AS (SELECT tau, count(*) AS n, avg(CAST(g = result AS INTEGER)) AS accuracy FROM g GROUP BY tau)
-SELECT tau, n, round(accuracy, 6) AS accuracy, row_number() OVER (ORDER BY accuracy DESC, tau) = 1 AS best FROM a""")
+def q25b_combined_sweep(spark, sf):
+    """The combined predictor's grid, the last of equally good values."""
+    out = backtest.gate_sweep(_upset_rows(spark, sf), backtest.COMBINED_TAUS, last_best=True)
+    return out.select("tau", "n", *(r6(c) for c in _GATED), "best")
 
 
-def q26_strategies(spark, sf):
-    f = predictions(spark, sf)
-    dog_p = F.when(F.col("favorite") == 1, F.col("p_away")).otherwise(F.col("p_home"))
-    fav_p = F.when(F.col("favorite") == 1, F.col("p_home")).otherwise(F.col("p_away"))
-    bets = {
-        "favorite": (F.lit(True), F.col("favorite"), market.fair_odds(fav_p)),
-        "underdog": (F.lit(True), -F.col("favorite"), market.fair_odds(dog_p)),
-        "draw": (F.lit(True), F.lit(0), market.fair_odds(F.col("p_draw"))),
-        "lopsided_underdog": (F.col("elo_gap") >= 200, -F.col("favorite"), market.fair_odds(dog_p)),
-        "close_draw": (F.col("elo_gap") < 50, F.lit(0), market.score_odds(F.col("p_draw"))),
-    }
+def _gate_sql(taus, last):
+    return _with(f""",
+t AS (SELECT CAST(unnest({list(taus)}) AS DOUBLE) AS tau),
+u AS (SELECT *, 1 - CASE favorite WHEN 1 THEN p_home ELSE p_away END AS pu, CASE favorite WHEN 1 THEN p_away ELSE p_home END AS dp FROM pf),
+g AS (SELECT tau, result, favorite, elo_gap >= 100 AS lop, pu >= tau AS open, CASE WHEN elo_gap < 100 THEN pick WHEN pu >= tau THEN CASE WHEN p_draw > dp THEN 0 ELSE -favorite END ELSE favorite END AS g FROM u, t),
+a AS (SELECT tau, count(*) AS n, avg(CAST(g = result AS INTEGER)) AS accuracy, avg(CAST(g = result AS INTEGER)) FILTER (lop) AS la, avg(CAST(g = result AS INTEGER)) FILTER (NOT lop) AS na,
+  count(*) FILTER (lop AND result <> favorite) AS ups, count(*) FILTER (lop AND open) AS called, count(*) FILTER (lop AND open AND result <> favorite) AS hits FROM g GROUP BY tau)
+SELECT tau, n, round(accuracy, 6) AS accuracy, round(la, 6) AS lopsided_accuracy, round(na, 6) AS normal_accuracy, round(CASE WHEN ups > 0 THEN hits / ups ELSE 0 END, 6) AS recall,
+  round(CASE WHEN called > 0 THEN hits / called ELSE 0 END, 6) AS precision, row_number() OVER (ORDER BY accuracy DESC, tau{' DESC' if last else ''}) = 1 AS best FROM a""")
+
+
+Q25, Q25B = _gate_sql(backtest.GATE_TAUS, False), _gate_sql(backtest.COMBINED_TAUS, True)
+
+
+def q25c_upset_sweep(spark, sf):
+    out = backtest.upset_sweep(_upset_rows(spark, sf).where("is_lopsided"))
+    return out.select("tau", "called", r6("precision"), r6("recall"), r6("f1"), "best")
+
+
+Q25C = _with(f""",
+t AS (SELECT CAST(unnest({list(backtest.UPSET_TAUS)}) AS DOUBLE) AS tau),
+u AS (SELECT tau, count(*) FILTER (1 - CASE favorite WHEN 1 THEN p_home ELSE p_away END >= tau) AS called, count(*) FILTER (result <> favorite) AS ups,
+  count(*) FILTER (result <> favorite AND 1 - CASE favorite WHEN 1 THEN p_home ELSE p_away END >= tau) AS hits FROM pf, t WHERE elo_gap >= 100 GROUP BY tau),
+p AS (SELECT *, CASE WHEN called > 0 THEN hits / called ELSE 0 END AS pr, CASE WHEN ups > 0 THEN hits / ups ELSE 0 END AS re FROM u),
+f1 AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f FROM p)
+SELECT tau, called, round(pr, 6) AS precision, round(re, 6) AS recall, round(f, 6) AS f1, row_number() OVER (ORDER BY f DESC, tau DESC) = 1 AS best FROM f1""")
+
+
+def _bet_report(f, bets):
     out = backtest.strategies(f, bets)
-    return out.select("strategy", "n", "wins", F.round("pnl", 4).alias("pnl"), F.round("roi", 4).alias("roi"))
+    return out.select("strategy", "n", "wins", *(F.round(c, 4).alias(c) for c in ("pnl", "roi", "avg_odds")))
 
 
-Q26 = _with(""",
-o AS (SELECT *, CASE favorite WHEN 1 THEN p_home ELSE p_away END AS fp, CASE favorite WHEN 1 THEN p_away ELSE p_home END AS dp FROM pf),
-b AS (SELECT 'favorite' AS strategy, result, favorite AS bet, 0.95 / greatest(fp, 0.02) AS odds FROM o
-  UNION ALL SELECT 'underdog', result, -favorite, 0.95 / greatest(dp, 0.02) FROM o
-  UNION ALL SELECT 'draw', result, 0, 0.95 / greatest(p_draw, 0.02) FROM o
-  UNION ALL SELECT 'lopsided_underdog', result, -favorite, 0.95 / greatest(dp, 0.02) FROM o WHERE elo_gap >= 200
-  UNION ALL SELECT 'close_draw', result, 0, least(0.88 / greatest(p_draw, 0.0001), 250) FROM o WHERE elo_gap < 50)
-SELECT strategy, count(*) AS n, count(*) FILTER (bet = result) AS wins, round(sum(CASE WHEN bet = result THEN odds - 1 ELSE -1 END), 4) AS pnl,
-  round(sum(CASE WHEN bet = result THEN odds - 1 ELSE -1 END) / count(*) * 100, 4) AS roi FROM b GROUP BY strategy""")
+_BETS = "SELECT strategy, count(*) AS n, count(*) FILTER (won) AS wins, round(sum(CASE WHEN won THEN odds - 1 ELSE -1 END), 4) AS pnl, round(sum(CASE WHEN won THEN odds - 1 ELSE -1 END) / count(*) * 100, 4) AS roi, round(avg(odds), 4) AS avg_odds FROM b GROUP BY strategy"
+
+
+def q26_strategies(spark, sf):
+    """Strategies A to J at made-up market odds."""
+    f = _upset_rows(spark, sf).withColumns({"odds_home": 1.2 + F.col("disc") * 20, "odds_draw": F.lit(3.2), "odds_away": 1.5 + F.col("tax") * 30})
+    return _bet_report(f.withColumns(market.expected_goals(F.col("eh"), F.col("ea"))), backtest.upset_bets())
+
+
+_EFG = "\n".join(
+    f"""  UNION ALL SELECT 'E: P(upset)>={t:.2f}, best non-favorite', result = other, o_other FROM m WHERE pu >= {t}
+  UNION ALL SELECT 'F: P(upset)>={t:.2f}, underdog', result = -favorite, o_dog FROM m WHERE pu >= {t}
+  UNION ALL SELECT 'G: P(upset)>={t:.2f}, draw', result = 0, 3.2 FROM m WHERE pu >= {t}"""
+    for t in backtest.BET_TAUS
+)
+Q26 = _with(f""",
+o AS (SELECT *, CASE favorite WHEN 1 THEN p_away ELSE p_home END AS dp, 1 - CASE favorite WHEN 1 THEN p_home ELSE p_away END AS pu, 1.2 + disc * 20 AS oh, 1.5 + tax * 30 AS oa, greatest(2.55 * pe, 0.15) AS xh, greatest(2.55 * (1 - pe), 0.15) AS xa FROM pf WHERE elo_gap >= 100),
+l AS (SELECT *, CASE WHEN dp > p_draw THEN -favorite ELSE 0 END AS other, greatest(dp, p_draw) AS op, CASE favorite WHEN 1 THEN oh ELSE oa END AS o_fav, CASE favorite WHEN 1 THEN oa ELSE oh END AS o_dog,
+  CAST(round_even(xh, 0) AS INTEGER) AS ph, CAST(round_even(xa, 0) AS INTEGER) AS pa FROM o),
+m AS (SELECT *, CASE WHEN other = 0 THEN 3.2 ELSE o_dog END AS o_other, exp(-xh) * pow(xh, ph) / factorial(ph) * (exp(-xa) * pow(xa, pa) / factorial(pa)) AS ps, hg = ph AND ag = pa AS exact FROM l),
+b AS (SELECT 'A: favorite' AS strategy, result = favorite AS won, CAST(o_fav AS DOUBLE) AS odds FROM m UNION ALL SELECT 'B: underdog', result = -favorite, o_dog FROM m
+  UNION ALL SELECT 'C: draw', result = 0, 3.2 FROM m UNION ALL SELECT 'D: best non-favorite', result = other, o_other FROM m
+{_EFG}
+  UNION ALL SELECT 'H: P(upset)>=0.45, value edge>=10%', result = other, o_other FROM m WHERE pu >= 0.45 AND op >= 1.10 / o_other
+  UNION ALL SELECT 'I: correct score', exact, least(0.88 / greatest(ps, 0.0001), 250) FROM m
+  UNION ALL SELECT 'J: P(upset)>=0.45, correct score with P>=6%', exact, least(0.88 / greatest(ps, 0.0001), 250) FROM m WHERE pu >= 0.45 AND ps >= 0.06 AND result <> favorite)
+{_BETS}""")
+
+
+def _bold(spark, sf):
+    """A model that is not Elo's: where the market's odds are even, it picks against the favourite or a draw."""
+    other = F.when(F.col("k") % 3 == 0, -F.col("favorite")).when(F.col("k") % 3 == 1, F.lit(0)).otherwise(F.col("favorite"))
+    return predictions(spark, sf).withColumn("pick", other.cast("int"))
+
+
+def q26b_pick_bets(spark, sf):
+    return _bet_report(_bold(spark, sf), backtest.pick_bets())
+
+
+_BOLD = "w AS (SELECT * REPLACE (CAST(CASE k % 3 WHEN 0 THEN -favorite WHEN 1 THEN 0 ELSE favorite END AS INTEGER) AS pick) FROM pf)"
+Q26B = _with(f""",
+{_BOLD}, v AS (SELECT *, 1 / greatest(1 - 1.0 / (1.0 + pow(10.0, -elo_gap / 400.0)), 0.01) AS od FROM w),
+b AS (SELECT 'A: underdog' AS strategy, result = -favorite AS won, od AS odds FROM v WHERE pick = -favorite
+  UNION ALL SELECT 'B: draw', result = 0, 4.0 FROM v WHERE pick = 0 AND elo_gap > 50
+  UNION ALL SELECT 'C: underdog or draw', CASE WHEN pick = 0 THEN result = 0 ELSE result = -favorite END, CASE WHEN pick = 0 THEN 4.0 ELSE od END FROM v WHERE pick = -favorite OR pick = 0 AND elo_gap > 80)
+{_BETS}""")
+
+
+def q26c_contrarian(spark, sf):
+    out = _bold(spark, sf).groupBy("grp").agg(*backtest.contrarian())
+    return out.select("grp", "n", "wins", "pnl", r6("roi"))
+
+
+Q26C = _with(f""",
+{_BOLD}, c AS (SELECT grp, count(*) FILTER (pick <> elo_pick) AS n, count(*) FILTER (pick <> elo_pick AND pick = result) AS wins FROM w GROUP BY grp)
+SELECT grp, n, wins, 2 * wins - n AS pnl, round(CASE WHEN n > 0 THEN (2 * wins - n) / n * 100 ELSE 0 END, 6) AS roi FROM c""")
 
 
 def q27_alpha_sweep(spark, sf):
@@ -249,9 +341,9 @@ def q27_alpha_sweep(spark, sf):
     return out.select("alpha", "n", F.round("accuracy", 6).alias("accuracy"), F.round("log_loss", 6).alias("log_loss"))
 
 
-Q27 = _with(""",
+Q27 = _with(f""",
 o AS (SELECT *, 1 / (1.2 + disc * 20) AS a, 1 / 3.2 AS b, 1 / (1.5 + tax * 30) AS c FROM pf),
-t AS (SELECT CAST(unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0]) AS DOUBLE) AS alpha),
+t AS (SELECT CAST(unnest({list(backtest.ALPHAS)}) AS DOUBLE) AS alpha),
 m AS (SELECT alpha, result, alpha * p_home + (1 - alpha) * a / (a + b + c) AS h, alpha * p_draw + (1 - alpha) * b / (a + b + c) AS d, alpha * p_away + (1 - alpha) * c / (a + b + c) AS w FROM o, t),
 n AS (SELECT alpha, result, h / (h + d + w) AS h, d / (h + d + w) AS d, w / (h + d + w) AS w FROM m)
 SELECT alpha, count(*) AS n, round(avg(CAST(CASE WHEN h >= d AND h >= w THEN 1 WHEN d >= w THEN 0 ELSE -1 END = result AS INTEGER)), 6) AS accuracy,
@@ -283,6 +375,17 @@ Q28B = GOALS_SQL + """, l AS (SELECT CAST(unnest([1.5, 2.5, 3.5]) AS DOUBLE) AS
 SELECT line, count(*) AS n, round(avg(CAST((hg + ag > line) = (ph + pa > line) AS INTEGER)), 6) AS accuracy FROM go, l GROUP BY line"""
 
 
+def q28d_scorelines(spark, sf):
+    g = predictions(spark, sf).withColumns(market.expected_goals(F.col("eh"), F.col("ea")))
+    return g.groupBy("grp").agg(*backtest.scoreline_accuracy())
+
+
+Q28D = _with(""",
+x AS (SELECT *, greatest(2.55 * pe, 0.15) AS xh, greatest(2.55 * (1 - pe), 0.15) AS xa FROM pf),
+s AS (SELECT *, least(greatest(ceil(xh) - 1, 0), 6) AS ph, least(greatest(ceil(xa) - 1, 0), 6) AS pa FROM x)
+SELECT grp, count(*) AS n, count(*) FILTER (hg = ph AND ag = pa) AS exact, count(*) FILTER (sign(ph - pa) = result) AS outcome_right FROM s GROUP BY grp""")
+
+
 def q28c_error_severity(spark, sf):
     return backtest.error_severity(predictions(spark, sf))
 
@@ -337,32 +440,15 @@ def q30c_tier_capture(spark, sf):
 
 
 Q30C = _with("""
-SELECT CASE WHEN elo_gap < 50 THEN 0 WHEN elo_gap < 150 THEN 1 WHEN elo_gap < 300 THEN 2 ELSE 3 END AS tier, count(*) AS n, count(*) FILTER (result <> favorite) AS upsets,
+SELECT CASE WHEN elo_gap < 100 THEN 0 WHEN elo_gap < 200 THEN 1 ELSE 2 END AS tier, count(*) AS n, count(*) FILTER (result <> favorite) AS upsets,
   count(*) FILTER (result <> favorite AND pick = result) AS upsets_caught, count(*) FILTER (result = 0) AS draws, count(*) FILTER (result = 0 AND pick = 0) AS draws_caught FROM pf GROUP BY 1""")
 
 
 def q41_elo_rolling(spark, sf):
-    """The first 300 matches of each region (the limit is the report's)."""
-    from pyspark.sql import Window as W
-
+    """Ratings before and after every match; a region's fold is serial by nature."""
     order = ["d", "k", "pk", "sk", "xp"]
-    m = matchup(spark, sf).withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where("r <= 300")
-    out = ratings.elo_fold(m, "grp", ["r"])
-    return out.select("grp", F.col("r").cast("int").alias("r"), "home", "away", *(F.round(c, 4).alias(c) for c in ("elo_home", "elo_away", "elo_home_after", "elo_away_after")))
-
-
-Q41 = f"""WITH RECURSIVE {MATCHES_SQL},
-o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d, k, pk, sk, xp) AS r FROM matchup),
-m AS (SELECT * FROM o WHERE r <= 300),
-s(grp, r, ratings, home, away, eh, ea, ch) AS (
-  SELECT DISTINCT grp, CAST(0 AS BIGINT), MAP([CAST('' AS VARCHAR)], [CAST(0 AS DOUBLE)]), CAST('' AS VARCHAR), CAST('' AS VARCHAR), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM m
-  UNION ALL
-  SELECT grp, r, map_concat(ratings, MAP([home, away], [eh + ch, ea - ch])), home, away, eh, ea, ch FROM (
-    SELECT grp, r, ratings, home, away, eh, ea,
-      22.0 * (1 + 0.15 * least(abs(hg - ag), 3)) * (CASE WHEN hg > ag THEN 1.0 WHEN hg = ag THEN 0.5 ELSE 0.0 END - 1 / (1 + pow(10.0, -(eh + 60.0 - ea) / 400.0))) AS ch
-    FROM (SELECT m.grp, m.r, s.ratings, m.home, m.away, m.hg, m.ag, coalesce(element_at(s.ratings, m.home)[1], 1500.0) AS eh, coalesce(element_at(s.ratings, m.away)[1], 1500.0) AS ea
-      FROM s JOIN m ON m.grp = s.grp AND m.r = s.r + 1)))
-SELECT grp, CAST(r AS INTEGER) AS r, home, away, round(eh, 4) AS elo_home, round(ea, 4) AS elo_away, round(eh + ch, 4) AS elo_home_after, round(ea - ch, 4) AS elo_away_after FROM s WHERE r > 0"""
+    out = ratings.elo_fold(matchup(spark, sf).select("grp", "home", "away", "hg", "ag", *order), "grp", order)
+    return out.select("grp", *order, "home", "away", *(F.round(c, 4).alias(c) for c in ("elo_home", "elo_away", "elo_home_after", "elo_away_after")))
 
 
 def q38_market_json(spark, sf):
@@ -385,8 +471,9 @@ QUERIES = {
     "q01_standings": (q01_standings, Q01), "q02_elo_1x2": (q02_elo_1x2, Q02), "q03_expected_goals": (q03_expected_goals, Q03), "q04_poisson_matrix": (q04_poisson_matrix, Q04),
     "q05_top_scorelines": (q05_top_scorelines, Q05), "q06_devig_blend": (q06_devig_blend, Q06), "q19_home_away_diff": (q19_home_away_diff, Q19), "q20_odds_join": (q20_odds_join, Q20),
     "q21_upset_labels": (q21_upset_labels, Q21), "q22_three_upsets": (q22_three_upsets, Q22), "q23_confidence": (q23_confidence, Q23), "q24_threshold_sweep": (q24_threshold_sweep, Q24),
-    "q24b_rules": (q24b_rules, Q24B), "q25_gated_sweep": (q25_gated_sweep, Q25), "q26_strategies": (q26_strategies, Q26), "q27_alpha_sweep": (q27_alpha_sweep, Q27),
+    "q24b_rules": (q24b_rules, Q24B), "q24c_best_rule": (q24c_best_rule, Q24C), "q25b_combined_sweep": (q25b_combined_sweep, Q25B), "q25c_upset_sweep": (q25c_upset_sweep, Q25C),
+    "q26b_pick_bets": (q26b_pick_bets, Q26B), "q26c_contrarian": (q26c_contrarian, Q26C), "q28d_scorelines": (q28d_scorelines, Q28D), "q25_gated_sweep": (q25_gated_sweep, Q25), "q26_strategies": (q26_strategies, Q26), "q27_alpha_sweep": (q27_alpha_sweep, Q27),
     "q28_goal_errors": (q28_goal_errors, Q28), "q28b_over_under": (q28b_over_under, Q28B), "q28c_error_severity": (q28c_error_severity, Q28C), "q29_class_report": (q29_class_report, Q29),
     "q29b_confusion": (q29b_confusion, Q29B), "q30_accuracy_sets": (q30_accuracy_sets, Q30), "q30b_alpha_analysis": (q30b_alpha_analysis, Q30B), "q30c_tier_capture": (q30c_tier_capture, Q30C),
-    "q38_market_json": (q38_market_json, Q38), "q41_elo_rolling": (q41_elo_rolling, Q41),
+    "q38_market_json": (q38_market_json, Q38), "q41_elo_rolling": (q41_elo_rolling, None),
 }
