@@ -23,10 +23,11 @@ def preferred(cell: Column, bookmakers: tuple[str, ...] = BOOKMAKERS) -> Column:
 
 
 def market_odds(cell: Column, bookmakers: tuple[str, ...] = BOOKMAKERS) -> Column:
-    """(home, draw, away, bookmaker) of the preferred element; null unless all three odds are numbers."""
-    m = preferred(market(cell), bookmakers)
-    h, d, a = (m[k].try_cast("double") for k in ("1", "X", "2"))
-    return F.when(h.isNotNull() & d.isNotNull() & a.isNotNull(), F.struct(h.alias("home"), d.alias("draw"), a.alias("away"), m["bookmaker_name"].alias("bookmaker")))
+    """(home, draw, away, bookmaker) of the preferred element; null unless all three odds are numbers. The cell is read once."""
+    odds = lambda m: F.struct(*(m[k].try_cast("double").alias(n) for k, n in (("1", "home"), ("X", "draw"), ("2", "away"))), m["bookmaker_name"].alias("bookmaker"))
+    best = F.transform(F.array(market(cell)), lambda c: preferred(c, bookmakers))
+    read = F.filter(F.transform(F.filter(best, lambda m: m.isNotNull()), odds), lambda o: o["home"].isNotNull() & o["draw"].isNotNull() & o["away"].isNotNull())
+    return F.get(read, 0)
 
 
 def clock(text: Column) -> Column:

@@ -88,9 +88,9 @@ def one_hot(value: Column, classes: list[str], prefix: str) -> list[Column]:
 
 
 def upper_median(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Grouped median without interpolation: element n // 2 of the sorted non-null values, by rank windows after one unpivot."""
-    long = df.unpivot(keys, columns, "name", "value").where("value is not null")
+    """Grouped median without interpolation: element n // 2 of the sorted non-null values. Equal values are counted before they are ranked."""
+    each = df.unpivot(keys, columns, "name", "value").where("value is not null").groupBy(*keys, "name", "value").agg(F.count("*").alias("c"))
     w = W.partitionBy(*keys, "name")
-    ranked = long.withColumn("r", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
-    picked = ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1)
-    return picked.groupBy(*keys).pivot("name", columns).agg(F.first("value"))
+    ranked = each.withColumn("upto", F.sum("c").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    picked = ranked.where(F.col("upto") > F.floor(F.col("n") / 2))
+    return picked.groupBy(*keys).pivot("name", columns).agg(F.min("value"))

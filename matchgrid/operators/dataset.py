@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchgrid.functions import market
-from matchgrid.operators.profile import matchups
+from matchgrid.operators.profile import MATCHUPS, TEAM_FEATURES, matchups
 
 
 def attach_odds(matches: DataFrame, odds: DataFrame, advantage: float = market.HOME_ADVANTAGE, margin: float = 0.0) -> DataFrame:
@@ -15,21 +14,24 @@ def attach_odds(matches: DataFrame, odds: DataFrame, advantage: float = market.H
 
     First the pairing as it is, then swapped (home and away columns change places), then
     odds from elo_home and elo_away. Needs tournament, home_key, away_key; ``odds`` may
-    repeat a pairing, its first row by date counts.
+    repeat a pairing, its first row by date counts. One table of odds, keyed on the
+    unordered pairing, is joined once.
     """
-    first = W.partitionBy("tournament", "home_key", "away_key").orderBy(F.col("match_date").asc_nulls_last(), "odds_home", "odds_draw", "odds_away")
-    one = odds.withColumn("__r", F.row_number().over(first)).where("__r = 1")
-    cols = {"home": "odds_home", "draw": "odds_draw", "away": "odds_away"}
-    direct = one.select("tournament", "home_key", "away_key", *(F.col(c).alias(f"d_{k}") for k, c in cols.items()))
-    swapped = one.select("tournament", F.col("away_key").alias("home_key"), F.col("home_key").alias("away_key"), F.col("odds_away").alias("s_home"), F.col("odds_draw").alias("s_draw"), F.col("odds_home").alias("s_away"))
-    keys = ["tournament", "home_key", "away_key"]
-    met = matches.join(direct, keys, "left").join(swapped, keys, "left")
+    lo, hi = F.least("home_key", "away_key"), F.greatest("home_key", "away_key")
+    swap = F.col("home_key") != lo
+    names = ("home", "draw", "away")
+    first = lambda c: F.min(F.when(c, F.struct(F.col("match_date").isNull().alias("x"), "match_date", *(F.col(f"odds_{k}").alias(k) for k in names))))
+    one = odds.where("home_key is not null and away_key is not null").groupBy(F.col("tournament").alias("__t"), lo.alias("__lo"), hi.alias("__hi")).agg(first(~swap).alias("__n"), first(swap).alias("__s"))
+    met = matches.join(one, (F.col("tournament") == F.col("__t")) & (lo == F.col("__lo")) & (hi == F.col("__hi")), "left")
+    same, other = F.when(swap, F.col("__s")).otherwise(F.col("__n")), F.when(swap, F.col("__n")).otherwise(F.col("__s"))
+    met = met.select(*matches.columns, same.alias("__d"), other.alias("__o"))
     p = market.outcome_probabilities(F.col("elo_home"), F.col("elo_away"), advantage)
-    is_d, is_s = F.col("d_home").isNotNull(), F.col("s_home").isNotNull()
-    made = {k: F.when(is_d, F.col(f"d_{k}")).when(is_s, F.col(f"s_{k}")).otherwise((1 - margin) / F.greatest(p[f"p_{k}"], F.lit(0.01))) for k in cols}
-    out = met.select(*matches.columns, *(made[k].alias(c) for k, c in cols.items()), F.when(is_d, "oddsportal").when(is_s, "oddsportal_swapped").otherwise("elo_fallback").alias("odds_source"))
+    turned = {"home": "away", "draw": "draw", "away": "home"}
+    is_d, is_s = F.col("__d").isNotNull(), F.col("__o").isNotNull()
+    made = {k: F.when(is_d, F.col(f"__d.{k}")).when(is_s, F.col(f"__o.{turned[k]}")).otherwise((1 - margin) / F.greatest(p[f"p_{k}"], F.lit(0.01))) for k in names}
+    out = met.select(*matches.columns, *(made[k].alias(f"odds_{k}") for k in names), F.when(is_d, "oddsportal").when(is_s, "oddsportal_swapped").otherwise("elo_fallback").alias("odds_source"))
     q = market.devig(F.col("odds_home"), F.col("odds_draw"), F.col("odds_away"))
-    return out.select("*", *(q[f"p_{k}"].alias(f"prob_{k}") for k in cols))
+    return out.select("*", *(q[f"p_{k}"].alias(f"prob_{k}") for k in names))
 
 
 def attach_ratings(matches: DataFrame, ratings: DataFrame, confederation: str = "UEFA", home: str = "home_team", away: str = "away_team") -> DataFrame:
@@ -52,12 +54,14 @@ def feature_table(matches: DataFrame, profiles: DataFrame, team: str = "team", h
     met = matches.join(side("home", home), home).join(side("away", away), away)
     numeric = {c for c, t in profiles.dtypes if t in ("double", "float", "int", "bigint", "smallint")}
     made = [F.col(f"{p}_{f}") for p in ("home", "away") for f in feats] + [(F.col(f"home_{f}") - F.col(f"away_{f}")).alias(f"diff_{f}") for f in feats if f in numeric]
-    needed = {"pos_fw_xg_p90", "pos_df_interceptions_p90", "pos_fw_goals_p90", "pos_gk_goalkeeper_saves_p90", "pos_mf_key_passes_p90"}
+    needed = {"pos_fw_attack_score", "pos_df_defense_per90", "pos_mf_creative_per90", "team_pressures_per90", "team_carries_per90"}
     return met.select(*matches.columns, *made, *(matchups() if needed <= set(feats) else []))
 
 
-def expected_columns(features: list[str]) -> list[str]:
-    return [f"{p}_{f}" for p in ("home", "away", "diff") for f in features]
+def expected_columns(features: list[str] | None = None) -> list[str]:
+    """The columns of a match matrix of ``features``; of all team features, with the match-ups, where none are given (188)."""
+    sides = [f"{p}_{f}" for p in ("home", "away", "diff") for f in (features or TEAM_FEATURES)]
+    return sides if features else [*sides, *MATCHUPS]
 
 
 def verify_columns(df: DataFrame, expected: list[str]) -> dict[str, list[str]]:

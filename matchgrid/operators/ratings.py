@@ -12,28 +12,33 @@ K = 22.0
 ADVANTAGE = 60.0
 
 
-def elo_fold(matches: DataFrame, component: str, order: list[str], home: str = "home", away: str = "away", hg: str = "hg", ag: str = "ag") -> DataFrame:
+def elo_fold(matches: DataFrame, component: str, order: list[str], home: str = "home", away: str = "away", hg: str = "hg", ag: str = "ag", ranks: bool = False) -> DataFrame:
     """``matches`` with elo_home, elo_away (before the match) and elo_home_after, elo_away_after.
 
     ``component`` splits matches into sets that share no team (leagues); each is folded in
     ``order``, which must be total. One component is serial by nature: a team's rating
-    waits for its last match.
+    waits for its last match. ``ranks`` adds rank_home and rank_away before the match: 1 +
+    the component's teams then rated higher; unseen teams rank after all known.
     """
     new = ["elo_home", "elo_away", "elo_home_after", "elo_away_after"]
-    schema = matches.select("*", *(F.lit(0.0).alias(c) for c in new)).schema
+    placed = ["rank_home", "rank_away"] if ranks else []
+    schema = matches.select("*", *(F.lit(0.0).alias(c) for c in new), *(F.lit(0).alias(c) for c in placed)).schema
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         rating: dict = {}
         rows = []
+        place = lambda t: 1 + (sum(r > rating[t] for r in rating.values()) if t in rating else len(rating))
         for h, a, x, y in zip(pdf[home], pdf[away], pdf[hg], pdf[ag]):
+            where = (place(h), place(a)) if ranks else ()
             rh, ra = rating.get(h, START), rating.get(a, START)
             expected = 1 / (1 + 10 ** (-(rh + ADVANTAGE - ra) / 400))
             actual = 0.5 if x == y else float(x > y)
             change = K * (1 + 0.15 * min(abs(x - y), 3)) * (actual - expected)
             rating[h], rating[a] = rh + change, ra - change
-            rows.append((rh, ra, rating[h], rating[a]))
-        return pdf.assign(**dict(zip(new, zip(*rows)))) if rows else pdf.assign(**{c: [] for c in new})
+            rows.append((rh, ra, rating[h], rating[a], *where))
+        names = [*new, *placed]
+        return pdf.assign(**dict(zip(names, zip(*rows)))) if rows else pdf.assign(**{c: [] for c in names})
 
     return matches.groupBy(component).applyInPandas(fold, schema)
 

@@ -452,8 +452,8 @@ def q41_elo_rolling(spark, sf):
 
 
 def q38_market_json(spark, sf):
-    e = read(spark, sf, "events")
-    n = F.get_json_object("props", "$.k").cast("int")
+    e = read(spark, sf, "events").withColumn("n", F.get_json_object("props", "$.k").cast("int"))
+    n = F.col("n")
     cell = F.when(n % 7 == 0, F.lit("[]")).otherwise(F.concat(
         F.lit("[{'1': '"), (n + 1).cast("string"), F.lit(".5', 'X': "), F.when(n % 5 == 0, F.lit("None")).otherwise(F.lit("'3.2'")), F.lit(", '2': '2.1', 'bookmaker_name': '"),
         F.when(n % 3 == 0, "Bet365").otherwise("Other"), F.lit("', 'period': 'FT'}, {'1': '9.0', 'X': '8.0', '2': '7.0', 'bookmaker_name': 'betway', 'period': 'FT'}]")))
@@ -461,6 +461,27 @@ def q38_market_json(spark, sf):
     return e.select("event_id", o.alias("o")).select("event_id", F.col("o.home").alias("home"), F.col("o.draw").alias("draw"), F.col("o.away").alias("away"), F.col("o.bookmaker").alias("bookmaker"))
 
 
+def _elo_sql(columns):
+    """``columns`` of every match by a fold over each region's: before and after ratings, and ranks among teams then seen."""
+    return f"""WITH RECURSIVE {MATCHES_SQL},
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d, k, pk, sk, xp) AS r FROM matchup),
+s(grp, r, ratings, d, k, pk, sk, xp, home, away, eh, ea, ch, rank_home, rank_away) AS (
+  SELECT DISTINCT grp, CAST(0 AS BIGINT), MAP([CAST('' AS VARCHAR)], [CAST(-1e9 AS DOUBLE)]), CAST(NULL AS TIMESTAMP), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST('' AS VARCHAR), CAST('' AS VARCHAR),
+    CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS INTEGER), CAST(0 AS INTEGER) FROM o
+  UNION ALL
+  SELECT grp, r, map_concat(ratings, MAP([home, away], [eh + ch, ea - ch])), d, k, pk, sk, xp, home, away, eh, ea, ch,
+    CAST(1 + CASE WHEN map_contains(ratings, home) THEN len(list_filter(map_values(ratings), lambda x: x > eh)) ELSE len(map_values(ratings)) - 1 END AS INTEGER),
+    CAST(1 + CASE WHEN map_contains(ratings, away) THEN len(list_filter(map_values(ratings), lambda x: x > ea)) ELSE len(map_values(ratings)) - 1 END AS INTEGER) FROM (
+    SELECT grp, r, ratings, d, k, pk, sk, xp, home, away, eh, ea,
+      22.0 * (1 + 0.15 * least(abs(hg - ag), 3)) * (CASE WHEN hg > ag THEN 1.0 WHEN hg = ag THEN 0.5 ELSE 0.0 END - 1 / (1 + pow(10.0, -(eh + 60.0 - ea) / 400.0))) AS ch
+    FROM (SELECT o.grp, o.r, s.ratings, o.d, o.k, o.pk, o.sk, o.xp, o.home, o.away, o.hg, o.ag, coalesce(element_at(s.ratings, o.home)[1], 1500.0) AS eh, coalesce(element_at(s.ratings, o.away)[1], 1500.0) AS ea
+      FROM s JOIN o ON o.grp = s.grp AND o.r = s.r + 1)))
+SELECT grp, d, k, pk, sk, xp, home, away, {columns} FROM s WHERE r > 0"""
+
+
+Q41 = _elo_sql("round(eh, 4) AS elo_home, round(ea, 4) AS elo_away, round(eh + ch, 4) AS elo_home_after, round(ea - ch, 4) AS elo_away_after")
+ELO_RANKS = _elo_sql("rank_home, rank_away")
+
 Q38 = """WITH n AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 SELECT event_id, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN CASE WHEN k % 5 = 0 THEN NULL ELSE k + 1.5 END ELSE 9.0 END::DOUBLE AS home,
   CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN CASE WHEN k % 5 = 0 THEN NULL ELSE 3.2 END ELSE 8.0 END::DOUBLE AS draw,
@@ -475,5 +496,5 @@ QUERIES = {
     "q26b_pick_bets": (q26b_pick_bets, Q26B), "q26c_contrarian": (q26c_contrarian, Q26C), "q28d_scorelines": (q28d_scorelines, Q28D), "q25_gated_sweep": (q25_gated_sweep, Q25), "q26_strategies": (q26_strategies, Q26), "q27_alpha_sweep": (q27_alpha_sweep, Q27),
     "q28_goal_errors": (q28_goal_errors, Q28), "q28b_over_under": (q28b_over_under, Q28B), "q28c_error_severity": (q28c_error_severity, Q28C), "q29_class_report": (q29_class_report, Q29),
     "q29b_confusion": (q29b_confusion, Q29B), "q30_accuracy_sets": (q30_accuracy_sets, Q30), "q30b_alpha_analysis": (q30b_alpha_analysis, Q30B), "q30c_tier_capture": (q30c_tier_capture, Q30C),
-    "q38_market_json": (q38_market_json, Q38), "q41_elo_rolling": (q41_elo_rolling, None),
+    "q38_market_json": (q38_market_json, Q38), "q41_elo_rolling": (q41_elo_rolling, Q41),
 }

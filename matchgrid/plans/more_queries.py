@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchgrid.functions import numbers, text
 from matchgrid.operators import backtest, builders, dataset, merge, profile, ratings, simulate
 from matchgrid.plans.base import MATCHES_SQL, PRED_SQL, matchup, predictions, r6, read
-from matchgrid.plans.market_queries import Q20
+from matchgrid.plans.market_queries import ELO_RANKS, Q20
 from matchgrid.plans.profile_queries import PLAYERS_SQL, SEASON_SQL, _players, _seasons
 
 
@@ -44,11 +44,10 @@ Q51 = """SELECT event_id, round(coalesce(last_value(CASE WHEN event_type = 'purc
 
 
 def q52_ranks_before(spark, sf):
-    """The first 60 matches of each region (the limit is the report's)."""
+    """Both sides' ranks before every match; the fold that rates a region's teams ranks them too."""
     order = ["d", "k", "pk", "sk", "xp"]
-    m = matchup(spark, sf).withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where("r <= 60").select("grp", "r", "home", "away", "hg", "ag")
-    out = builders.ranked_before(ratings.elo_fold(m, "grp", ["r"]), "grp", "r")
-    return out.select("grp", F.col("r").cast("int").alias("r"), "home", "away", "rank_home", "rank_away")
+    m = matchup(spark, sf).select("grp", "home", "away", "hg", "ag", *order)
+    return ratings.elo_fold(m, "grp", order, ranks=True).select("grp", *order, "home", "away", "rank_home", "rank_away")
 
 
 def q53_league_profile(spark, sf):
@@ -114,13 +113,12 @@ Q59 = f"WITH {PRED_SQL} SELECT grp, count(*) AS n, round(avg(-ln(greatest(CASE r
 
 
 def q60_date_heads(spark, sf):
-    """The schedule of the first 200 matches (the limit is the report's)."""
-    m = matchup(spark, sf).orderBy("d", "k", "pk", "sk", "xp").limit(200)
+    m = matchup(spark, sf)
     return simulate.with_date_heads(m, "d", ["k", "pk", "sk", "xp"]).select("k", "pk", "sk", "xp", "new_day", text.match_label(F.col("home"), F.col("away")).alias("label"), text.score_label(F.col("hg"), F.col("ag")).alias("score"))
 
 
-Q60 = f"""WITH {MATCHES_SQL}, m AS (SELECT * FROM matchup ORDER BY d, k, pk, sk, xp LIMIT 200)
-SELECT k, pk, sk, xp, coalesce(lag(d) OVER (ORDER BY d, k, pk, sk, xp) <> d, true) AS new_day, home || ' vs ' || away AS label, hg || '-' || ag AS score FROM m"""
+Q60 = f"""WITH {MATCHES_SQL}
+SELECT k, pk, sk, xp, coalesce(lag(d) OVER (ORDER BY d, k, pk, sk, xp) <> d, true) AS new_day, home || ' vs ' || away AS label, hg || '-' || ag AS score FROM matchup"""
 
 
 def q61_squad_season(spark, sf):
@@ -155,7 +153,7 @@ SELECT m.home AS home_team, m.away AS away_team, count(*) AS n, coalesce(any_val
 FROM matchup m CROSS JOIN c LEFT JOIN r h ON m.home = h.team LEFT JOIN r a ON m.away = a.team GROUP BY 1, 2"""
 
 QUERIES = {
-    "q49_event_windows": (q49_event_windows, Q49), "q50_sessions": (q50_sessions, Q50), "q51_as_of": (q51_as_of, Q51), "q52_ranks_before": (q52_ranks_before, None),
+    "q49_event_windows": (q49_event_windows, Q49), "q50_sessions": (q50_sessions, Q50), "q51_as_of": (q51_as_of, Q51), "q52_ranks_before": (q52_ranks_before, ELO_RANKS),
     "q53_league_profile": (q53_league_profile, Q53), "q54_starters": (q54_starters, Q54), "q55_z_scores": (q55_z_scores, Q55), "q56_interactions": (q56_interactions, Q56),
     "q57_target_row": (q57_target_row, Q57), "q58_orphans": (q58_orphans, Q58), "q59_log_loss": (q59_log_loss, Q59), "q60_date_heads": (q60_date_heads, Q60),
     "q61_squad_season": (q61_squad_season, Q61), "q62_source_coverage": (q62_source_coverage, Q62), "q63_ratings_join": (q63_ratings_join, Q63),

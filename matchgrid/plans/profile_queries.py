@@ -32,9 +32,9 @@ PLAYERS_SQL = f"""pl AS (
 
 
 def _feed(spark, sf):
-    """The event table as a match feed: a user is a player, the hour of a day a match."""
-    e = read(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    """The event table as a match feed: a user is a player, the hour of a day a match. The JSON is read once a row."""
+    e = read(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     kinds = {"click": "Pass", "view": "Carry", "purchase": "Shot", "signup": "Duel", "error": "Foul Committed"}
     x = F.col("event_id") % 100
     return e.select(
@@ -108,8 +108,9 @@ Q09 = f"""WITH {SQUAD_SQL} SELECT team, count(*) AS n, round(sum(goals * minutes
 
 
 def q10_star_topk(spark, sf):
-    p = profile.with_squad(_players(spark, sf))
-    return p.groupBy("team").agg(F.round(profile.top_k_sum(F.col("xg").cast("double"), 3), 6).alias("top3"), F.round(profile.share_of_max(F.col("goals")), 6).alias("share"), F.max("xg").alias("best"), F.count("*").alias("depth"))
+    p = profile.with_squad(_players(spark, sf)).withColumn("xg", F.col("xg").cast("double"))
+    main = p.groupBy("team").agg(F.round(profile.share_of_max(F.col("goals")), 6).alias("share"), F.max("xg").alias("best"), F.count("*").alias("depth"))
+    return profile.top_k(p, ["team"], "xg", 3, "top3").join(main, "team").select("team", r6("top3"), "share", "best", "depth")
 
 
 Q10 = f"""WITH {SQUAD_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY xg DESC) AS rn FROM sq)
@@ -322,21 +323,6 @@ def q42_fuzzy_match(spark, sf):
     return resolve.best_matches(targets, roster)
 
 
-def q43_proxy_ladder(spark, sf):
-    out = profile.proxy_events(_players(spark, sf).withColumn("xg", F.when(F.col("pid") % 3 != 0, F.col("xg"))))
-    return out.select("pid", *(F.round(c, 5).alias(c) for c in ("px_goals", "px_xg", "quality", "px_shots", "px_on_target", "px_passes", "px_key_passes", "px_tackles", "px_interceptions")))
-
-
-def _base_sql(i):
-    return "CASE position " + " ".join(f"WHEN '{p}' THEN {v[i]}" for p, v in profile.BASELINES.items()) + f" ELSE {profile.BASELINES['MF'][i]} END"
-
-
-Q43 = f"""WITH {PLAYERS_SQL}, a AS (SELECT *, 270.0 / greatest(minutes, 90) AS sh, ({_base_sql(1)})::DOUBLE AS b1 FROM pl), b AS (SELECT *, goals * sh AS g FROM a), c AS (SELECT *, coalesce(CASE WHEN pid % 3 <> 0 THEN xg END * sh, g * 0.65) AS x FROM b),
-d AS (SELECT *, least(greatest(CASE WHEN b1 > 0 THEN (g + x) / (2 * 3.0 * b1 * 0.11) ELSE 1.0 END, 0.25), 2.0) AS q FROM c)
-SELECT pid, round(g, 5) AS px_goals, round(x, 5) AS px_xg, round(q, 5) AS quality, round(b1 * 3.0 * q, 5) AS px_shots, round(greatest(b1 * 3.0 * q * 0.36, g), 5) AS px_on_target,
-  round(coalesce(passes * sh, ({_base_sql(0)})::DOUBLE * 3.0), 5) AS px_passes, round(({_base_sql(4)})::DOUBLE * 3.0 * q, 5) AS px_key_passes, round(coalesce(tackles_won * sh, ({_base_sql(2)})::DOUBLE * 3.0), 5) AS px_tackles, round(coalesce(interceptions * sh, ({_base_sql(3)})::DOUBLE * 3.0), 5) AS px_interceptions FROM d"""
-
-
 def q44_null_census(spark, sf):
     return dataset.null_census(_players(spark, sf), ["passes", "tackles_won", "interceptions", "goals"]).select("column", "n_null", "n", r6("available"))
 
@@ -403,7 +389,7 @@ QUERIES = {
     "q15_trend": (q15_trend, Q15), "q16_composition": (q16_composition, Q16), "q17_upper_median": (q17_upper_median, Q17), "q18_tiered_fill": (q18_tiered_fill, Q18),
     "q31_latest_row": (q31_latest_row, Q31), "q32_upsert_merge": (q32_upsert_merge, Q32), "q32b_insert_absent": (q32b_insert_absent, Q32B), "q33_dedupe_union": (q33_dedupe_union, Q33),
     "q34_carry_forward": (q34_carry_forward, Q34), "q35_name_normalize": (q35_name_normalize, Q35), "q36_roster_parse": (q36_roster_parse, Q36), "q37_links": (q37_links, Q37),
-    "q39_stints": (q39_stints, Q39), "q40_date_season": (q40_date_season, Q40), "q42_fuzzy_match": (q42_fuzzy_match, None), "q43_proxy_ladder": (q43_proxy_ladder, Q43),
+    "q39_stints": (q39_stints, Q39), "q40_date_season": (q40_date_season, Q40), "q42_fuzzy_match": (q42_fuzzy_match, None),
     "q44_null_census": (q44_null_census, Q44), "q44b_match_rate": (q44b_match_rate, Q44B), "q45_effect_size": (q45_effect_size, Q45), "q46_regulation_score": (q46_regulation_score, Q46),
     "q47_rf_cv": (q47_rf_cv, None), "q48_poisson_glm": (q48_poisson_glm, None),
 }

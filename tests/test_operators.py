@@ -81,18 +81,41 @@ def test_tournament_stats(spark):
     assert (r["shots"], r["minutes"], r["is_starter"]) == (1, 90, 1)
 
 
-def test_national_profile_and_features(spark):
-    players = spark.createDataFrame([(t, p, 100 + i, float(i), i, f"c{i % 2}", 1) for t in ("A", "B") for i, p in enumerate(("FW", "MF", "DF", "GK"))],
-                                    "team string, position string, minutes int, xg double, goals int, current_club string, is_starter int")
-    for c in ("key_passes", "progressive_passes", "interceptions", "clearances", "goalkeeper_saves", "dribble_success"):
-        players = players.withColumn(c, F.lit(2))
-    prof = profile.national_profile(players)
+def _players(spark, teams=("A", "B")):
+    rows = [(t, p, 100 + i, f"c{i % 2}", 1) for t in teams for i, p in enumerate(("FW", "MF", "DF", "GK"))]
+    players = spark.createDataFrame(rows, "team string, position string, minutes int, current_club string, is_starter int")
+    return players.withColumns({f: F.lit(2.0) for f in profile.WEIGHTED})
+
+
+def test_squad_features(spark):
+    got = {r["team"]: r for r in profile.squad_features(_players(spark)).collect()}
+    a = got["A"]
+    assert (a["nt_w_xg"], a["star_top3_xg"], a["star_top_scorer_share"], a["squad_depth"], a["squad_starters"], a["pos_gk_saves"]) == (2.0, 6.0, 0.25, 4, 4, 2.0)
+    assert abs(a["pos_fw_attack_score"] - 1.15 * 2 / 100 * 90) < 1e-9 and abs(a["pos_df_defense_per90"] - 6 / 102 * 90) < 1e-9
+    assert (a["club_max_cluster_ratio"], a["club_distinct_clubs"], a["star_xg_gini"]) == (0.5, 2, 0.0)
+
+
+def test_match_matrix_has_the_catalogue_and_nothing_else(spark):
+    rating = spark.createDataFrame([("A", 1700.0, 1, "CAF")], "team string, elo double, rank int, confederation string")
+    prof = profile.team_profile(spark.createDataFrame([("A",), ("B",)], "team string"), rating, _players(spark))
+    rows = {r["team"]: r for r in prof.collect()}
+    assert (rows["A"]["elo_rating"], rows["A"]["conf_CAF"], rows["A"]["conf_UEFA"], rows["B"]["elo_rating"], rows["B"]["elo_rank"], rows["B"]["conf_UEFA"]) == (1700.0, 1.0, 0.0, 1500.0, 1.0, 1.0)
+    assert rows["A"]["lg_goals_max"] is None
     m = spark.createDataFrame([("m", "A", "B"), ("n", "A", "X")], "match_id string, home_team string, away_team string")
     t = dataset.feature_table(m, prof)
-    row = t.collect()
-    assert len(row) == 1 and row[0]["diff_depth"] == 0 and row[0]["mu_home_fw_vs_df"] is not None
-    feats = [c for c in prof.columns if c != "team"]
-    assert dataset.verify_columns(t, ["match_id", "home_team", "away_team", *dataset.expected_columns(feats)])["missing"] == []
+    assert t.count() == 1 and len(dataset.expected_columns()) == 188
+    assert dataset.verify_columns(t.drop("match_id", "home_team", "away_team"), dataset.expected_columns()) == {"missing": [], "extra": []}
+
+
+def test_proxies_by_hand(spark):
+    rows = [(1, "FW", 90.0, 900, 9, 4, 3.0, 0, 10), (2, "GK", 90.0, 0, 0, None, None, None, None), (3, "XX", 0.5, 90, 0, 0, 0.0, 2, 0)]
+    got = {r["pid"]: r for r in profile.proxy_events(spark.createDataFrame(rows, "pid int, position string, expected_minutes double, season_minutes int, goals int, assists int, xg double, interceptions int, tackles_won int")).collect()}
+    fw = got[1]
+    assert (round(fw["goals"], 9), round(fw["xg"], 9), round(fw["shots"], 9), round(fw["shots_on_target"], 9)) == (0.9, 0.3, 3.0, 1.26)
+    q = 0.3 / 0.38
+    assert abs(fw["key_passes"] - max(0.4 * 5.5, 0.8 * q)) < 1e-9 and abs(fw["crosses"] - 0.35 * q) < 1e-9 and abs(fw["pressures"] - 4.0) < 1e-9 and abs(fw["blocks"] - 0.2 * 1.0 / 0.55) < 1e-9
+    assert (got[2]["goalkeeper_saves"], got[2]["clearances"], got[2]["shots"]) == (2.5, 0.25, 0.0)
+    assert got[3]["minutes"] == 1.0 and abs(got[3]["blocks"] - 2 / 90 * 0.6) < 1e-12 and abs(got[3]["progressive_passes"] - 3.5 * 0.5 / 90) < 1e-12
 
 
 def test_attach_ratings_defaults(spark):
