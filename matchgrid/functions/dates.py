@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Weights of the last three seasons, the oldest first.
+# Weights of the last three seasons, the oldest first (fixed values).
 RECENCY = (0.3, 0.5, 1.0)
 
 

@@ -46,6 +46,12 @@ def mapped(value: Column, table: dict[str, str], default: Column | None = None)
     return F.coalesce(F.try_element_at(F.create_map(*pairs), value), default if default is not None else value)
 
 
+def club_name(name: Column, names: dict[str, str], aliases: dict[str, str]) -> Column:
+    """A club's canonical name: by the names of result files, or by further spellings, in any case and spacing; others are trimmed."""
+    known = {k.lower(): v for k, v in names.items()} | aliases
+    return mapped(name_key(name), known, F.trim(name))
+
+
 def primary_position(position: Column, upper: bool = True) -> Column:
     """First entry of a comma list, trimmed."""
     first = F.trim(F.split(position, ",")[0])

@@ -27,9 +27,15 @@ def merge_stat_tables(standard: DataFrame, others: list[DataFrame], keys: tuple[
 
 
 def arrival_starters(players: DataFrame, team: str, order: str, first: int = 11, full: int = 90, rest: int = 30) -> DataFrame:
-    """The first players of a team in order start and play ``full`` minutes, the others ``rest``."""
-    r = F.row_number().over(W.partitionBy(team).orderBy(order))
-    out = players.withColumn("is_starter", (r <= first).cast("int"))
+    """The first players of a team in order start and play ``full`` minutes, the others ``rest``.
+
+    ``order`` is total. The last starter's place is found first, from ``first`` rows a team
+    and partition, and joined back, so no team is one task.
+    """
+    best = players.select(team, order).withColumn("__r", F.row_number().over(W.partitionBy(team).orderBy(order))).where(F.col("__r") <= first)
+    last = best.groupBy(F.col(team).alias("__t")).agg(F.max(order).alias("__last"))
+    met = players.join(last, players[team].eqNullSafe(F.col("__t")), "left")
+    out = met.select(*players.columns, F.coalesce(F.col(order) <= F.col("__last"), F.lit(False)).cast("int").alias("is_starter"))
     return out.withColumn("minutes", F.when(F.col("is_starter") == 1, full).otherwise(rest))
 
 

@@ -4,31 +4,72 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def prepared(features: list[str], estimator) -> Pipeline:
-    """Median imputation, assembly and z-scores before an estimator that reads ``x``."""
+    """Median imputation, assembly and z-scores before an estimator that reads ``x``.
+
+    The median is interpolated as ``exact_medians`` does; a column without any value in a
+    fold is filled with 0.
+    """
     filled = [f"{f}__i" for f in features]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=features, outputCols=filled, relativeError=0.001),
+        MedianImputer(inputCols=features, outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="raw"),
         StandardScaler(withMean=True, inputCol="raw", outputCol="x"),
         estimator,
     ])
 
 
+def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: each column's median, the mean of the middle two where their number is even; null without values."""
+    return df.agg(*(F.percentile(c, 0.5).alias(c) for c in columns))
+
+
+class MedianImputerModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Fills nulls and NaN with fixed values."""
+
+    values = Param(Params._dummy(), "values", "value of each input column", typeConverter=TypeConverters.toListFloat)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        pairs = zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.values), strict=True)
+        return dataset.select("*", *(F.coalesce(F.nanvl(F.col(i).cast("double"), F.lit(None)), F.lit(v)).alias(o) for i, o, v in pairs))
+
+
+class MedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Exact interpolated medians, unlike ``pyspark.ml.feature.Imputer``, whose quantiles are approximate."""
+
+    def __init__(self, inputCols: list[str] | None = None, outputCols: list[str] | None = None):
+        super().__init__()
+        self._set(inputCols=inputCols or [], outputCols=outputCols or [])
+
+    def _fit(self, dataset: DataFrame) -> MedianImputerModel:
+        cols = self.getInputCols()
+        row = exact_medians(dataset.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols)), cols).first()
+        model = MedianImputerModel()
+        return model._set(inputCols=cols, outputCols=self.getOutputCols(), values=[0.0 if v is None else float(v) for v in row])
+
+
 def forest(label: str = "y", trees: int = 300, depth: int = 6, leaf: int = 4, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
 
 
+def upset_forest(label: str = "upset") -> RandomForestClassifier:
+    """The model of upsets among lopsided matches: shallower trees with smaller leaves."""
+    return forest(label, depth=5, leaf=3)
+
+
 def boosted(classes: int = 2, label: str = "y", iterations: int = 60, depth: int = 3, seed: int = 42):
     """Gradient-boosted trees; one against the rest for more than two classes."""
     gbt = GBTClassifier(featuresCol="x", labelCol=label, maxIter=iterations, maxDepth=depth, seed=seed)
@@ -57,22 +98,28 @@ def with_folds(df: DataFrame, key: str, folds: int = 5, label: str | None = None
     return df.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(h, key)) - 1) % folds).cast("int"))
 
 
-def cross_predict(df: DataFrame, estimator: Pipeline, key: str, folds: int = 5, label: str = "y", leave_one_out_up_to: int = 50) -> DataFrame:
+def cross_predict(df: DataFrame, estimator: Pipeline, key: str, folds: int = 5, label: str = "y", leave_one_out_up_to: int = 1000, fit_rows: int | None = None) -> DataFrame:
     """Out-of-fold predictions, joined by key, never by place: ``prediction``, and ``p`` (array) for classifiers.
 
     Each fold fits imputer, scaler and model on the other folds alone. Up to
-    ``leave_one_out_up_to`` rows every row is a fold.
+    ``leave_one_out_up_to`` rows every row is a fold. A fit takes at most ``fit_rows`` rows,
+    those whose keys hash lowest, where that is given; predictions are always of all rows.
     """
     n = df.count()
     if n <= leave_one_out_up_to:
-        data = df.withColumn("fold", F.row_number().over(W.orderBy(key)) - 1)
+        data = df.withColumn("fold", F.row_number().over(W.orderBy(key)) - 1)  # few rows
         folds = n
     else:
         data = with_folds(df, key, folds, label)
     made = []
     for i in range(folds):
         train = data.where(F.col("fold") != i)
-        model = estimator.fit(balanced(train, label) if "w" not in df.columns else train)
+        if fit_rows is not None and n > fit_rows:
+            every = n // fit_rows
+            train = train.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(every)) == 0).orderBy(F.xxhash64(key, F.lit(13)), key).limit(fit_rows)
+        train = (balanced(train, label) if "w" not in df.columns else train).persist()  # a fit reads it again and again
+        model = estimator.fit(train)
+        train.unpersist()
         out = model.transform(data.where(F.col("fold") == i).withColumn("w", F.lit(1.0)))
         p = [vector_to_array("probability").alias("p")] if "probability" in out.columns else []
         made.append(out.select(key, "prediction", *p))
@@ -85,17 +132,23 @@ def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, fl
     return sorted(zip(features, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def permutation_importance(df: DataFrame, model: PipelineModel, features: list[str], label: str = "y", seed: int = 7) -> DataFrame:
-    """(feature, drop): what accuracy loses when a feature's values change rows. Rows are re-paired by rank of a hash."""
-    base = model.transform(df).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-    rows = []
-    numbered = df.withColumn("__a", F.row_number().over(W.orderBy(F.xxhash64(*features))))
+def permutation_importance(df: DataFrame, model: PipelineModel, features: list[str], label: str = "y", seed: int = 7, rows: int = 1000) -> DataFrame:
+    """(feature, drop): what accuracy loses when a feature's values change rows.
+
+    Values move within hash buckets of about ``rows`` rows: each row takes the value of the
+    next one by another hash, so no task sees the whole table. This stands in for Shapley
+    values, which no public Spark library has.
+    """
+    right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+    base = model.transform(df).agg(right).first()[0]
+    buckets = F.lit(max(1, df.count() // rows))
+    found = []
     for i, f in enumerate(features):
-        other = df.select(F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed + i), *features))).alias("__a"), F.col(f).alias("__v"))
-        changed = numbered.join(other, "__a").withColumn(f, F.col("__v")).drop("__v", "__a")
-        acc = model.transform(changed).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        rows.append((f, float(base - acc)))
-    return df.sparkSession.createDataFrame(rows, "feature string, drop double")
+        h = F.xxhash64(F.lit(seed + i), *features)
+        w = W.partitionBy(F.pmod(F.xxhash64(F.lit(-seed), *features), buckets)).orderBy(h, f)
+        changed = df.withColumn(f, F.coalesce(F.lead(f).over(w), F.first(f).over(w)))
+        found.append((f, float(base - model.transform(changed).agg(right).first()[0])))
+    return df.sparkSession.createDataFrame(found, "feature string, drop double")
 
 
 def subset_search(df: DataFrame, ranked: list[str], sizes: list[int], key: str, label: str = "y", folds: int = 5, trees: int = 50) -> DataFrame:

@@ -359,9 +359,12 @@ SELECT match_id, ko AS is_knockout, CAST(CASE WHEN ko THEN h ELSE 2 END AS INTEG
   CASE WHEN ko THEN 'A' END AS qualifier, CAST(sign(CASE WHEN ko THEN h - a ELSE 1 END) AS INTEGER) AS result FROM g"""
 
 
-def _model_rows(spark, sf, n=1500):
-    """The first games in order (a fit's bounded sample)."""
-    g = games(spark, sf).orderBy("d", "k", "pk", "sk", "xp").limit(n)
+#: Rows that a fold's model is fitted on (a bounded sample); all games are predicted.
+FIT_ROWS = 1500
+
+
+def _model_rows(spark, sf):
+    g = games(spark, sf)
     key = F.concat_ws("-", "k", "pk", "sk", F.floor("xp").cast("string"))
     return g.select(key.alias("id"), "eh", "ea", F.col("disc").alias("f1"), F.when(F.col("tax") > 0.01, F.col("tax")).alias("f2"), (F.col("result") + 1).cast("double").alias("y"), F.col("hg").cast("double").alias("goals")).dropDuplicates(["id"])
 
@@ -369,16 +372,16 @@ def _model_rows(spark, sf, n=1500):
 def q47_rf_cv(spark, sf):
     from matchgrid.operators import models
 
-    rows = _model_rows(spark, sf).cache()
-    out = models.cross_predict(rows, models.prepared(["eh", "ea", "f1", "f2"], models.forest(trees=20, depth=4)), "id", folds=3)
+    rows = _model_rows(spark, sf)
+    out = models.cross_predict(rows, models.prepared(["eh", "ea", "f1", "f2"], models.forest(trees=20, depth=4)), "id", folds=3, fit_rows=FIT_ROWS)
     return out.join(rows.select("id", "y"), "id").groupBy("y", "prediction").agg(F.count("*").alias("n"))
 
 
 def q48_poisson_glm(spark, sf):
     from matchgrid.operators import models
 
-    rows = _model_rows(spark, sf).cache()
-    out = models.cross_predict(rows.withColumn("w", F.lit(1.0)), models.prepared(["eh", "ea", "f1", "f2"], models.goal_model()), "id", folds=3, label="goals")
+    rows = _model_rows(spark, sf)
+    out = models.cross_predict(rows.withColumn("w", F.lit(1.0)), models.prepared(["eh", "ea", "f1", "f2"], models.goal_model()), "id", folds=3, label="goals", fit_rows=FIT_ROWS)
     met = out.join(rows.select("id", "goals"), "id")
     return met.agg(F.count("*").alias("n"), F.avg(F.abs(numbers.clamp(F.col("prediction"), 0.05, 6.0) - F.col("goals"))).alias("mae"))
 

@@ -5,14 +5,12 @@ All paths go to Spark's readers, so any store that Spark can read works.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchgrid.functions import dates, market, nested, text
-from matchgrid.sources import schemas
+from matchgrid.sources import fixed, schemas
 
 
 def csv(spark: SparkSession, paths: str | list[str], schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -29,22 +27,36 @@ def csv(spark: SparkSession, paths: str | list[str], schema: str | None = None,
 def club_matches(spark: SparkSession, paths: list[str], encoding: str = "ISO-8859-1", missing_ok: bool = True) -> DataFrame:
     """Domestic results of files named ``<league>_<season>.csv``, unreadable rows skipped, in date order.
 
-    A missing file is skipped where ``missing_ok``, one without a HomeTeam column always;
-    columns are taken by name, since seasons order them differently. Rows without teams or
-    whole goals go.
+    Seasons order their columns differently, so the files are read as lines, in one scan
+    however many there are: a file's first line names its columns, and every other line is
+    cut by them. A missing file is skipped where ``missing_ok``, one without a HomeTeam
+    column always. Fields hold no line breaks. Rows without teams or whole goals go.
     """
     names = [c.split(" ")[0] for c in schemas.DOMESTIC.split(", ")]
-    frames = []
-    for path in paths:
-        if missing_ok and not _exists(spark, path):
-            continue
-        raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
-        if "HomeTeam" in raw.columns:
-            have = [F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names]
-            frames.append(raw.select(*have, F.col("_metadata.file_name").alias("source_file")))
-    if not frames:
+    found = _existing(spark, paths) if missing_ok else list(paths)
+    if not found:
         return tidy_results(spark.createDataFrame([], schemas.DOMESTIC + ", source_file string"))
-    return tidy_results(reduce(DataFrame.union, frames))
+    raw = spark.read.format("binaryFile").load(found).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.split(F.regexp_replace(F.decode("content", encoding), "^(\ufeff|ï»¿)", ""), "\r?\n").alias("lines"))
+    cut = lambda line: F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    rows = raw.select("source_file", cut(F.get("lines", 0)).alias("head"), F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
+    rows = rows.where(F.array_contains("head", "HomeTeam")).withColumn("cells", cut(F.col("line")))
+    field = lambda n: F.when(F.array_position("head", F.lit(n)) > 0, F.get("cells", F.array_position("head", F.lit(n)).cast("int") - 1))
+    return tidy_results(rows.select(*(field(n).alias(n) for n in names), F.regexp_replace(F.col("source_file"), "%20", " ").alias("source_file")))
+
+
+def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those that exist, by one listing of each folder they are in."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    folders: dict[str, set[str]] = {}
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        folder = where.getParent()
+        if folder.toString() not in folders:
+            fs = folder.getFileSystem(conf)
+            folders[folder.toString()] = {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+        if where.getName() in folders[folder.toString()]:
+            found.append(path)
+    return found
 
 
 def tidy_results(raw: DataFrame) -> DataFrame:
@@ -84,13 +96,16 @@ def elo_snapshot(spark: SparkSession, path: str, aliases: dict[str, str] | None
     return raw.select(text.mapped(F.col("team"), aliases or {}).alias("team"), "v.elo", "v.rank", F.coalesce("v.confederation", F.lit("UEFA")).alias("confederation"))
 
 
-#: The year whose ratings stand before a tournament.
-SNAPSHOT_YEAR = {"wc2018": 2017, "euro2020": 2020, "wc2022": 2021}
-
-
-def elo_at(history: DataFrame, tournament: str, years: dict[str, int] = SNAPSHOT_YEAR) -> DataFrame:
-    """Ratings of the year before a tournament, best first."""
-    return history.where(F.col("year") == years[tournament]).select("team", F.col("rating").alias("elo"), "rank").orderBy(F.desc("elo"), "team")
+def elo_at(history: DataFrame, tournament: str, routes: dict[str, int | str] | None = None, snapshot: DataFrame | None = None) -> DataFrame:
+    """Ratings before a tournament, best first: of a year of the history, or of a ``snapshot`` (``elo_snapshot``) where its route names no year."""
+    route = (routes or fixed.SNAPSHOTS)[tournament]
+    if isinstance(route, int):
+        rows = history.where(F.col("year") == route).select("team", F.col("rating").alias("elo"), "rank")
+    elif snapshot is None:
+        raise ValueError(f"{tournament} takes its ratings from a snapshot")
+    else:
+        rows = snapshot.select("team", "elo", "rank")
+    return rows.orderBy(F.desc("elo"), "team")
 
 
 def schedule(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -113,12 +128,12 @@ def rosters(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("team", "players")).select("team", F.posexplode("players").alias("slot", "p")).select("team", "slot", "p.*")
 
 
-def odds(raw: DataFrame, tournament: str, aliases: dict[str, str] | None = None) -> DataFrame:
+def odds(raw: DataFrame, tournament: str, aliases: dict[str, str] = fixed.TEAM_ALIASES) -> DataFrame:
     """Unified odds rows of raw rows; those without three readable odds go; one row a pairing, the first by date."""
     o = nested.market_odds(F.col("1x2_market"))
     rows = raw.select(F.trim("home_team").alias("home_team"), F.trim("away_team").alias("away_team"), dates.utc_time(F.col("match_date")).alias("match_date"), o.alias("o"))
     rows = rows.where("o is not null")
-    key = lambda c: text.mapped(text.name_key(F.col(c)), aliases or {})
+    key = lambda c: text.mapped(text.name_key(F.col(c)), aliases)
     p = market.devig(F.col("o.home"), F.col("o.draw"), F.col("o.away"))
     out = rows.select(
         F.lit(tournament).alias("tournament"), "home_team", "away_team", key("home_team").alias("home_key"), key("away_team").alias("away_key"), "match_date",
@@ -172,3 +187,25 @@ def concat_unique(frames: list[DataFrame], keys: list[str], order: list[Column])
 
 
 __all__ = ["cached", "club_matches", "concat_unique", "csv", "elo_at", "elo_snapshot", "lineup_players", "odds", "rosters", "schedule", "squad_sections", "starting_players", "stem_lists", "text_lines", "tidy_results"]
+
+
+def matches_of(matches: DataFrame, team: str, home: str = "home_team", away: str = "away_team") -> DataFrame:
+    """Matches in which a team plays at home or away."""
+    return matches.where((F.col(home) == team) | (F.col(away) == team))
+
+
+def slice_schedule(matches: DataFrame, matchday: int | None = None, group: str | None = None) -> DataFrame:
+    """A schedule's matches of a matchday, of a group (in either case), or of both."""
+    if matchday is not None:
+        matches = matches.where(F.col("matchday") == matchday)
+    return matches if group is None else matches.where(F.col("grp") == group.upper())
+
+
+def teams_of(matches: DataFrame, home: str = "home_team", away: str = "away_team") -> DataFrame:
+    """(team): every side of the matches once."""
+    return matches.select(F.col(home).alias("team")).union(matches.select(F.col(away).alias("team"))).where("team is not null").distinct()
+
+
+def known_teams(matches: DataFrame, profiles: DataFrame, team: str = "team") -> DataFrame:
+    """(team): sides of the matches that have a profile."""
+    return teams_of(matches).intersect(profiles.select(F.col(team).alias("team")))

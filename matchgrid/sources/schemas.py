@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+# Columns of the tables, in table order (fixed values).
 PLAYERS = """internal_player_id string not null, full_name string not null, full_name_ascii string not null, display_name string,
     dob date, height_cm double, weight_kg double, position string, current_club string, league_tier int"""
 LEAGUE_STATS = """id long, internal_player_id string not null, season string, as_of_date date not null, xg double, goals int, assists int,
     passes_completed int, passes_attempted int, interceptions int, tackles_won int, minutes_played int"""
-#: Event metrics of a player in a competition, in table order (fixed values).
+# Event metrics of a player in a competition (fixed values).
 EVENT_METRICS = [
     "xg", "goals", "shots", "shots_on_target", "passes_completed", "passes_attempted", "key_passes", "through_balls", "crosses",
     "progressive_passes", "dribble_attempts", "dribble_success", "carries_count", "progressive_carry_distance", "interceptions",
@@ -16,12 +17,13 @@ EVENT_METRICS = [
 REAL_METRICS = {"xg", "progressive_carry_distance"}
 NATIONAL_STATS = (
     "id long, internal_player_id string not null, competition string, as_of_date date not null, "
-    + ", ".join(f"{m} {'double' if m in REAL_METRICS else 'int'}" for m in EVENT_METRICS)
-    + ", assists int, caps int, minutes_played int, is_starter int"
+    + ", ".join(f"{m} {'double' if m in REAL_METRICS else 'int'}" + (", assists int" if m == "goals" else "") for m in EVENT_METRICS)
+    + ", caps int, minutes_played int, is_starter int"
 )
 MATCH_EVENTS = "id long, match_id string, event_timestamp timestamp_ntz, match_minute int, event_type string, formation string, player_id string, detail string"
 TABLES = {"players": PLAYERS, "player_stats_league": LEAGUE_STATS, "player_stats_national": NATIONAL_STATS, "match_events": MATCH_EVENTS}
 
+# Columns of feeds and files (fixed values).
 MATCHES = "match_id string, home_team string, away_team string, home_score int, away_score int, competition_stage string"
 EVENTS = """match_id string, player string, team string, type string, period int, location array<double>, shot_statsbomb_xg double,
     shot_outcome string, pass_outcome string, pass_shot_assist boolean, pass_through_ball boolean, pass_type string, pass_cross boolean,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,11 +19,16 @@ def read(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> D
 
 
 def ingest_absent(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: append rows whose keys the Parquet table lacks, one a key; a batch that is run again adds nothing."""
+    """For ``foreachBatch``: append rows whose keys the Parquet table lacks, one a key, the first by its other columns; a batch that is run again adds nothing.
+
+    One query may write the table: two at once could both add a key.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
+        rest = [F.col(c).asc_nulls_last() for c in batch.columns if c not in keys]
+        first = W.partitionBy(*keys).orderBy(*(rest or keys))
+        new = batch.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
             new = missing_rows(new, spark.read.parquet(path), keys)

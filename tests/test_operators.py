@@ -158,6 +158,46 @@ def test_shipped_shape_sources(spark, tmp_path):
     assert made == [1]
 
 
+def test_result_files_in_one_scan(spark, tmp_path):
+    """Columns in any order, quoted commas, a file that is missing, one without teams, one that is empty."""
+    (tmp_path / "E0_2223.csv").write_bytes("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG\nE0,05/08/22,Málaga,B,2,1\n".encode("latin-1"))
+    (tmp_path / "E1_2122.csv").write_bytes(b'FTAG,FTHG,AwayTeam,HomeTeam,Date\r\n0,3,"D, United",C,06/08/2021\r\n1,x,D,C,06/08/2021\r\n')
+    (tmp_path / "E2_2122.csv").write_bytes(b"Date,Home\n06/08/2021,C\n")
+    (tmp_path / "E3_2122.csv").write_bytes(b"")
+    paths = [str(tmp_path / f"E{i}_{s}.csv") for i, s in ((0, "2223"), (1, "2122"), (2, "2122"), (3, "2122"), (4, "2122"))]
+    got = readers.club_matches(spark, paths).collect()
+    assert [(r["home_team"], r["away_team"], r["home_score"], r["away_score"], r["league"], r["season_code"]) for r in got] == [("C", "D, United", 3, 0, "E1", "2122"), ("Málaga", "B", 2, 1, "E0", "2223")]
+    assert readers.club_matches(spark, paths[4:]).count() == 0
+
+
+def test_ratings_before_a_tournament(spark):
+    hist = spark.createDataFrame([(2017, "A", 1600.0, 2), (2017, "B", 1700.0, 1), (2020, "A", 1800.0, 1)], schemas.ELO_HISTORY)
+    assert [r["team"] for r in readers.elo_at(hist, "wc2018").collect()] == ["B", "A"]
+    snap = spark.createDataFrame([("C", 1900.0, 1, "CAF")], "team string, elo double, rank int, confederation string")
+    assert readers.elo_at(hist, "wc2026", snapshot=snap).first()["team"] == "C"
+
+
+def test_slices_and_team_sets(spark):
+    m = spark.createDataFrame([(1, "A", "x", "y"), (2, "A", "y", "z"), (1, "B", "u", None)], "matchday int, grp string, home_team string, away_team string")
+    assert readers.matches_of(m, "y").count() == 2 and readers.slice_schedule(m, 1, "a").count() == 1 and readers.slice_schedule(m, group="b").count() == 1
+    assert sorted(r["team"] for r in readers.teams_of(m).collect()) == ["u", "x", "y", "z"]
+    assert [r["team"] for r in readers.known_teams(m, spark.createDataFrame([("z",), ("q",)], "team string")).collect()] == ["z"]
+
+
+def test_medians_are_exact_and_filled_per_fold(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, float("nan")), (10.0, 4.0), (None, 8.0)], "a double, b double")
+    m = models.MedianImputer(["a", "b"], ["x", "y"]).fit(df)
+    assert sorted((r["x"], r["y"]) for r in m.transform(df).collect()) == [(1.0, 6.0), (2.0, 6.0), (2.0, 8.0), (10.0, 4.0)]
+    assert models.exact_medians(spark.createDataFrame([(1.0,), (4.0,)], "a double"), ["a"]).first()["a"] == 2.5
+
+
+def test_permutation_importance(spark):
+    rows = spark.createDataFrame([(float(i % 2), float(i % 7), float(i % 2)) for i in range(200)], "a double, b double, y double")
+    model = models.prepared(["a", "b"], models.forest(trees=5, depth=3)).fit(rows.withColumn("w", F.lit(1.0)))
+    got = {r["feature"]: r["drop"] for r in models.permutation_importance(rows, model, ["a", "b"], rows=50).collect()}
+    assert got["a"] > 0.2 and abs(got["b"]) < 0.05
+
+
 def test_html_tables(spark):
     page = "<table><tr><th>a</th></tr></table><table><tr><th>Player</th><th>Gls</th></tr><tr><td>Ann <b>Lee</b></td><td>1,200</td></tr></table>"
     t = html.tables(spark.createDataFrame([(1, page), (2, None), (3, "<table><tr><td>x</td></tr>")], "page_id long, html string"))
@@ -186,7 +226,7 @@ def test_report_and_qualifier(spark):
 
 def test_models_keep_folds_apart(spark):
     rows = spark.createDataFrame([(f"r{i}", float(i % 7), float((i * 3) % 5) if i % 4 else None, float(i % 7 > 3)) for i in range(60)], "id string, a double, b double, y double")
-    out = models.cross_predict(rows, models.prepared(["a", "b"], models.forest(trees=5, depth=3)), "id", folds=2)
+    out = models.cross_predict(rows, models.prepared(["a", "b"], models.forest(trees=5, depth=3)), "id", folds=2, leave_one_out_up_to=50)
     met = out.join(rows, "id")
     assert met.count() == 60 and met.where("prediction = y").count() > 50
     folds = models.with_folds(rows, "id", 5, "y").groupBy("y", "fold").count()
