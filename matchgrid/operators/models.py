@@ -136,17 +136,19 @@ def permutation_importance(df: DataFrame, model: PipelineModel, features: list[s
     """(feature, drop): what accuracy loses when a feature's values change rows.
 
     Values move within hash buckets of about ``rows`` rows: each row takes the value of the
-    next one by another hash, so no task sees the whole table. This stands in for Shapley
-    values, which no public Spark library has.
+    next one in an order that another hash of the rows' numbers gives, so no task sees the
+    whole table. This stands in for Shapley values, which no public Spark library has.
     """
     right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
     base = model.transform(df).agg(right).first()[0]
     buckets = F.lit(max(1, df.count() // rows))
+    numbered = df.withColumn("__n", F.monotonically_increasing_id())
     found = []
     for i, f in enumerate(features):
-        h = F.xxhash64(F.lit(seed + i), *features)
-        w = W.partitionBy(F.pmod(F.xxhash64(F.lit(-seed), *features), buckets)).orderBy(h, f)
-        changed = df.withColumn(f, F.coalesce(F.lead(f).over(w), F.first(f).over(w)))
+        w = W.partitionBy(F.pmod(F.xxhash64("__n", F.lit(seed)), buckets)).orderBy(F.xxhash64("__n", F.lit(seed + 1 + i)), "__n")
+        own = W.partitionBy(F.pmod(F.xxhash64("__n", F.lit(seed)), buckets)).orderBy(F.xxhash64("__n", F.lit(seed + 1 + i)), "__n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        last = F.row_number().over(w) == F.count("*").over(own)
+        changed = numbered.withColumn("__v", F.when(last, F.first(f).over(own)).otherwise(F.lead(f).over(w))).withColumn(f, F.col("__v")).drop("__n", "__v")
         found.append((f, float(base - model.transform(changed).agg(right).first()[0])))
     return df.sparkSession.createDataFrame(found, "feature string, drop double")
 

@@ -1,8 +1,10 @@
 """Entity resolution: best match by token-set similarity.
 
-Candidates come from blocks (a shared token, or the first letters of one), so work
-follows the candidates, not the product of both sides; ``exhaustive`` compares all with
-all where the roster is small.
+Candidates come from two indexes that lose no pair above the threshold. A pair that shares
+a token meets under it. Any other pair scores by the common subsequence of the sorted
+tokens, which is at most what the two bags of characters share; ordered from rare to
+common characters, two bags that share enough have one of their first characters in
+common (prefix filter). ``exhaustive`` compares all with all where the roster is small.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from matchgrid.functions.text import ascii_name
 
 #: Least scores by use.
 THRESHOLDS = {"default": 80, "squad": 78, "league": 80, "missing": 82}
-PREFIX = 3
+#: Characters from rare to common in names; any order is right, this one gives small blocks.
+RARE_FIRST = "qxzjwvkfpybghcudmstlornieaQ 0123456789"
 #: Largest roster that ``exhaustive`` broadcasts.
 SMALL_ROSTER = 5_000
 
@@ -62,9 +65,21 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], index=a.index, dtype="int32")
 
 
-def _blocks(name: str):
-    tokens = F.filter(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
-    return F.explode(F.array_distinct(F.transform(tokens, lambda t: F.substring(t, 1, PREFIX))))
+def _least_share(threshold: int) -> float:
+    """The share of the longer of two bags that must be common, and so the least length of the shorter against the longer."""
+    return (threshold - 0.5) / (200 - (threshold - 0.5))
+
+
+def _blocks(name: str, threshold: int):
+    """(n, ks): a name's characters without repeated tokens, and the keys under which it meets every other that can reach the threshold: its tokens, and the first of its counted characters."""
+    tokens = F.array_distinct(F.filter(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"), lambda t: t != ""))
+    letters = F.filter(F.split(F.array_join(tokens, " "), ""), lambda c: c != "")
+    # the second a of a name is another element than the first
+    counted = F.transform(letters, lambda c, i: F.struct(F.instr(F.lit(RARE_FIRST), c).alias("p"), (-F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c))).alias("n"), c.alias("c")))
+    n = F.size(letters)
+    first = F.slice(F.sort_array(counted), F.lit(1), n - F.ceil(n * _least_share(threshold) - 1e-9).cast("int") + 1)
+    keys = F.concat(F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), F.transform(first, lambda x: F.concat(F.lit("c:"), x["c"], x["n"].cast("string"))))
+    return F.struct(n.alias("n"), F.when(n > 0, keys).otherwise(F.array().cast("array<string>")).alias("ks"))
 
 
 def best_matches(
@@ -84,8 +99,10 @@ def best_matches(
             raise ValueError(f"exhaustive is for rosters of up to {SMALL_ROSTER} names")
         pairs = t.join(F.broadcast(r))
     else:
-        a, b = t.select("target", "t_key", _blocks("t_key").alias("k")), r.select("*", _blocks("r_key").alias("k"))
-        pairs = a.join(b, "k").select("target", "t_key", "name", "entity_id", "pos", "r_key").distinct()
+        a = t.withColumn("b", _blocks("t_key", threshold)).select("target", "t_key", F.col("b.n").alias("n"), F.explode("b.ks").alias("k"))
+        b = r.withColumn("b", _blocks("r_key", threshold)).select("name", "entity_id", "pos", "r_key", F.col("b.n").alias("m"), F.explode("b.ks").alias("k"))
+        fits = F.col("k").startswith("t:") | (F.least("n", "m") >= F.greatest("n", "m") * _least_share(threshold) - 1e-9)
+        pairs = a.join(b, "k").where(fits).select("target", "t_key", "name", "entity_id", "pos", "r_key").distinct()
     scored = pairs.withColumn("score", similarity("t_key", "r_key")).where(F.col("score") >= threshold)
     key = "target" if per == "target" else "pos"
     order = W.partitionBy(key).orderBy(F.desc("score"), "pos", "target")

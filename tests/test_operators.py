@@ -1,4 +1,5 @@
 import json
+import random
 
 from matchgrid.operators import dataset, events, merge, models, profile, ratings, resolve, simulate
 from matchgrid.sources import html, readers, schemas, writers
@@ -24,6 +25,33 @@ def test_best_matches(spark):
     assert {(r["name"], r["target"]) for r in per_roster} == {("José Pérez", "Perez Jose"), ("Jose Perez Lopez", "Perez Jose"), ("Li Wei", "Wei Li")}
 
 
+def test_candidates_lose_no_match(spark):
+    """Names with errors anywhere, tokens lost and turned round, against all pairs."""
+    rng = random.Random(8)
+    letters = "abcdeilmnorstuvz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+    names = [" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(120)]
+
+    def spoil(name):
+        name = list(name)
+        for _ in range(rng.randrange(0, 4)):
+            i = rng.randrange(len(name))
+            name[i : i + 1] = rng.choice([[], [rng.choice(letters)], [name[i], rng.choice(letters)]])
+            if not name:
+                name = ["x"]
+        parts = "".join(name).split()
+        rng.shuffle(parts)
+        return " ".join(parts) or "x"
+
+    targets = sorted({spoil(rng.choice(names)) for _ in range(150)})
+    roster = spark.createDataFrame([(n, f"id{i}", i) for i, n in enumerate(names)], "name string, entity_id string, pos int")
+    asked = spark.createDataFrame([(t,) for t in targets], "target string")
+    for threshold in (70, 80):
+        fast = {r["target"]: (r["entity_id"], r["score"]) for r in resolve.best_matches(asked, roster, threshold).collect()}
+        every = {r["target"]: (r["entity_id"], r["score"]) for r in resolve.best_matches(asked, roster, threshold, exhaustive=True).collect()}
+        assert fast == every and sum(s is not None for _, s in every.values()) > 60
+
+
 def test_elo_fold_and_as_of(spark):
     m = spark.createDataFrame([("g", 1, "A", "B", 2, 0), ("g", 2, "B", "A", 1, 1), ("h", 1, "C", "D", 0, 5)], "grp string, t int, home string, away string, hg int, ag int")
     rows = {(r["grp"], r["t"]): r for r in ratings.elo_fold(m, "grp", ["t"]).collect()}
