@@ -69,6 +69,10 @@ class _Chunks(dict):
         return ids
 
 
+#: Latin-1 text that shows whether a vocabulary lower-cases, drops white space and cuts pre-tokens as ``_PRE_TOKENS`` does.
+_PROBE = "It's Don't we'LL 12 a1b2 ÀÉß x--y (z)! caf\xe9\n\tEND " + " ".join(chr(c) for c in range(1, 256) if c not in range(0x1C, 0x20)) + " " + "".join(chr(c) for c in range(33, 256))
+
+
 class Encoder:
     """text -> bytes, the ids as little-endian unsigned 32-bit numbers.
 
@@ -85,10 +89,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.pieces = _Pieces(self.tokenizer)
         self.chunks = _Chunks(self.pieces)
+        # another vocabulary may cut texts otherwise; then all of them go to the tokenizer
+        self.known = self._fast(_PROBE) == self._slow(_PROBE)
 
     def __call__(self, text: str) -> bytes:
-        if not _plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._fast(text) if self.known and _plain(text) else self._slow(text)
+
+    def _slow(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _fast(self, text: str) -> bytes:
         for cache in (self.chunks, self.pieces):
             if len(cache) > CACHE:  # the oldest entries are the commonest
                 for k in list(islice(cache, CACHE // 2, None)):

@@ -86,3 +86,21 @@ def test_pricing_is_the_best_knapsack():
         for c in range(1, 21):
             brute[c] = max([brute[c - 1], *(brute[c - s] + v for s, v in zip(sizes, values) if s <= c)])
         assert abs(best - brute[20]) < 1e-9 and counts @ sizes <= 20 and abs(counts @ values - best) < 1e-9
+
+
+def test_other_vocabularies_go_to_their_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for name, known in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        encode, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+        assert encode.known == known
+        for text in ("Hello  World's\n\nfoo_bar 12.5 é", "a\tb", ""):
+            assert list(np.frombuffer(encode(text), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts(spark):
+    text = "word of the day " * 200_000
+    got = packing.pack(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), with_ids=False).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == 800_001 and all(r["doc_tokens"] == 800_001 for r in got if r["doc_id"] == 1)
