@@ -34,6 +34,8 @@ from matchgrid.llm.common import new_path, table, write_table
 DEDUP_BYTES = 1000
 #: Captures of an index block.
 BLOCK_ROWS = 256
+#: Payloads that a writing task holds as Python objects.
+SLICE = 64
 #: Archives are cut at about so many compressed bytes.
 ARCHIVE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
@@ -108,7 +110,9 @@ def _writer(folder: str):
         try:
             for batch in batches:
                 rows = []
-                for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # payloads become Python objects a few at a time
+                parts = (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE))
+                for r in (x for part in parts for x in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                     page, url, payload, digest, refers = r
                     if out is None or at > ARCHIVE_BYTES:
                         if out is not None:
@@ -135,14 +139,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     The payload is the html in UTF-8, empty for null. Of equal payloads of at least
     ``DEDUP_BYTES`` bytes the one with the largest id is the response, others revisit it;
     rows that repeat that id are all responses. A row with a null id is a response that
-    nothing refers to. An empty table writes nothing.
+    nothing refers to. An empty table writes nothing. Payloads of any length are written
+    whole; other columns of ``pages`` are not read, whatever their names.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("big", F.octet_length("payload") >= DEDUP_BYTES)
     # the pages that hold equal payloads: thin, and added up before the shuffle
     heads = rows.where("big and page is not null").groupBy("digest").agg(F.max("page").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = rows.join(heads, "digest", "left")
+    # smaller payloads have no head; keys of their own keep the empty and the short ones, of which there may be many, apart
+    alone = F.concat(F.lit("-"), F.xxhash64("page", "url").cast("string"))
+    rows = rows.withColumn("key", F.when(F.col("big"), F.col("digest")).otherwise(alone))
+    met = rows.join(heads.withColumnRenamed("digest", "key"), "key", "left")
     refers = F.when(F.col("big") & (F.col("page") < F.col("head")), F.col("head"))
     return write_table(
         met.select("page", "url", "payload", "digest", refers.alias("refers")).mapInArrow(_writer(folder), "skey string, page long, archive string, at long, size long"),
