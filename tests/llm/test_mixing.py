@@ -58,3 +58,9 @@ def test_nulls_ties_and_clashing_names(spark):
     words = sum(len(r["text"].split()) for r in mixed.collect())
     assert abs(words - 1.5 * 58) <= 2
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 1_000_000, "a"), (2, "w " * 10, "b"), (3, "w " * 10, "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(docs, keep=["doc_id"]).collect()}
+    assert got[1][0] == 1_000_000 and got[1][1] == 1_500_030 - 40 and got[2] == got[3] == (10, 20)

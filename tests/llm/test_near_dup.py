@@ -59,3 +59,14 @@ def test_nulls_short_texts_ties_and_clashing_names(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["_component_id"], r["_kept"]) for r in got.collect()) == _brute(rows)
     assert got.where("keeper").count() == 9
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    other = words[:]
+    for i in range(0, len(other), 50):
+        other[i] = f"x{i}"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:100_000])), (4, " ".join(reversed(words)))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, got.collect())) == _brute(rows)

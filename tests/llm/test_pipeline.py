@@ -1,9 +1,15 @@
 import os
+import re
+import zlib
+from collections import Counter
 
 import corpus_pipeline as cp
+import duckdb
 import numpy as np
-from matchgrid.llm import common, secrets
+import public_tokenizers
+from matchgrid.llm import common, mixing, packing, secrets
 from matchgrid.llm.queries import QUERIES
+from tokenizers import Tokenizer
 
 
 def test_stages_end_to_end(spark, sf):
@@ -73,3 +79,92 @@ def test_other_results_survive_a_run_and_its_own_tables_go(spark, sf):
     assert left and all(p.rsplit("/", 1)[-1].split("-")[0] in ("pieces", "counts") for p in left)
     common.release(found, first, again)
     assert not [p for p in [*all_paths, *paths] if os.path.exists(p.removeprefix("file://"))]
+
+
+def _groups(rows):
+    """doc_id -> smallest id that links reach, by all pairs."""
+    sets = {r["doc_id"]: _shingles(r["text"]) for r in rows}
+    head = {i: i for i in sets}
+
+    def top(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and a and b and 100 * len(a & b) >= 75 * len(a | b):
+                p, q = top(i), top(j)
+                head[max(p, q)] = min(p, q)
+    return {i: top(i) for i in sets}
+
+
+def _shingles(text):
+    w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return set(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_each_stage_matches_brute_force_on_its_input(spark, sf, tmp_path):
+    """Whole inputs: groups by all pairs, secrets by one dictionary, the mix by SQL, pieces by the tokenizer itself."""
+    docs, inputs, outputs = spark.read.parquet(f"{sf}/documents.parquet"), {}, {}
+    for name, stage in cp.STAGES:
+        inputs[name] = docs
+        docs = cp.write_table(stage(spark, docs, sf), "test")
+        outputs[name] = docs
+        if name != "packing":
+            docs.write.parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
+    rows = {n: d.collect() for n, d in outputs.items() if n == "packing"} | {n: spark.read.parquet(str(tmp_path / n)).collect() for n, _ in cp.STAGES[:-1]}
+
+    groups = _groups(rows["language"])
+    assert sorted(r["doc_id"] for r in rows["near_duplicates"]) == sorted(set(groups.values()))
+
+    holders = {}
+    for r in rows["near_duplicates"]:
+        for _, _, _, a, b in secrets.spans_of(r["text"]):
+            holders.setdefault(r["text"][a:b], set()).add((r["doc_id"], r["source"]))
+
+    def masked(text):
+        at, out = 0, ""
+        for _, _, _, a, b in secrets.spans_of(text):
+            n, owners = len(holders[text[a:b]]), len({o for _, o in holders[text[a:b]]})
+            wide = owners > secrets.WIDE_OWNERS and n > secrets.WIDE_REPOS or n > secrets.HOT_REPOS
+            if b > at and len(set(text[a:b])) >= secrets.MIN_DISTINCT and not wide and (secrets.looks_random(text[a:b]) or owners <= secrets.MAX_OWNERS):
+                out, at = out + text[at : max(at, a)] + secrets.MASK, b
+        return out + text[at:]
+
+    assert {r["doc_id"]: r["text"] for r in rows["secrets"]} == {r["doc_id"]: masked(r["text"]) for r in rows["near_duplicates"]}
+
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/secrets/*.parquet'")
+    taken = {i: n for i, n in db.execute(f"select doc_id, taken from ({mixing.OP4_SQL})").fetchall() if n}
+    got = Counter()
+    for r in rows["mixing"]:
+        got[r["doc_id"]] += len(re.findall("[^\x20\x09-\x0d]+", r["text"]))
+    assert got == taken
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    want = Counter()
+    for r in rows["mixing"]:
+        ids = [*tokenizer.encode(r["text"], add_special_tokens=False).ids, packing.END_ID]
+        for at in range(0, len(ids), packing.SEQUENCE):
+            piece = ids[at : at + packing.SEQUENCE]
+            want[r["doc_id"], at, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows["packing"]) == want
+
+
+def test_stages_take_nulls_ties_repeats_long_texts_and_clashing_names(spark, sf):
+    prose = "the people of the town were there that day with all of the others and they sat by the river "
+    rows = [(1, prose * 3, "en", "a"), (1, prose * 3, "en", "a"), (2, prose * 3, None, None), (None, prose + "but one of them", "en", "b"), (4, None, "en", "a"), (5, "", None, "a")]
+    rows += [(6, prose + "password = hunter2hunter2x", "en", "c"), (7, prose * 8000, "en", "c"), (8, " \n\t", "en", None)]
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, copies int")
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.write_table(stage(spark, docs, sf), "test")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "copies"]
+        kept[name] = docs.collect()
+    assert sorted(r["doc_id"] or 0 for r in kept["language"]) == [0, 1, 1, 2, 6, 7]
+    assert sorted(r["doc_id"] or 0 for r in kept["near_duplicates"]) in ([0, 1, 6], [0, 1, 6, 7])
+    assert [secrets.MASK in r["text"] for r in kept["secrets"] if r["doc_id"] == 6] == [True]
+    pieces = cp.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept["mixing"]}

@@ -41,6 +41,15 @@ def test_lookup_finds_keys_and_misses_the_rest(spark):
     assert [(r["page_id"], r["url"]) for r in found] == [(7, "http://h2.example/p")]
 
 
+def test_long_payloads_and_repeated_pages(spark):
+    big = "é<p>" * 1_000_000
+    rows = [(1, "http://a.example/", big), (2, "http://a.example/", big), (2, "http://a.example/", big), (3, "http://a.example/", None), (3, "http://a.example/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest, archives, folder, top = _query(spark, pages)
+    got = warc.lookup(manifest.select("skey"), archives, folder, top).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in got) == [(1, 5_000_000, "revisit", 2), (2, 5_000_000, "response", 0), (2, 5_000_000, "response", 0), (3, 0, "response", 0), (3, 0, "response", 0)]
+
+
 def test_empty_table(spark):
     manifest, archives, folder, top = _query(spark, spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.lookup(manifest.select("skey"), archives, folder, top).count() == 0
