@@ -55,7 +55,7 @@ def invert_demand(share: Column, knots: tuple[tuple[float, float], ...]) -> Colu
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size, turn, target) of ``sizes(source, source_size)``, one row a source.
+    """``sizes(source, source_size)`` with turn and target, one row a source; its other columns stay.
 
     Targets fill up like water: level * weight, but no more than ``cap`` times the source.
     The level is the largest over sources, by cap / weight, of what is left after the
@@ -73,7 +73,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     later = F.sum("w").over(filled.rowsBetween(0, W.unboundedFollowing))
     rows = rows.withColumn("level", (F.lit(share) * total - F.lit(cap) * before) / later)
     level = F.max("level").over(W.partitionBy())
-    return rows.select("source", "source_size", "turn", F.least(F.lit(cap) * F.col("source_size"), F.col("w") * level).alias("target"))
+    return rows.select(*sizes.columns, "turn", F.least(F.lit(cap) * F.col("source_size"), F.col("w") * level).alias("target"))
 
 
 def mix(
@@ -95,36 +95,42 @@ def mix(
     Within a source documents follow the md5 of their id, so reruns agree. Null and empty
     texts have size 0 and are not taken; null sources are one source, the last; null ids
     order as the empty id. Repeated rows are taken as often as they occur. An empty table
-    gives an empty table.
+    gives an empty table. Whole texts of any length are read; added names take a leading
+    underscore where ``docs`` has them. Where ``keep`` holds the texts they are read twice,
+    so ``docs`` must give the same rows again (as stored tables do).
     """
     kept = [c for c in docs.columns if keep is None or c in keep]
     n = {k: free_name(docs, k) for k in ("size", "source_size", "target", "taken", "copies", "mix_key", "mix_hash", "mix_tie")}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    owner = F.col(source_col).cast("string")
     sized = docs.select(
         *kept,
         F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias(n["size"]),
-        F.col(source_col).cast("string").alias(n["mix_key"]),
+        # never null, so that the running sums and the join with the sources' targets share one shuffle
+        F.when(owner.isNull(), "n").otherwise(F.concat(F.lit("s"), owner)).alias(n["mix_key"]),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias(n["mix_hash"]),
         F.crc32(text.cast("binary")).alias(n["mix_tie"]),
     )
-    sized = write_table(sized, "sized")
+    if text_col not in kept:  # a copy of whole texts would cost more than counting their words again
+        sized = write_table(sized, "sized")
     size, source, key = n["size"], n["mix_key"], n["mix_hash"]
-    rows = sized.count()
+    rows = docs.count()
     digits = min(8, max(0, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16))))
     # a source that holds a third of all rows is cut by hash; bucket sums come before the shuffle
     bucket = F.substring(key, 1, digits)
-    sums = sized.groupBy(F.col(source).alias("source"), bucket.alias("bucket")).agg(F.sum(size).alias("s"))
-    earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sized.groupBy(F.col(source).alias("key"), bucket.alias("bucket")).agg(F.sum(size).alias("s"))
+    sums = write_table(sums, "sums")
+    earlier = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     firsts = sums.withColumn("first", F.coalesce(F.sum("s").over(earlier), F.lit(0)))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, cap)
-    targets = targets.withColumnRenamed("source", "t")
-    firsts = firsts.join(targets, F.col("source").eqNullSafe(F.col("t"))).select("source", "bucket", "first", "source_size", "target", "turn")
-    own = {c: free_name(sized, f"mix_{c}") for c in (*firsts.columns, "cut", "local")}
+    wholes = sums.groupBy("key").agg(F.sum("s").alias("source_size")).withColumn("source", F.when(F.col("key") != "n", F.expr("substring(key, 2)")))
+    targets = source_targets(wholes, weights, share, cap)
+    firsts = firsts.join(targets, "key").select("key", "bucket", "first", "source_size", "target", "turn")
+    own = {c: free_name(sized, f"mix_{c}") for c in ("bucket", "first", "source_size", "target", "turn", "owner", "cut", "local")}
     local = W.partitionBy(source, own["cut"]).orderBy(key, size, n["mix_tie"]).rowsBetween(W.unboundedPreceding, -1)
     cut = sized.withColumn(own["cut"], bucket)
     cut = cut.withColumn(own["local"], F.coalesce(F.sum(size).over(local), F.lit(0)))
-    firsts = firsts.select(*(F.col(c).alias(own[c]) for c in firsts.columns))
-    met = cut.join(firsts, F.col(source).eqNullSafe(F.col(own["source"])) & (F.col(own["cut"]) == F.col(own["bucket"])))
+    firsts = firsts.select(F.col("key").alias(own["owner"]), *(F.col(c).alias(own[c]) for c in ("bucket", "first", "source_size", "target", "turn")))
+    met = cut.join(firsts, (F.col(source) == F.col(own["owner"])) & (F.col(own["cut"]) == F.col(own["bucket"])))
     whole, goal, turn = F.col(own["source_size"]), F.col(own["target"]), F.col(own["turn"])
     before = F.col(own["local"]) + F.col(own["first"])
     passes = F.when(whole > 0, F.floor(goal / whole)).otherwise(0)
