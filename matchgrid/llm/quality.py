@@ -175,6 +175,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = found.select("*", *(F.coalesce(score(), F.lit(0.0)).alias(f"s_{r}") for r, (score, _) in RULES.items()))
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     cuts = thresholds(scored.where(~base).select("k_id", "stratum", *(f"s_{r}" for r in RULES)), labels, "k_id")
+    # a stored table of known size: the planner broadcasts it if it is small, and never shuffles documents by stratum to find that out
+    cuts = write_table(cuts, "cutoffs")
     met = scored.join(cuts, "stratum", "left")
     fails = F.array_compact(F.array(*(F.when(F.col(f"s_{r}") > F.try_element_at("cutoffs", F.lit(r)), F.lit(r)) for r in RULES)))
     names = {c: free_name(docs.select(*kept), c) for c in (*BASE_FEATURES, "base_failed", "kept", "failed_rules")}
