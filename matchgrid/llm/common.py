@@ -13,7 +13,11 @@ import threading
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts use it: U+0020 and U+0009 to U+000D.
@@ -152,3 +156,45 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _checksum(e: DataFrame) -> tuple[int, int]:
     row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
     return row[0], row[1] or 0
+
+
+def _number(group_at: int):
+    """Adds a sorted task's number, each row's place in its run of one group, and whether that run is the task's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, at, first = TaskContext.get().partitionId(), None, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            group = batch.column(group_at).to_numpy(zero_copy_only=False)
+            new = np.concatenate(([last is not None and group[0] != last], group[1:] != group[:-1])).astype(bool)
+            starts = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            place = np.where(starts < 0, np.arange(n) + at, np.arange(n) - starts)
+            head = first & (np.cumsum(new) == 0)
+            last, at, first = group[-1], int(place[-1]) + 1, bool(head[-1])
+            more = [pa.array(np.full(n, part, np.int64)), pa.array(place.astype(np.int64)), pa.array(head)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "part_", "at_", "head_"])
+
+    return run
+
+
+def placed(df: DataFrame, group: str, order: list[str], tag: str = "placed") -> DataFrame:
+    """``df`` as a stored table with ``place``: each row's number, from 0, among its ``group`` (a string, never null) by ``order``, nulls first.
+
+    Rows are range-sorted by group, order and a seeded random number, so neither a group nor
+    repeated rows land in one task; rows equal in all of ``order`` take any turn. Only a task's
+    first run can go on with a group, so what is broadcast is at most one row a task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(group), *(F.col(c).asc_nulls_first() for c in order), F.col("tie_")]
+    ranged = df.withColumn("tie_", F.rand(0)).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("tie_")
+    schema = df.limit(0).select("*", F.lit(0).cast("long").alias("part_"), F.lit(0).cast("long").alias("at_"), F.lit(True).alias("head_")).schema
+    stored = write_table(ranged.mapInArrow(_number(df.columns.index(group)), schema), tag)
+    runs = stored.groupBy(group, "part_").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(group).orderBy("part_").rowsBetween(W.unboundedPreceding, -1))
+    heads = runs.select("part_", before.alias("before_")).where("before_ > 0").withColumn("head_", F.lit(True))
+    out = stored.join(F.broadcast(heads), ["part_", "head_"], "left")
+    out = out.select(*df.columns, (F.col("at_") + F.coalesce("before_", F.lit(0))).alias("place"))
+    out.written_to = stored.written_to
+    return out

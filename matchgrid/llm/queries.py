@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import embed_dup, language, licences, mixing, near_dup, oracles, packing, quality, secrets, tokens, warc
+from matchgrid.llm import embed_dup, language, licences, merkle, mixing, near_dup, oracles, packing, quality, secrets, tokens, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_minhash": near_dup.op9_minhash,
     "op10_language": language.op10_language,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embeddings": oracles.OP5_SQL,
     "op8_quality": oracles.OP8_SQL,
     "op9_minhash": oracles.OP9_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
