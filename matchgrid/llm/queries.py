@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import embed_dup, language, licences, merkle, mixing, near_dup, oracles, packing, quality, secrets, tokens, warc
+from matchgrid.llm import embed_dup, language, licences, merkle, mixing, near_dup, oracles, packing, prefix_trie, quality, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_minhash": near_dup.op9_minhash,
     "op10_language": language.op10_language,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -23,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embeddings": oracles.OP5_SQL,
     "op8_quality": oracles.OP8_SQL,
     "op9_minhash": oracles.OP9_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }

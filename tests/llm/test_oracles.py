@@ -8,7 +8,7 @@ from matchgrid.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_oracle(spark, sf, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages", "conversations"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf)
     cur = db.execute(queries.ORACLE_SQL[name])
