@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchgrid.functions.numbers import interactions, values_at
+from matchgrid.operators.forest import FIT_ROWS, Growth, fold_of
+from matchgrid.operators.forest import cross_predict as forest_cross_predict
+from matchgrid.operators.forest import leave_one_out as forest_leave_one_out
+
 
 def prepared(features: list[str], estimator) -> Pipeline:
     """Median imputation, assembly and z-scores before an estimator that reads ``x``.
@@ -33,8 +38,10 @@ def prepared(features: list[str], estimator) -> Pipeline:
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: each column's median, the mean of the middle two where their number is even; null without values."""
-    return df.agg(*(F.percentile(c, 0.5).alias(c) for c in columns))
+    """One row: each column's median, the mean of the middle two where their number is even; null without values. No task holds a column's values."""
+    each = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "__column", "value")
+    middle = values_at(each, ["__column"], {"lower": F.floor((F.col("n") - 1) / 2), "upper": F.floor(F.col("n") / 2)})
+    return middle.agg(*(F.avg(F.when(F.col("__column") == c, F.col("value"))).alias(c) for c in columns))
 
 
 class MedianImputerModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -90,27 +97,17 @@ def balanced(df: DataFrame, label: str = "y") -> DataFrame:
     return df.join(F.broadcast(n), label).crossJoin(F.broadcast(total)).withColumn("w", F.col("__n") / (F.col("__c") * F.col("__k"))).drop("__k", "__n", "__c")
 
 
-def with_folds(df: DataFrame, key: str, folds: int = 5, label: str | None = None, seed: int = 42) -> DataFrame:
-    """``df`` with fold: by hash of the key, or dealt in turn within each class of ``label``."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    if label is None:
-        return df.withColumn("fold", F.pmod(h, F.lit(folds)).cast("int"))
-    return df.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(h, key)) - 1) % folds).cast("int"))
-
-
-def cross_predict(df: DataFrame, estimator: Pipeline, key: str, folds: int = 5, label: str = "y", leave_one_out_up_to: int = 1000, fit_rows: int | None = None) -> DataFrame:
-    """Out-of-fold predictions, joined by key, never by place: ``prediction``, and ``p`` (array) for classifiers.
+def cross_predict(df: DataFrame, estimator: Pipeline, key: str, folds: int = 5, label: str = "y", fit_rows: int | None = None) -> DataFrame:
+    """Out-of-fold predictions of any estimator, joined by key, never by place: ``prediction``, and ``p`` (array) for classifiers.
 
-    Each fold fits imputer, scaler and model on the other folds alone. Up to
-    ``leave_one_out_up_to`` rows every row is a fold. A fit takes at most ``fit_rows`` rows,
-    those whose keys hash lowest, where that is given; predictions are always of all rows.
+    Folds are dealt by hash of the key, so no task numbers a class; each fits imputer, scaler
+    and model on the other folds alone, one after another. Forests of many folds, or with one
+    row left out at a time, are one job with ``forest.cross_predict`` and
+    ``forest.leave_one_out``. A fit takes at most ``fit_rows`` rows, those whose keys hash
+    lowest, where that is given; predictions are always of all rows.
     """
-    n = df.count()
-    if n <= leave_one_out_up_to:
-        data = df.withColumn("fold", F.row_number().over(W.orderBy(key)) - 1)  # few rows
-        folds = n
-    else:
-        data = with_folds(df, key, folds, label)
+    data = df.withColumn("fold", fold_of(F.col(key), folds)).persist()  # each fold reads it twice; it may spill, and is made again where it is lost
+    n = data.count()
     made = []
     for i in range(folds):
         train = data.where(F.col("fold") != i)
@@ -137,7 +134,7 @@ def permutation_importance(df: DataFrame, model: PipelineModel, features: list[s
 
     Values move within hash buckets of about ``rows`` rows: each row takes the value of the
     next one in an order that another hash of the rows' numbers gives, so no task sees the
-    whole table. This stands in for Shapley values, which no public Spark library has.
+    whole table. ``forest.shapley_ranking`` ranks by Shapley values.
     """
     right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
     base = model.transform(df).agg(right).first()[0]
@@ -153,13 +150,40 @@ def permutation_importance(df: DataFrame, model: PipelineModel, features: list[s
     return df.sparkSession.createDataFrame(found, "feature string, drop double")
 
 
-def subset_search(df: DataFrame, ranked: list[str], sizes: list[int], key: str, label: str = "y", folds: int = 5, trees: int = 50) -> DataFrame:
-    """(size, accuracy) of the first features of a ranking."""
-    rows = []
-    for s in sorted({min(s, len(ranked)) for s in sizes}):
-        out = cross_predict(df, prepared(ranked[:s], forest(label, trees)), key, folds, label).join(df.select(key, label), key)
-        rows.append((s, float(out.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0])))
-    return df.sparkSession.createDataFrame(rows, "size int, accuracy double")
+def accuracy(df: DataFrame, key: str, features: list[str], label: str = "y", folds: int | None = None, how: Growth = Growth(), fit_rows: int = FIT_ROWS) -> float:
+    """The share of rows whose class a forest that has not seen them predicts: one row left out at a time, or by folds."""
+    found = forest_leave_one_out(df, key, features, label, how, fit_rows) if folds is None else forest_cross_predict(df, key, features, label, folds, how, fit_rows)
+    met = found.join(df.select(key, label), key)
+    return float(met.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0])
+
+
+def subset_search(df: DataFrame, ranked: list[str], sizes: list[int], key: str, label: str = "y", folds: int | None = None, how: Growth = Growth(), fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(size, accuracy, best) of the first features of a ranking, such as ``forest.shapley_ranking``; the first size of the highest accuracy is best."""
+    found = [(s, accuracy(df, key, ranked[:s], label, folds, how, fit_rows)) for s in sorted({min(s, len(ranked)) for s in sizes})]
+    most = max((a for _, a in found), default=0.0)
+    first = next((s for s, a in found if a == most), None)
+    return df.sparkSession.createDataFrame([(s, a, s == first) for s, a in found], "size int, accuracy double, best boolean")
+
+
+#: Interactions of chosen features (fixed values): kind, first and second column.
+INTERACTIONS = (
+    ("product", "diff_elo_rating", "diff_lg_goals_weighted"), ("product", "diff_elo_rating", "diff_lg_goal_involvement_weighted"),
+    ("product", "diff_elo_rating", "diff_nt_xg_sum"), ("product", "diff_lg_goals_weighted", "diff_nt_xg_sum"),
+    ("diff", "home_elo_rank", "away_elo_rank"), ("product", "diff_elo_rating", "diff_conf_UEFA"),
+    ("square", "diff_elo_rating", "diff_elo_rating"), ("product", "away_elo_rank", "away_lg_goals_weighted"),
+)
+
+
+def retrain(df: DataFrame, chosen: list[str], key: str, label: str = "y", pairs=INTERACTIONS, folds: int | None = None, how: Growth = Growth(), fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(step, features, accuracy) of the chosen features, and of them with the interactions whose columns are among them, missing values as medians."""
+    own = [p for p in pairs if {p[1], p[2]} <= set(chosen)]
+    middle = exact_medians(df, chosen).first().asDict()
+    full = df.select(key, label, *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(middle[c] or 0.0))).alias(c) for c in chosen))
+    more = interactions(full, own)
+    added = more.columns[len(full.columns) :]
+    steps = [("selected", full, chosen), ("with_interactions", more, [*chosen, *added])]
+    rows = [(step, len(names), accuracy(data, key, names, label, folds, how, fit_rows)) for step, data, names in steps]
+    return df.sparkSession.createDataFrame(rows, "step string, features int, accuracy double")
 
 
 def qualifier(result, elo_home, elo_away, home, away):

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchgrid.functions import dates, nested, numbers, text
-from matchgrid.operators import dataset, events, merge, profile, resolve
+from matchgrid.operators import dataset, events, forest, merge, profile, resolve
 from matchgrid.plans.base import POSITION, games, r6, read
 from matchgrid.sources import readers
 
@@ -369,20 +369,18 @@ def _model_rows(spark, sf):
     return g.select(key.alias("id"), "eh", "ea", F.col("disc").alias("f1"), F.when(F.col("tax") > 0.01, F.col("tax")).alias("f2"), (F.col("result") + 1).cast("double").alias("y"), F.col("hg").cast("double").alias("goals")).dropDuplicates(["id"])
 
 
-def q47_rf_cv(spark, sf):
-    from matchgrid.operators import models
+_MODEL_FEATURES = ["eh", "ea", "f1", "f2"]
+
 
+def q47_rf_cv(spark, sf):
     rows = _model_rows(spark, sf)
-    out = models.cross_predict(rows, models.prepared(["eh", "ea", "f1", "f2"], models.forest(trees=20, depth=4)), "id", folds=3, fit_rows=FIT_ROWS)
+    out = forest.cross_predict(rows, "id", _MODEL_FEATURES, "y", 3, forest.Growth(trees=20, depth=4), FIT_ROWS)
     return out.join(rows.select("id", "y"), "id").groupBy("y", "prediction").agg(F.count("*").alias("n"))
 
 
 def q48_poisson_glm(spark, sf):
-    from matchgrid.operators import models
-
     rows = _model_rows(spark, sf)
-    out = models.cross_predict(rows.withColumn("w", F.lit(1.0)), models.prepared(["eh", "ea", "f1", "f2"], models.goal_model()), "id", folds=3, label="goals", fit_rows=FIT_ROWS)
-    met = out.join(rows.select("id", "goals"), "id")
+    met = forest.poisson_predict(rows, "id", _MODEL_FEATURES, "goals", 3, fit_rows=FIT_ROWS).join(rows.select("id", "goals"), "id")
     return met.agg(F.count("*").alias("n"), F.avg(F.abs(numbers.clamp(F.col("prediction"), 0.05, 6.0) - F.col("goals"))).alias("mae"))
 
 

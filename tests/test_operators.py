@@ -1,7 +1,7 @@
 import json
 import random
 
-from matchgrid.operators import dataset, events, merge, models, profile, ratings, resolve, simulate
+from matchgrid.operators import dataset, events, forest, merge, models, profile, ratings, resolve, simulate
 from matchgrid.sources import html, readers, schemas, writers
 from matchgrid.streaming import live
 from pyspark.sql import functions as F
@@ -254,11 +254,11 @@ def test_report_and_qualifier(spark):
 
 def test_models_keep_folds_apart(spark):
     rows = spark.createDataFrame([(f"r{i}", float(i % 7), float((i * 3) % 5) if i % 4 else None, float(i % 7 > 3)) for i in range(60)], "id string, a double, b double, y double")
-    out = models.cross_predict(rows, models.prepared(["a", "b"], models.forest(trees=5, depth=3)), "id", folds=2, leave_one_out_up_to=50)
+    out = models.cross_predict(rows, models.prepared(["a", "b"], models.forest(trees=5, depth=3)), "id", folds=2)
     met = out.join(rows, "id")
     assert met.count() == 60 and met.where("prediction = y").count() > 50
-    folds = models.with_folds(rows, "id", 5, "y").groupBy("y", "fold").count()
-    assert folds.agg(F.max("count") - F.min("count")).first()[0] <= 8
+    folds = {r["fold"]: r["count"] for r in rows.withColumn("fold", forest.fold_of(F.col("id"), 5)).groupBy("fold").count().collect()}
+    assert set(folds) == set(range(5)) and sum(folds.values()) == 60 and max(folds.values()) < 30
 
 
 def test_ranks_before_each_match(spark):
