@@ -165,3 +165,8 @@ def flat_names(columns: list[tuple[str, ...] | str]) -> list[str]:
         seen.add(leaf)
         found.append(name)
     return found
+
+
+def distinct_in_order(values: Column) -> Column:
+    """An array's different values in the order of their first occurrence; nulls stay, once."""
+    return F.array_distinct(values)

@@ -1,27 +1,36 @@
-"""Entity resolution: best match by token-set similarity.
+"""Entity resolution: best match by token-set similarity, and registration of new names.
 
-Candidates come from two indexes that lose no pair above the threshold. A pair that shares
-a token meets under it. Any other pair scores by the common subsequence of the sorted
-tokens, which is at most what the two bags of characters share; ordered from rare to
-common characters, two bags that share enough have one of their first characters in
-common (prefix filter). ``exhaustive`` compares all with all where the roster is small.
+Candidates come from two indexes that together lose no pair above the threshold.
+
+- A pair whose shared tokens are most of one of its names meets under one of that name's
+  rarest tokens: those that are left when its commonest tokens can no longer make up the
+  share (prefix filter by the other side's token counts).
+- Any other pair scores by the common subsequence of whole names, shared tokens first. So
+  for each set of tokens that may be the shared one, the rests differ by few insertions and
+  deletions; cut into one more segments than that, one segment is in both names, within a few
+  places of its own (pigeonhole). Keys hold both lengths, the shared tokens, and the segment.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from matchgrid.functions.text import ascii_name
+from matchgrid.sources.stored import drop_stored, stored
 
 #: Least scores by use.
 THRESHOLDS = {"default": 80, "squad": 78, "league": 80, "missing": 82}
-#: Characters from rare to common in names; any order is right, this one gives small blocks.
-RARE_FIRST = "qxzjwvkfpybghcudmstlornieaQ 0123456789"
+#: Rests that may differ by more than this meet by shared tokens and lengths alone (names of some 30 characters and more).
+MOST_SEGMENTS = 14
 #: Largest roster that ``exhaustive`` broadcasts.
 SMALL_ROSTER = 5_000
 
@@ -70,16 +79,120 @@ def _least_share(threshold: int) -> float:
     return (threshold - 0.5) / (200 - (threshold - 0.5))
 
 
-def _blocks(name: str, threshold: int):
-    """(n, ks): a name's characters without repeated tokens, and the keys under which it meets every other that can reach the threshold: its tokens, and the first of its counted characters."""
-    tokens = F.array_distinct(F.filter(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"), lambda t: t != ""))
-    letters = F.filter(F.split(F.array_join(tokens, " "), ""), lambda c: c != "")
-    # the second a of a name is another element than the first
-    counted = F.transform(letters, lambda c, i: F.struct(F.instr(F.lit(RARE_FIRST), c).alias("p"), (-F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c))).alias("n"), c.alias("c")))
-    n = F.size(letters)
-    first = F.slice(F.sort_array(counted), F.lit(1), n - F.ceil(n * _least_share(threshold) - 1e-9).cast("int") + 1)
-    keys = F.concat(F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), F.transform(first, lambda x: F.concat(F.lit("c:"), x["c"], x["n"].cast("string"))))
-    return F.struct(n.alias("n"), F.when(n > 0, keys).otherwise(F.array().cast("array<string>")).alias("ks"))
+def allowed_edits(total: int, threshold: int) -> int:
+    """The most insertions and deletions between two names of ``total`` characters in sum that reach the threshold."""
+    return int(total * (100.5 - threshold) / 100 + 1e-9)
+
+
+def name_tokens(name: str | None) -> list[str]:
+    return sorted(set("".join(c if c.isalnum() else " " for c in (name or "").lower()).split()))
+
+
+def _segments(length: int, parts: int) -> list[tuple[int, int]]:
+    """(start, length) of ``parts`` segments, the longer ones last."""
+    short, longer = divmod(length, parts)
+    cuts, at = [], 0
+    for i in range(parts):
+        n = short + (i >= parts - longer)
+        cuts.append((at, n))
+        at += n
+    return cuts
+
+
+def segment_keys(name: str | None, threshold: int, lengths: list[int], probe: bool) -> list[str]:
+    """The keys under which a name meets those of the other side (of the given lengths) whose whole names are similar enough.
+
+    One side cuts its rests into segments, the other (``probe``) offers its pieces at the
+    places where such a segment can lie if it is the first whole one from either end.
+    """
+    tokens = name_tokens(name)
+    own = len(" ".join(tokens))
+    least = _least_share(threshold)
+    keys = set()
+    for n in range(len(tokens)):
+        for shared in itertools.combinations(tokens, n):
+            head = len(" ".join(shared))
+            if head and head >= own * least - 1e-9:
+                continue  # found by its rarest tokens
+            rest = " ".join(t for t in tokens if t not in shared)
+            for other in lengths:
+                edits = allowed_edits(own + other, threshold)
+                cut = len(rest) if not probe else len(rest) + other - own  # the length of the side that is cut
+                if abs(own - other) > edits or cut < 1:
+                    continue
+                where = f"{' '.join(shared)}|{other if probe else own}|{own if probe else other}"
+                if cut <= edits or edits > MOST_SEGMENTS:
+                    keys.add(where)
+                    continue
+                shift = len(rest) - cut if probe else 0
+                for i, (at, size) in enumerate(_segments(cut, edits + 1)):
+                    if probe:
+                        first = max(0, at - i, at + shift - (edits - i))
+                        last = min(len(rest) - size, at + i, at + shift + (edits - i))
+                        keys.update(f"{where}|{i}|{rest[p : p + size]}" for p in range(first, last + 1))
+                    else:
+                        keys.add(f"{where}|{i}|{rest[at : at + size]}")
+    return sorted(keys)
+
+
+def letter_bits(name: str | None) -> int:
+    """64 bits, two for each of 32 classes of characters: whether one, and whether two or more occur. Names that differ by n insertions and deletions differ in n bits at most."""
+    bits = 0
+    for c in " ".join(name_tokens(name)):
+        bit = ord(c) % 32 * 2
+        bits |= 2 << bit if bits >> bit & 1 else 1 << bit
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _keyed(names: DataFrame, threshold: int, lengths: list[int], probe: bool) -> DataFrame:
+    """(key, n, bits, k): ``names(key)`` with length, letters and each of its segment keys, hashed; a chance collision only adds a candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):  # a name has some hundred keys
+                names = batch.column(0).slice(a, 256)
+                plain = names.to_pylist()
+                made = [pa.array([len(" ".join(name_tokens(x))) for x in plain], pa.int32()), pa.array([letter_bits(x) for x in plain], pa.int64())]
+                keys = pa.array([segment_keys(x, threshold, lengths, probe) for x in plain], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([names, *made, keys], names=["key", "n", "bits", "ks"])
+
+    made = names.select("key").mapInArrow(run, "key string, n int, bits long, ks array<string>")
+    return made.select("key", "n", "bits", F.explode("ks").alias("k")).select("key", "n", "bits", F.xxhash64("k").alias("k"))
+
+
+def _tokens(name: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"), lambda t: t != ""))
+
+
+def _rarest(names: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
+    """(key, token): of each name the tokens, rarest among ``others`` first, until the rest is too short to be the shared part."""
+    counts = others.select(F.explode(_tokens(F.col("key"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = names.select("key", F.explode(_tokens(F.col("key"))).alias("token")).join(counts, "token", "left")
+    listed = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("ts"))  # as many as a name has
+    size = lambda ts: F.aggregate(ts, F.lit(-1), lambda a, t: a + F.length(t["token"]) + 1)
+    whole, count = size("ts"), F.size("ts")
+    kept = F.filter("ts", lambda t, i: size(F.slice("ts", i + 1, count - i)) >= whole * _least_share(threshold) - 1e-9)
+    return listed.select("key", F.explode(kept).alias("t")).where("t.n > 0").select("key", "t.token")
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """(l, r): pairs of ``left(key)`` and ``right(key)``, different ASCII names, among them all that reach the threshold."""
+    a, b = left.select("key").distinct(), right.select("key").distinct()
+    size = F.length(F.array_join(_tokens(F.col("key")), " "))
+    lengths = [sorted(r[0] for r in x.select(size.alias("n")).distinct().collect() if r[0]) for x in (a, b)]  # as many as lengths occur
+    words = lambda x: x.select("key", F.explode(_tokens(F.col("key"))).alias("token"))
+    one = _rarest(a, b, threshold).select("token", F.col("key").alias("l")).join(words(b).select("token", F.col("key").alias("r")), "token").select("l", "r")
+    two = _rarest(b, a, threshold).select("token", F.col("key").alias("r")).join(words(a).select("token", F.col("key").alias("l")), "token").select("l", "r")
+    probes, cuts = _keyed(a, threshold, lengths[1], True), _keyed(b, threshold, lengths[0], False)
+    met = probes.select("k", F.col("key").alias("l"), "n", "bits").join(cuts.select("k", F.col("key").alias("r"), F.col("n").alias("m"), F.col("bits").alias("more")), "k")
+    edits = F.floor((F.col("n") + F.col("m")) * ((100.5 - threshold) / 100) + 1e-9)
+    three = met.where(F.bit_count(F.col("bits").bitwiseXOR(F.col("more"))) <= edits).select("l", "r")
+    return one.union(two).union(three).distinct()
+
+
+def similar(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """(l, r, score) of the pairs of ``left(key)`` and ``right(key)`` that reach the threshold."""
+    return candidates(left, right, threshold).withColumn("score", similarity("l", "r")).where(F.col("score") >= threshold)
 
 
 def best_matches(
@@ -99,10 +212,8 @@ def best_matches(
             raise ValueError(f"exhaustive is for rosters of up to {SMALL_ROSTER} names")
         pairs = t.join(F.broadcast(r))
     else:
-        a = t.withColumn("b", _blocks("t_key", threshold)).select("target", "t_key", F.col("b.n").alias("n"), F.explode("b.ks").alias("k"))
-        b = r.withColumn("b", _blocks("r_key", threshold)).select("name", "entity_id", "pos", "r_key", F.col("b.n").alias("m"), F.explode("b.ks").alias("k"))
-        fits = F.col("k").startswith("t:") | (F.least("n", "m") >= F.greatest("n", "m") * _least_share(threshold) - 1e-9)
-        pairs = a.join(b, "k").where(fits).select("target", "t_key", "name", "entity_id", "pos", "r_key").distinct()
+        found = candidates(t.select(F.col("t_key").alias("key")), r.select(F.col("r_key").alias("key")), threshold)
+        pairs = t.join(found, F.col("t_key") == F.col("l")).join(r, F.col("r_key") == F.col("r")).drop("l", "r")
     scored = pairs.withColumn("score", similarity("t_key", "r_key")).where(F.col("score") >= threshold)
     key = "target" if per == "target" else "pos"
     order = W.partitionBy(key).orderBy(F.desc("score"), "pos", "target")
@@ -118,3 +229,74 @@ def name_index(roster: DataFrame) -> DataFrame:
     """(key, entity_id): names and their ASCII forms; a later row takes over an earlier one's key."""
     keys = roster.select("entity_id", "pos", F.explode(F.array_distinct(F.array("name", ascii_name(F.col("name"))))).alias("key"))
     return keys.groupBy("key").agg(F.max_by("entity_id", "pos").alias("entity_id"))
+
+
+def register(targets: DataFrame, roster: DataFrame, threshold: int = THRESHOLDS["default"]) -> DataFrame:
+    """(target, seq, name, entity_id, score, is_new) of ``targets(target, seq)`` in the order of seq against ``roster(name, entity_id, pos)``.
+
+    A name joins the best of the names registered before it, the roster's first; of equal
+    scores the one registered earliest. Without a score of ``threshold`` it registers itself
+    and may be joined by later names. Of roster rows with one ASCII name the first gives
+    the place, the last the name and id. Null targets and names without letters or digits
+    match nothing. seq must be unique.
+
+    Who registers is settled in rounds: a name whose earlier similar names are all settled
+    registers if none of them did; names that it reaches do not. Each round is a few joins
+    over the pairs that are still open.
+    """
+    t = targets.select("target", "seq").withColumn("key", ascii_name(F.col("target")))
+    t = stored(t, "targets")
+    r = roster.select("name", "entity_id", "pos").withColumn("key", ascii_name(F.col("name"))).groupBy("key")
+    r = r.agg(F.min("pos").alias("pos"), F.max_by("name", "pos").alias("name"), F.max_by("entity_id", "pos").alias("entity_id")).where("key is not null")
+    r = stored(r, "roster")
+    firsts = t.where("key is not null").groupBy("key").agg(F.min("seq").alias("seq"))
+    known = stored(similar(firsts, r, threshold), "known")
+    open_ = firsts.join(known.select(F.col("l").alias("key")).distinct(), "key", "left_anti")
+    open_ = stored(open_, "open")
+    pairs = similar(open_, open_, threshold).where("l <> r")
+    side = lambda c: open_.select(F.col("key").alias(c), F.col("seq").alias(f"{c}_seq"))
+    pairs = stored(pairs.join(side("l"), "l").join(side("r"), "r").where("l_seq < r_seq").select("l", "r", "score"), "pairs")
+    edges, joined = pairs.select("l", "r"), []
+    while edges.limit(1).count():
+        waiting = edges.select(F.col("r").alias("l")).distinct()
+        heads = edges.select("l").distinct().join(waiting, "l", "left_anti")
+        hit = stored(edges.join(heads, "l").select("r").distinct(), "hit")
+        joined.append(hit)
+        left = edges.join(heads, "l", "left_anti").join(hit, "r", "left_anti").join(hit.select(F.col("r").alias("l")), "l", "left_anti")
+        new = stored(left.select("l", "r"), "edges")
+        drop_stored(edges)
+        edges = new
+    leaders = open_
+    for hit in joined:
+        leaders = leaders.join(hit.select(F.col("r").alias("key")), "key", "left_anti")
+    leaders = stored(leaders, "leaders")
+    heads = leaders.select(F.col("key").alias("r"), F.col("seq").alias("pos"), F.lit(1).alias("late"))
+    mine = leaders.select("key", "seq", F.lit(True).alias("leads"))
+    # what a name may join: the roster's names, and leaders before it, itself where it comes again
+    again = leaders.where(F.size(_tokens(F.col("key"))) > 0).select(F.col("key").alias("l"), F.col("key").alias("r"), F.lit(100).alias("score"))
+    options = pairs.select("l", "r", "score").union(pairs.select(F.col("r").alias("l"), F.col("l").alias("r"), "score")).union(again).join(heads, "r")
+    # names that match the roster may score higher with a leader
+    also = similar(known.select(F.col("l").alias("key")).distinct(), leaders, threshold).join(heads, "r").select("r", "l", "score", "pos", "late")
+    options = options.select("r", "l", "score", "pos", "late").union(also).union(known.join(r.select(F.col("key").alias("r"), "pos"), "r").select("r", "l", "score", "pos", F.lit(0)))
+    met = t.join(options, F.col("key") == F.col("l")).where("late = 0 or pos < seq")
+    best = met.groupBy("seq").agg(F.min_by("r", F.struct(-F.col("score"), "late", "pos")).alias("r"), F.max("score").alias("score"))
+    ids = r.select(F.col("key").alias("r"), "name", "entity_id", F.lit(0).alias("late"))
+    fresh = lambda key, seq: F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", F.lower(key), seq.cast("string")).cast("binary"), 256), 1, 16))
+    own = leaders.join(t.select("seq", "target"), "seq").select(F.col("key").alias("r"), F.col("target").alias("name"), fresh(F.col("key"), F.col("seq")).alias("entity_id"), F.lit(1).alias("late"))
+    named = ids.union(own.join(ids.select("r"), "r", "left_anti")).drop("late")
+    out = t.join(best, "seq", "left").join(named, "r", "left")
+    new = F.col("entity_id").isNull()
+    return out.select("target", "seq", "name", F.coalesce("entity_id", fresh(F.coalesce("key", F.lit("")), F.col("seq"))).alias("entity_id"), "score", new.alias("is_new"))
+
+
+def line_up_teams(line_ups: DataFrame) -> DataFrame:
+    """(target, team, seq) of ``line_ups(player_name, team, seq)``: the first team that lists a name; empty names are left out."""
+    rows = line_ups.where("player_name is not null and player_name <> ''")
+    return rows.groupBy(F.col("player_name").alias("target")).agg(F.min_by("team", "seq").alias("team"), F.min("seq").alias("seq"))
+
+
+def ids_to_teams(line_ups: DataFrame, roster: DataFrame, threshold: int = THRESHOLDS["default"]) -> DataFrame:
+    """(entity_id, team) of the registered names that the line-ups' names join, in the order in which they first occur; the last name of an id decides."""
+    named = line_up_teams(line_ups)
+    found = register(named.select("target", "seq"), roster, threshold).where("not is_new")
+    return found.join(named.select("seq", "team"), "seq").groupBy("entity_id").agg(F.max_by("team", "seq").alias("team"))
