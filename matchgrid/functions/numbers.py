@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchgrid.sources.stored import drop_stored, stored
+
 
 def per90(value: Column, minutes: Column) -> Column:
     return F.when(minutes > 0, value / minutes * 90).otherwise(F.lit(0.0))
@@ -87,10 +89,52 @@ def one_hot(value: Column, classes: list[str], prefix: str) -> list[Column]:
     return [F.coalesce((value == c).cast("double"), F.lit(0.0)).alias(f"{prefix}{c.lower()}") for c in classes]
 
 
+#: Values of a group that one task sorts, at most, and the quantiles by which larger groups are narrowed.
+FEW, QUANTILES = 10_000, 256
+
+
+def values_at(rows: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """(by, name, value): the exact value at each of ``ranks`` (name -> 0-based rank, over n) among the non-null values of ``rows(by, value)``.
+
+    Quantile sketches narrow each group to the values around its rank, the values below are
+    counted, and so on until few are left; only those are sorted. No task holds a group.
+    Null keys are a group of their own; groups without values have no row.
+    """
+    rows = rows.where("value is not null")
+    named = F.array(*(F.struct(F.lit(n).alias("name"), r.cast("long").alias("__k")) for n, r in ranks.items()))
+    state = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.inline(named))
+    state = state.withColumns({"__low": F.lit(None).cast("double"), "__high": F.lit(None).cast("double"), "__done": F.lit(False)})
+    same = lambda a, b: reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in by], F.lit(True))
+    keys = [*by, "name"]
+    inside = F.col("__low").isNull() | F.col("value").between(F.col("__low"), F.col("__high"))
+    grid = [i / QUANTILES for i in range(QUANTILES + 1)]
+    own = lambda s: [s[c].alias(c) for c in (*keys, "__k", "__low", "__high", "__done")]
+    while True:
+        state = stored(state, "ranks")
+        met = rows.join(state, same(rows, state)).select(*own(state), F.col("value").cast("double").alias("value"))
+        each = met.groupBy(*keys, "__k", "__low", "__high", "__done").agg(
+            F.count_if(F.coalesce(F.col("value") < F.col("__low"), F.lit(False))).alias("__below"), F.count_if(inside).alias("__m"),
+            F.approx_count_distinct(F.when(inside, F.col("value"))).alias("__d"), F.percentile_approx(F.when(inside, F.col("value")), grid, 10_000).alias("__g"),
+        )
+        each = stored(each, "narrowed")
+        drop_stored(state)
+        if not each.where(~F.col("__done") & (F.col("__m") > FEW) & (F.col("__d") > FEW // 2)).limit(1).count():
+            break
+        at = F.floor((F.col("__k") - F.col("__below")) / F.col("__m") * QUANTILES).cast("int")
+        low, high = F.get("__g", F.greatest(at - 1, F.lit(0))), F.get("__g", F.least(at + 2, F.lit(QUANTILES)))
+        more = ~F.col("__done") & (F.col("__m") > FEW) & (F.col("__d") > FEW // 2)
+        # a window that no longer narrows is sorted as it is
+        stuck = more & (low <= F.coalesce("__low", F.lit(float("-inf")))) & (high >= F.coalesce("__high", F.lit(float("inf"))))
+        state = each.select(*keys, "__k", F.when(more, low).otherwise(F.col("__low")).alias("__low"), F.when(more, high).otherwise(F.col("__high")).alias("__high"), (~more | stuck).alias("__done"))
+    left = rows.join(each, same(rows, each)).select(*(each[c].alias(c) for c in (*keys, "__k", "__low", "__high", "__below")), rows["value"].alias("value"))
+    left = left.where(F.col("__low").isNull() | F.col("value").cast("double").between(F.col("__low"), F.col("__high")))
+    left = left.groupBy(*keys, "__k", "__below", "value").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    return left.withColumn("__upto", F.col("__below") + upto).where("__upto > __k").groupBy(*keys).agg(F.min("value").alias("value"))
+
+
 def upper_median(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Grouped median without interpolation: element n // 2 of the sorted non-null values. Equal values are counted before they are ranked."""
-    each = df.unpivot(keys, columns, "name", "value").where("value is not null").groupBy(*keys, "name", "value").agg(F.count("*").alias("c"))
-    w = W.partitionBy(*keys, "name")
-    ranked = each.withColumn("upto", F.sum("c").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    picked = ranked.where(F.col("upto") > F.floor(F.col("n") / 2))
-    return picked.groupBy(*keys).pivot("name", columns).agg(F.min("value"))
+    """Grouped median without interpolation: element n // 2 of the sorted non-null values."""
+    each = df.unpivot(keys, columns, "__column", "value")
+    found = values_at(each.select(*keys, "__column", "value"), [*keys, "__column"], {"upper": F.floor(F.col("n") / 2)})
+    return found.groupBy(*keys).pivot("__column", columns).agg(F.first("value"))

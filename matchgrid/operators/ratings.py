@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,30 +20,47 @@ def elo_fold(matches: DataFrame, component: str, order: list[str], home: str = "
 
     ``component`` splits matches into sets that share no team (leagues); each is folded in
     ``order``, which must be total. One component is serial by nature: a team's rating
-    waits for its last match. ``ranks`` adds rank_home and rank_away before the match: 1 +
-    the component's teams then rated higher; unseen teams rank after all known.
+    waits for its last match. Its matches pass in order through one task, which holds a
+    batch of them and the teams' ratings, however many there are. A match without a score or
+    a team changes nothing. ``ranks`` adds rank_home and rank_away before the match: 1 + the
+    component's teams then rated higher; unseen teams rank after all known.
     """
     new = ["elo_home", "elo_away", "elo_home_after", "elo_away_after"]
     placed = ["rank_home", "rank_away"] if ranks else []
-    schema = matches.select("*", *(F.lit(0.0).alias(c) for c in new), *(F.lit(0).alias(c) for c in placed)).schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        rating: dict = {}
-        rows = []
-        place = lambda t: 1 + (sum(r > rating[t] for r in rating.values()) if t in rating else len(rating))
-        for h, a, x, y in zip(pdf[home], pdf[away], pdf[hg], pdf[ag]):
-            where = (place(h), place(a)) if ranks else ()
-            rh, ra = rating.get(h, START), rating.get(a, START)
-            expected = 1 / (1 + 10 ** (-(rh + ADVANTAGE - ra) / 400))
-            actual = 0.5 if x == y else float(x > y)
-            change = K * (1 + 0.15 * min(abs(x - y), 3)) * (actual - expected)
-            rating[h], rating[a] = rh + change, ra - change
-            rows.append((rh, ra, rating[h], rating[a], *where))
-        names = [*new, *placed]
-        return pdf.assign(**dict(zip(names, zip(*rows)))) if rows else pdf.assign(**{c: [] for c in names})
-
-    return matches.groupBy(component).applyInPandas(fold, schema)
+    schema = matches.limit(0).select("*", *(F.lit(0.0).alias(c) for c in new), *(F.lit(0).alias(c) for c in placed)).schema
+    at = [matches.columns.index(c) for c in (component, home, away, hg, ag)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rating, board = object(), {}, []
+        place = lambda t: 1 + len(board) - bisect.bisect_right(board, rating[t]) if t in rating else len(board) + 1
+        for batch in batches:
+            rows = []
+            for group, h, a, x, y in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if group != now:
+                    now, rating, board = group, {}, []
+                where = (place(h), place(a)) if ranks else ()
+                rh, ra = rating.get(h, START), rating.get(a, START)
+                change = None if None in (h, a, x, y) else change_of(rh, ra, x, y)
+                for team, old, rated in () if change is None else ((h, rh, rh + change), (a, ra, ra - change)):
+                    if ranks:
+                        if team in rating:
+                            del board[bisect.bisect_left(board, old)]
+                        bisect.insort(board, rated)
+                    rating[team] = rated
+                rows.append((rh, ra, rating.get(h, START), rating.get(a, START), *where))
+            made = zip(*rows, strict=True) if rows else [[]] * len(new + placed)
+            kinds = [pa.float64()] * 4 + [pa.int32()] * len(placed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(made, kinds, strict=True))], names=[*batch.schema.names, *new, *placed])
+
+    turn = [F.col(c).asc_nulls_last() for c in order]
+    return matches.repartition(component).sortWithinPartitions(component, *turn).mapInArrow(fold, schema)
+
+
+def change_of(home: float, away: float, hg: float, ag: float) -> float:
+    """What a match adds to the home side's rating, and takes from the away side's."""
+    expected = 1 / (1 + 10 ** (-(home + ADVANTAGE - away) / 400))
+    actual = 0.5 if hg == ag else float(hg > ag)
+    return K * (1 + 0.15 * min(abs(hg - ag), 3)) * (actual - expected)
 
 
 def team_history(folded: DataFrame, order: list[str], home: str = "home", away: str = "away") -> DataFrame:

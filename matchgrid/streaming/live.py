@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from matchgrid.operators.merge import missing_rows
-from matchgrid.operators.ratings import ADVANTAGE, START, K
+from matchgrid.operators.ratings import START, change_of
 
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -50,7 +52,7 @@ def rolling_elo(matches: DataFrame, component: str, order: str, home: str = "hom
     """(component, order, home, away, elo_home, elo_away) before each match, ratings kept as state by component.
 
     Matches of a batch are folded in order; a match that comes in a later batch than a
-    newer one is folded on arrival.
+    newer one is folded on arrival. ``ordered_elo`` waits for them.
     """
     kinds = dict(matches.dtypes)
     output = f"{component} {kinds[component]}, {order} {kinds[order]}, {home} string, {away} string, elo_home double, elo_away double"
@@ -61,11 +63,78 @@ def rolling_elo(matches: DataFrame, component: str, order: str, home: str = "hom
         rows = []
         for at, h, a, x, y in zip(pdf[order], pdf[home], pdf[away], pdf[hg], pdf[ag]):
             rh, ra = rating.get(h, START), rating.get(a, START)
-            expected = 1 / (1 + 10 ** (-(rh + ADVANTAGE - ra) / 400))
-            change = K * (1 + 0.15 * min(abs(x - y), 3)) * ((0.5 if x == y else float(x > y)) - expected)
+            change = change_of(rh, ra, x, y)
             rating[h], rating[a] = rh + change, ra - change
             rows.append((key[0], at, h, a, rh, ra))
         state.update((list(rating), list(rating.values())))
         yield pd.DataFrame(rows, columns=[component, order, home, away, "elo_home", "elo_away"])
 
     return matches.groupBy(component).applyInPandasWithState(fold, output, "teams array<string>, elos array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+class OrderedElo(StatefulProcessor):
+    """Holds a component's matches until the watermark has passed them, and folds them in order then."""
+
+    def __init__(self, waiting: StructType, names: tuple[str, str, str, str, str], output: list[str]):
+        self.waiting_schema, self.names, self.output = waiting, names, output
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ratings = handle.getMapState("ratings", "team string", "elo double", None)
+        self.waiting = handle.getListState("waiting", self.waiting_schema, None)
+
+    def handleInputRows(self, key, rows, timerValues):
+        order = self.names[0]
+        for pdf in rows:
+            pdf = pdf[[f.name for f in self.waiting_schema]]
+            self.waiting.appendList([tuple(r) for r in pdf.astype(object).itertuples(index=False)])
+            for at in pdf[order].unique():
+                self.handle.registerTimer(int(pd.Timestamp(at).timestamp() * 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """The first timer that fires folds all that the watermark has passed; the others find nothing left of it."""
+        order, home, away, hg, ag = self.names
+        at = [f.name for f in self.waiting_schema].index
+        passed = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        held = [tuple(r) for r in self.waiting.get()]
+        due = sorted((r for r in held if _naive(r[at(order)]) <= passed), key=lambda r: (_naive(r[at(order)]), r[at(home)], r[at(away)]))
+        if not due:
+            return
+        rest = [r for r in held if _naive(r[at(order)]) > passed]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+        out = []
+        for r in due:
+            h, a = r[at(home)], r[at(away)]
+            before = [self.ratings.getValue((t,))[0] if self.ratings.containsKey((t,)) else START for t in (h, a)]
+            change = change_of(*before, r[at(hg)], r[at(ag)])
+            for team, elo in ((h, before[0] + change), (a, before[1] - change)):
+                self.ratings.updateValue((team,), (elo,))
+            out.append((*key, _naive(r[at(order)]), h, a, *before))
+        yield pd.DataFrame(out, columns=self.output)
+
+    def close(self) -> None:
+        pass
+
+
+def _naive(at) -> pd.Timestamp:
+    at = pd.Timestamp(at)
+    return at.tz_localize(None) if at.tzinfo is None else at.tz_convert("UTC").tz_localize(None)
+
+
+def ordered_elo(matches: DataFrame, component: str, order: str, late: str = "1 day", home: str = "home", away: str = "away", hg: str = "hg", ag: str = "ag") -> DataFrame:
+    """(component, order, home, away, elo_home, elo_away) before each match, as the batch fold gives them, whatever order matches arrive in within ``late``.
+
+    Ratings and waiting matches are keyed state; a timer for each match's time (a timestamp)
+    fires once the watermark has passed it. Matches of one time fold by home and away team.
+    Later ones than the watermark allows are dropped. Needs the RocksDB state store and a session in UTC.
+    """
+    kinds = dict(matches.dtypes)
+    names = (order, home, away, hg, ag)
+    waiting = matches.select(*names).schema
+    output = f"{component} {kinds[component]}, {order} {kinds[order]}, {home} string, {away} string, elo_home double, elo_away double"
+    processor = OrderedElo(waiting, names, [component, order, home, away, "elo_home", "elo_away"])
+    held = matches.select(component, *names).withWatermark(order, late).groupBy(component)
+    return held.transformWithStateInPandas(processor, output, "append", "eventTime")

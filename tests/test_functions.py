@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from matchgrid.functions import dates, market, nested, numbers, text
 from pyspark.sql import functions as F
@@ -61,3 +63,21 @@ def test_probabilities(spark):
     assert got[0] == pytest.approx(1) and got[1] > got[3] and got[1] + got[2] + got[3] == pytest.approx(1) and got[4] + got[5] == pytest.approx(1)
     assert one(spark, market.argmax_outcome(F.lit(0.4), F.lit(0.2), F.lit(0.4)), market.argmax_outcome(F.lit(0.4), F.lit(0.2), F.lit(0.4), (-1, 0, 1))) == (1, -1)
     assert one(spark, market.score_odds(F.lit(0.0)), market.profit(F.lit(True), F.lit(2.5)), market.profit(F.lit(False), F.lit(2.5))) == (250.0, 1.5, -1.0)
+
+
+def test_values_at_ranks_are_exact_however_many(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(numbers, "FEW", 40)
+    rows = [("unique", rng.random() * 10 ** rng.randint(-8, 8)) for _ in range(3000)]
+    rows += [("ties", float(rng.choice([1, 1, 1, 2, 3]))) for _ in range(2000)] + [("mixed", rng.choice([5.0, rng.random()])) for _ in range(2500)]
+    rows += [(None, float(i)) for i in range(501)] + [("few", 3.0), ("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    ranks = {"first": F.lit(0), "upper": F.floor(F.col("n") / 2), "last": F.col("n") - 1, "third": F.floor(F.col("n") / 3)}
+    got = {(r["g"], r["name"]): r["value"] for r in numbers.values_at(df, ["g"], ranks).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        if v:
+            want |= {(g, "first"): v[0], (g, "upper"): v[len(v) // 2], (g, "last"): v[-1], (g, "third"): v[len(v) // 3]}
+    assert got == want
+    assert numbers.values_at(df.limit(0), ["g"], ranks).count() == 0
