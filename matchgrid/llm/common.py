@@ -8,10 +8,10 @@ only the tasks it ran.
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import functools
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +25,17 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where none is named, a local session (tests) gets a temporary one; a cluster gets an error."""
+    """The shared folder that the cluster, or whoever made a local session, names."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="matchgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
 #: Folders that this driver has written and not deleted, in order.
 _written: dict[str, None] = {}
+#: Folder -> all folders of the operator that made it.
+_together: dict[str, list[str]] = {}
 _recorders = threading.local()
 
 
@@ -60,10 +59,24 @@ def recording() -> Iterator[list[str]]:
         lists.pop()
 
 
+def together(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator all of whose folders are freed with its result: also those that it points to without a scan."""
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        with recording() as paths:
+            out = operator(*args, **options)
+        _together.update(dict.fromkeys(paths, paths))
+        return out
+
+    return run
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     _written.pop(path, None)
+    _together.pop(path, None)
 
 
 def forget(*tables: DataFrame) -> None:
@@ -87,11 +100,12 @@ def forget_paths(spark: SparkSession, paths: list[str], *used: DataFrame) -> Non
 
 
 def release(*results: DataFrame) -> None:
-    """Delete the working tables that results of this module's operators read; call it once they are stored elsewhere."""
-    kept = _read_by(results)
-    for path in list(_written):
-        if path.rsplit("/", 1)[-1] in kept:
-            _delete(results[0].sparkSession, path)
+    """Delete the working tables that results of this module's operators read, and what else a ``together`` operator made; call it once the results are stored elsewhere."""
+    read = _read_by(results)
+    for path in [p for p in _written if p.rsplit("/", 1)[-1] in read]:
+        for other in list(_together.get(path, [path])):
+            if other in _written:
+                _delete(results[0].sparkSession, other)
 
 
 def write_table(df: DataFrame, tag: str) -> DataFrame:

@@ -157,17 +157,16 @@ def mix(
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: a row of ``docs`` for each copy, range-sorted by training position.
 
-    The one document a source that is taken in part keeps its first words, parted by spaces.
+    Texts are never cut: the one document a source that the mix takes in part is taken whole
+    where that part is at least half of it, else not at all in that pass; so a source's words
+    are within half of that document of its target.
     """
     mixed = mix(docs, id_col, text_col, source_col, **options)
     size, copies = mixed.columns[-5], mixed.columns[-1]
-    copy, position = free_name(mixed, "copy"), free_name(mixed, "position")
-    each = mixed.select(*docs.columns, size, F.explode(copies).alias(copy))
-    words = F.regexp_extract_all(text_col, F.lit(WORD_PATTERN), F.lit(0))
-    front = F.array_join(F.slice(words, F.lit(1), F.col(copy)["words"].cast("int")), " ")
-    each = each.withColumn(text_col, F.when(F.col(copy)["words"] >= F.col(size), F.col(text_col)).otherwise(front))
+    position = free_name(mixed, "position")
+    whole = F.filter(copies, lambda c: 2 * c["words"] >= F.col(size))
+    each = mixed.select(*docs.columns, F.explode(F.transform(whole, lambda c: c["position"])).alias(position))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = each.withColumn(position, F.col(copy)["position"])
     return each.repartitionByRange(n, position, id_col).sortWithinPartitions(position, id_col).select(*docs.columns)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from matchgrid.llm import embed_dup, language, licences, merkle, mixing, near_dup, oracles, packing, prefix_trie, quality, secrets, tokens, toxicity, warc
+from matchgrid.llm.common import together
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +20,7 @@ QUERIES = {
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_merkle": merkle.op13_merkle,
 }
+QUERIES = {name: together(query) for name, query in QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,

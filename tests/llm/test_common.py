@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 from matchgrid.llm import common
 from matchgrid.llm.common import connected_components, free_name
+from matchgrid.llm.queries import QUERIES
 
 
 def _brute(edges):
@@ -37,13 +39,27 @@ def test_free_names(spark):
     assert [free_name(df, c) for c in ("A", "c", "_b")] == ["_A", "c", "__b"]
 
 
-def test_a_cluster_must_name_its_shared_folder():
+def test_a_session_must_name_its_shared_folder():
     class Conf:
         get = staticmethod(lambda key, default: default)
 
     class Session:
         conf = Conf
-        sparkContext = type("C", (), {"master": "spark://host:7077"})
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session)
+
+
+def test_release_frees_all_that_an_operator_made(spark, sf):
+    """Also folders that its result only points to, such as archives and their index; another result's stay."""
+    with common.recording() as others:
+        other = QUERIES["op2_warc"](spark, sf)
+    with common.recording() as paths:
+        result = QUERIES["op2_warc"](spark, sf)
+    there = lambda ps: [p for p in ps if os.path.exists(p.removeprefix("file://"))]
+    n = result.count()
+    assert {p.rsplit("/", 1)[-1].split("-")[0] for p in there(paths)} >= {"archives", "index", "top"}
+    common.release(result)
+    assert not there(paths) and there(others) and other.count() == n
+    common.release(other)
+    assert not there(others)

@@ -28,7 +28,12 @@ def test_stages_end_to_end(spark, sf):
     for r in masked:
         assert r["n_chars"] == len(r["text"]) and (r["text"] == before[r["doc_id"]]["text"] or secrets.MASK in r["text"])
     words = lambda rows: sum(len(r["text"].split()) for r in rows)
-    assert abs(words(mixed) - 1.5 * words(masked)) < 40
+    # a source's target is met to within half of one of its documents, which are taken whole or not at all
+    longest = {}
+    for r in masked:
+        longest[r["source"]] = max(longest.get(r["source"], 0), len(r["text"].split()))
+    assert abs(words(mixed) - 1.5 * words(masked)) <= sum(longest.values()) / 2 + 1
+    assert {r["text"] for r in mixed} <= {r["text"] for r in masked}
     pieces = cp.run(spark, sf).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in mixed}
     fill = {}
@@ -81,6 +86,19 @@ def test_other_results_survive_a_run_and_its_own_tables_go(spark, sf):
     assert not [p for p in [*all_paths, *paths] if os.path.exists(p.removeprefix("file://"))]
 
 
+def test_results_survive_later_stage_calls(spark, sf):
+    """A run's result, a stage's and an operator's can all be read after other stages were called in the same thread."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    pieces = QUERIES["op3_secrets"](spark, sf), cp.run(spark, sf)
+    n = [x.count() for x in pieces]
+    deduped = cp.near_duplicate_stage(spark, cp.language_stage(spark, documents, sf), sf)
+    kept = deduped.count()
+    masked = cp.secrets_stage(spark, documents, sf)
+    mixed = cp.mixing_stage(spark, documents, sf)
+    assert [x.count() for x in pieces] == n and deduped.count() == kept and masked.count() == documents.count() and mixed.count() > 0
+    common.release(*pieces, deduped, masked, mixed)
+
+
 def _groups(rows):
     """doc_id -> smallest id that links reach, by all pairs."""
     sets = {r["doc_id"]: _shingles(r["text"]) for r in rows}
@@ -137,7 +155,8 @@ def test_each_stage_matches_brute_force_on_its_input(spark, sf, tmp_path):
 
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{tmp_path}/secrets/*.parquet'")
-    taken = {i: n for i, n in db.execute(f"select doc_id, taken from ({mixing.OP4_SQL})").fetchall() if n}
+    wanted = db.execute(f"select doc_id, size * (taken // size + CAST(2 * (taken % size) >= size AS INTEGER)) from ({mixing.OP4_SQL}) where size > 0").fetchall()
+    taken = {i: n for i, n in wanted if n}
     got = Counter()
     for r in rows["mixing"]:
         got[r["doc_id"]] += len(re.findall("[^\x20\x09-\x0d]+", r["text"]))
