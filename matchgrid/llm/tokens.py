@@ -31,8 +31,9 @@ MARK = "▁"
 UNKNOWN_PENALTY = -10.0
 #: Entries of a worker's cache of word counts; it is emptied when full.
 WORD_CACHE = 500_000
-#: Nodes of a worker's trie (about 150 bytes each); a larger one is dropped before the next batch.
+#: Nodes of a worker's trie (about 150 bytes each); a larger one is dropped before the next slice of words.
 TRIE_NODES = 500_000
+SLICE = 2_000
 #: Longer words are scored along their path alone and leave no nodes.
 LONG_WORD = 64
 
@@ -64,9 +65,13 @@ class PrefixCounter:
         self.score, self.tokens = array("d", [0.0]), array("q", [0])
 
     def count(self, words: list[str]) -> dict[str, int]:
-        if len(self.score) > TRIE_NODES:
-            self._plant()
-        return {word: self._insert(MARK + word) if len(word) <= LONG_WORD else self._along(MARK + word) for word in words}
+        found = {}
+        for a in range(0, len(words), SLICE):
+            if len(self.score) > TRIE_NODES:
+                self._plant()
+            for word in words[a : a + SLICE]:
+                found[word] = self._insert(MARK + word) if len(word) <= LONG_WORD else self._along(MARK + word)
+        return found
 
     def _insert(self, full: str) -> int:
         children, node, path = self.children, 0, [0]

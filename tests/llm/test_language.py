@@ -91,3 +91,10 @@ def test_numbers_of_n_grams_differ():
         want |= {word[i : i + n] for n in (1, 2, 3) for i in range(len(word) - n + 1)} - {"_"}
     assert len(set(language.keys_of(text).tolist())) == len(want)
     assert len(language.keys_of(text)) == len(set(language.keys_of(text).tolist())) + 2  # a and _a, twice
+
+
+def test_null_ids_are_held_out_and_judged(spark):
+    docs = spark.createDataFrame([(None, "the of and"), (1, "the of and")], "doc_id long, text string")
+    assert {r["doc_id"]: r["h"] for r in docs.select("doc_id", language.held_out().alias("h")).collect()}[None]
+    found = language.identify(docs, {"en": {language.key_of("the"): 0}}).collect()
+    assert [r["lang_pred"] for r in found] == ["en", "en"]

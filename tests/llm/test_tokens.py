@@ -54,3 +54,23 @@ def test_nulls_and_clashing_names(spark):
     got = {r["doc_id"]: (r["n_tokens"], r["n_pretokens"], r["n_distinct"]) for r in tokens.count_tokens(docs).collect()}
     assert got == {1: (5, 0, 0), 2: (5, 0, 0), 3: (5, 0, 0), 4: (5, 3, 2)}
     assert tokens.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_equal_scores_take_fewer_tokens():
+    counter = tokens.PrefixCounter({"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -2.0, "▁ab": -3.0})
+    assert counter.count(["ab", "a", "abab"]) == {"ab": 1, "a": 2, "abab": 2}
+
+
+def test_one_batch_of_new_words_stays_within_bounds(monkeypatch):
+    monkeypatch.setattr(tokens, "TRIE_NODES", 300)
+    monkeypatch.setattr(tokens, "SLICE", 10)
+    counter = tokens.PrefixCounter(SCORES)
+    most, insert = [0], counter._insert
+
+    def watched(word):
+        most[0] = max(most[0], len(counter.score))
+        return insert(word)
+
+    counter._insert = watched
+    words = [f"w{i:05}" for i in range(400)]
+    assert counter.count(words) == {w: _brute(w) for w in words} and most[0] < 300 + 10 * 8
