@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchgrid.functions import dates
-from matchgrid.operators import dataset, profile, ratings
+from matchgrid.operators import dataset, profile, ratings, resolve
 
 
 def merge_stat_tables(standard: DataFrame, others: list[DataFrame], keys: tuple[str, ...] = ("player", "team"), wanted: list[str] | None = None) -> DataFrame:
@@ -76,6 +76,18 @@ def tournament_matrix(teams: DataFrame, rating: DataFrame, parts: list[DataFrame
     return out
 
 
+def tournament_from_line_ups(line_ups: DataFrame, roster: DataFrame, rating: DataFrame, stats: DataFrame, weights: DataFrame) -> DataFrame:
+    """The team matrix of a tournament whose teams are known by their line-ups alone.
+
+    ``line_ups(player_name, team, seq)`` are resolved against ``roster(name, entity_id, pos)``;
+    ``stats(pid, season, goals, assists, minutes_played)`` count for the team that an id was
+    last listed under. Teams that list players none of whom is known have a row too.
+    """
+    of = resolve.ids_to_teams(line_ups, roster)
+    mine = stats.join(of.withColumnRenamed("entity_id", "pid"), "pid")
+    return tournament_matrix(resolve.line_up_teams(line_ups).select("team"), rating, [league_profile(mine, weights)])
+
+
 def tournaments(frames: dict[str, DataFrame]) -> DataFrame:
     """Matches of several tournaments by name of column, ``tournament`` added."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("tournament", F.lit(t)) for t, f in frames.items()])
@@ -87,42 +99,28 @@ def squads_by_season(stats: DataFrame, weights_of: int = 3) -> DataFrame:
     return latest.select("team", "latest", F.inline(dates.season_weights(F.col("latest"), dates.RECENCY[-weights_of:])))
 
 
-def club_dataset(matches: DataFrame, profiles: DataFrame, league: str = "league") -> DataFrame:
-    """Club matches with ratings before each (a fold a league) and both sides' profile of the season before.
+def club_dataset(matches: DataFrame, profiles: DataFrame, league: str = "league", ranked_in: str | None = None) -> DataFrame:
+    """Club matches with ratings and ranks before each, and both sides' profile of the season before.
 
     ``matches`` as ``sources.readers.club_matches`` gives them; ``profiles(team, season, ...)``.
-    The order of a league's matches is date, home, away.
+    The order of matches is date, league, home, away. A rank is among all clubs then seen,
+    which only all matches in order can tell: they pass through one task, as a stream.
+    ``ranked_in`` names a column, such as the league, whose clubs meet and are ranked by
+    themselves; its values are folded side by side.
     """
     m = matches.where("date is not null").withColumn("previous", dates.previous_season(F.col("season_code")))
-    folded = ratings.elo_fold(m, league, ["date", "home_team", "away_team"], "home_team", "away_team", "home_score", "away_score")
+    order = ["date", league, "home_team", "away_team"]
+    sides = ("home_team", "away_team", "home_score", "away_score")
+    if ranked_in is None:
+        folded = ratings.elo_fold(m.withColumn("__all", F.lit(0)), "__all", order, *sides, ranks=True).drop("__all")
+    else:
+        folded = ratings.elo_fold(m, ranked_in, order, *sides, ranks=True)
     feats = [c for c in profiles.columns if c not in ("team", "season")]
     side = lambda p: profiles.select(F.col("team").alias(f"{p}_team"), F.col("season").alias("previous"), *(F.col(c).alias(f"{p}_{c}") for c in feats))
     met = folded.join(side("home"), ["home_team", "previous"], "left").join(side("away"), ["away_team", "previous"], "left")
     numeric = [c for c, t in profiles.dtypes if c in feats and t in ("double", "int", "bigint")]
-    return met.select("*", *((F.col(f"home_{c}") - F.col(f"away_{c}")).alias(f"diff_{c}") for c in numeric), (F.col("elo_home") - F.col("elo_away")).alias("diff_elo"))
-
-
-def ranked_before(folded: DataFrame, component: str, order: str, home: str = "home", away: str = "away") -> DataFrame:
-    """``folded`` with rank_home and rank_away before each match: 1 + teams of the component then rated higher; unseen teams rank after all known.
-
-    Ranks follow from each team's last rating before the match: rows for (match, team) by
-    an as-of window over the component's teams, so the table grows by the teams of a
-    component, not by pairs of matches.
-    """
-    side = lambda t, e: F.struct(F.col(t).alias("team"), F.col(e).alias("elo"))
-    hist = folded.select(component, order, F.explode(F.array(side(home, "elo_home_after"), side(away, "elo_away_after"))).alias("s")).select(component, order, "s.*")
-    teams = hist.select(component, "team").distinct()
-    grid = folded.select(component, order).distinct().join(teams, component)
-    past = W.partitionBy(component, "team").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    state = grid.join(hist, [component, order, "team"], "left").withColumn("before", F.last("elo", ignorenulls=True).over(past))
-    known = F.sort_array(F.collect_list("before"))
-    boards = state.groupBy(component, order).agg(known.alias("__b"))
-    above = lambda e: F.size(F.filter("__b", lambda x: x > F.col(e))) + 1
-    seen = state.where("before is not null").select(component, order, "team")
-    mark = lambda t, n: seen.select(component, order, F.col("team").alias(t), F.lit(True).alias(n))
-    met = folded.join(boards, [component, order]).join(mark(home, "__h"), [component, order, home], "left").join(mark(away, "__a"), [component, order, away], "left")
-    rank = lambda flag, e: F.when(F.col(flag), above(e)).otherwise(F.size("__b") + 1)
-    return met.withColumns({"rank_home": rank("__h", "elo_home"), "rank_away": rank("__a", "elo_away")}).drop("__b", "__h", "__a")
+    gaps = [(F.col(f"{c}_home") - F.col(f"{c}_away")).alias(f"diff_{c}") for c in ("elo", "rank")]
+    return met.select("*", *((F.col(f"home_{c}") - F.col(f"away_{c}")).alias(f"diff_{c}") for c in numeric), *gaps)
 
 
 def gap_report(matched: DataFrame, keys: list[str], flag: str, below: float = 0.4) -> DataFrame:

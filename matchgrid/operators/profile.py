@@ -19,8 +19,9 @@ WEIGHTED = [
     "tackles_won", "goalkeeper_saves",
 ]
 BUCKETS = ("GK", "DF", "MF", "FW")
+# Confederations with a column of their own (fixed values).
 CONFEDERATIONS = ("UEFA", "CONMEBOL", "CONCACAF", "CAF", "AFC")
-#: Share of dribbles in a forward line's attack score.
+#: Share of dribbles in a forward line's attack score (fixed value).
 DRIBBLES = 0.15
 
 
@@ -153,6 +154,7 @@ FEATURES = {
     "style": ["team_pressures_per90", "team_carries_per90"],
     "clubs": ["club_max_cluster_ratio", "club_pair_density", "club_distinct_clubs"],
 }
+# Columns of the match-ups (fixed values).
 MATCHUPS = ["matchup_home_fw_vs_away_df", "matchup_away_fw_vs_home_df", "matchup_mf_creative_diff", "matchup_press_vs_carry", "matchup_carry_vs_press"]
 TEAM_FEATURES = [f for group in FEATURES.values() for f in group]
 
@@ -268,7 +270,8 @@ def squad_season(stats: DataFrame, team: str, season: str, order: list[str]) ->
     """Rows of the first season in ``order`` that a team has rows for."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(season))
     rows = stats.where(place > 0).withColumn("__p", place)
-    return rows.withColumn("__b", F.min("__p").over(W.partitionBy(team))).where("__p = __b").drop("__p", "__b")
+    best = rows.groupBy(F.col(team).alias("__t")).agg(F.min("__p").alias("__b"))  # one row a team is joined; no task holds a team's rows
+    return rows.join(best, F.col(team).eqNullSafe(F.col("__t")) & (F.col("__p") == F.col("__b"))).drop("__p", "__b", "__t")
 
 
 # Per-90 baselines by position, quality references and factors of the proxies (fixed values).

@@ -74,6 +74,35 @@ Q07 = f"""WITH {FEED_SQL} SELECT team, player, {', '.join(f'CAST(sum({c}) AS BIG
 FROM pm GROUP BY team, player"""
 
 
+_RARE = ["Dribble", "Interception", "Block", "Clearance", "Ball Recovery", "Foul Won", "Pressure", "Goal Keeper", "Bad Behaviour", "Pass"]
+_MORE = ["through_balls", "crosses", "dribble_attempts", "dribble_success", "interceptions", "blocks", "clearances", "ball_recoveries", "fouls_won", "pressures", "counter_pressures",
+         "goalkeeper_saves", "yellow_cards", "red_cards"]
+
+
+def q100_more_metrics(spark, sf):
+    """The rarer event types by match and player; the through-ball flag is there in the feed."""
+    e = read(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k, i = F.col("k"), F.col("event_id")
+    feed = e.select(
+        F.concat(F.lit("m"), F.dayofmonth("ts").cast("string")).alias("match_id"), F.when(i % 17 != 0, F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string"))).alias("player"), F.lit("A").alias("team"),
+        F.get(F.array(*map(F.lit, _RARE)), (i % 10).cast("int")).alias("type"), F.when(k % 4 != 0, k % 4 == 1).alias("pass_through_ball"), (k % 3 == 0).alias("pass_cross"),
+        F.when(k % 3 == 0, "Complete").when(k % 3 == 1, "Success").otherwise("Incomplete").alias("dribble_outcome"), F.when(k % 2 == 0, k % 5 == 0).alias("counterpress"),
+        F.when(k % 2 == 0, "Shot Saved").when(k % 3 == 0, "Saved Twice").otherwise("Goal Conceded").alias("goalkeeper_outcome"), F.when(k % 2 == 0, "Yellow Card").otherwise("Red Card").alias("bad_behaviour_card"),
+    )
+    return events.match_player_metrics(feed).select("match_id", "player", *_MORE)
+
+
+_KIND = {n: f"event_id % 10 = {i}" for i, n in enumerate(_RARE)}
+_MORE_SQL = {
+    "through_balls": f"{_KIND['Pass']} AND k % 4 = 1", "crosses": f"{_KIND['Pass']} AND k % 3 = 0", "dribble_attempts": _KIND["Dribble"], "dribble_success": f"{_KIND['Dribble']} AND k % 3 < 2",
+    "interceptions": _KIND["Interception"], "blocks": _KIND["Block"], "clearances": _KIND["Clearance"], "ball_recoveries": _KIND["Ball Recovery"], "fouls_won": _KIND["Foul Won"],
+    "pressures": _KIND["Pressure"], "counter_pressures": f"{_KIND['Pressure']} AND k % 2 = 0 AND k % 5 = 0", "goalkeeper_saves": f"{_KIND['Goal Keeper']} AND (k % 2 = 0 OR k % 3 = 0)",
+    "yellow_cards": f"{_KIND['Bad Behaviour']} AND k % 2 = 0", "red_cards": f"{_KIND['Bad Behaviour']} AND k % 2 <> 0",
+}
+Q100 = f"""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT 'm' || day(ts) AS match_id, 'p' || (user_id % 20) AS player, {', '.join(f'count(*) FILTER ({c}) AS {n}' for n, c in _MORE_SQL.items())} FROM e WHERE event_id % 17 <> 0 GROUP BY 1, 2"""
+
+
 def _lineups(spark, sf):
     e = read(spark, sf, "events")
     start = F.minute("ts")
@@ -317,7 +346,7 @@ Q40 = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate
 def q42_fuzzy_match(spark, sf):
     """Part names, their words turned round and one letter lost, against the different names."""
     p = read(spark, sf, "part").select("p_name").distinct()
-    roster = p.withColumn("pos", F.row_number().over(W.orderBy("p_name"))).select(F.col("p_name").alias("name"), F.concat(F.lit("id"), F.col("pos").cast("string")).alias("entity_id"), "pos")
+    roster = p.withColumn("pos", F.xxhash64("p_name")).select(F.col("p_name").alias("name"), F.concat(F.lit("id"), F.col("pos").cast("string")).alias("entity_id"), "pos")
     words = F.reverse(F.split("p_name", " "))
     targets = p.select(F.concat(F.array_join(words, " "), F.lit(" É")).alias("target"))
     return resolve.best_matches(targets, roster)
@@ -392,5 +421,5 @@ QUERIES = {
     "q34_carry_forward": (q34_carry_forward, Q34), "q35_name_normalize": (q35_name_normalize, Q35), "q36_roster_parse": (q36_roster_parse, Q36), "q37_links": (q37_links, Q37),
     "q39_stints": (q39_stints, Q39), "q40_date_season": (q40_date_season, Q40), "q42_fuzzy_match": (q42_fuzzy_match, None),
     "q44_null_census": (q44_null_census, Q44), "q44b_match_rate": (q44b_match_rate, Q44B), "q45_effect_size": (q45_effect_size, Q45), "q46_regulation_score": (q46_regulation_score, Q46),
-    "q47_rf_cv": (q47_rf_cv, None), "q48_poisson_glm": (q48_poisson_glm, None),
+    "q100_more_metrics": (q100_more_metrics, Q100), "q47_rf_cv": (q47_rf_cv, None), "q48_poisson_glm": (q48_poisson_glm, None),
 }

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet under the folder that ``spark.checkpoint.dir`` names, and read again."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path of its own under the folder that ``spark.checkpoint.dir`` names."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{folder.rstrip('/')}/matchgrid-steps/{tag}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/matchgrid-steps/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, and read again."""
+    spark = df.sparkSession
+    path = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path

@@ -30,7 +30,8 @@ def add_columns(spark: SparkSession, table: str, columns: dict[str, str]) -> lis
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header; quotes in fields are doubled, as ``readers.csv`` reads them."""
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -262,10 +262,8 @@ def test_models_keep_folds_apart(spark):
 
 
 def test_ranks_before_each_match(spark):
-    from matchgrid.operators import builders
-
     m = spark.createDataFrame([("g", 1, "A", "B", 2, 0), ("g", 2, "B", "C", 1, 1), ("g", 3, "A", "C", 0, 1)], "grp string, r int, home string, away string, hg int, ag int")
-    got = {r["r"]: (r["rank_home"], r["rank_away"]) for r in builders.ranked_before(ratings.elo_fold(m, "grp", ["r"]), "grp", "r").collect()}
+    got = {r["r"]: (r["rank_home"], r["rank_away"]) for r in ratings.elo_fold(m, "grp", ["r"], ranks=True).collect()}
     assert got == {1: (1, 1), 2: (2, 3), 3: (1, 2)}
 
 
@@ -286,10 +284,48 @@ def test_club_dataset(spark):
     m = spark.createDataFrame([(day, "2324", "E0", "A", "B", 2, 1), (None, "2324", "E0", "A", "B", 0, 0)], "date timestamp, season_code string, league string, home_team string, away_team string, home_score int, away_score int")
     p = spark.createDataFrame([("A", "2022-2023", 3.0), ("B", "2022-2023", 1.0)], "team string, season string, lg_goals double")
     got = builders.club_dataset(m, p).collect()
-    assert len(got) == 1 and got[0]["diff_lg_goals"] == 2.0 and got[0]["diff_elo"] == 0.0
+    assert len(got) == 1 and got[0]["diff_lg_goals"] == 2.0 and got[0]["diff_elo"] == 0.0 and got[0]["rank_home"] == got[0]["rank_away"] == 1
+    later = [(day + datetime.timedelta(days=i), "2324", lg, h, a, x, y) for i, (lg, h, a, x, y) in enumerate([("E0", "A", "B", 2, 1), ("D1", "X", "Y", 0, 3), ("E0", "B", "A", 0, 0), ("D1", "Y", "X", 1, 1)])]
+    more = spark.createDataFrame(later, m.schema)
+    ranks = {(r["league"], r["home_team"]): (r["rank_home"], r["rank_away"], round(r["elo_home"], 6)) for r in builders.club_dataset(more, p).collect()}
+    assert ranks["D1", "X"][:2] == (3, 3) and ranks["D1", "Y"][:2] == (1, 4)  # among the clubs of both leagues
+    alone = {(r["league"], r["home_team"]): (r["rank_home"], r["rank_away"], round(r["elo_home"], 6)) for r in builders.club_dataset(more, p, ranked_in="league").collect()}
+    assert alone["D1", "Y"][:2] == (1, 2) and {k: v[2] for k, v in alone.items()} == {k: v[2] for k, v in ranks.items()}
     t = builders.tournaments({"x": m.select("home_team"), "y": m.select("away_team")})
     assert t.count() == 4 and set(t.columns) == {"home_team", "away_team", "tournament"}
     teams = spark.createDataFrame([("A",), ("Z",)], "team string")
     r = spark.createDataFrame([("A", 1600.0, 1, "CAF")], "team string, elo double, rank int, confederation string")
     rows = {x["team"]: x for x in builders.tournament_matrix(teams, r, [p.drop("season"), p.drop("season").where("team = 'A'").withColumn("lg_goals", F.lit(9.0))]).collect()}
     assert rows["A"]["lg_goals"] == 9.0 and rows["A"]["conf_caf"] == 1.0 and rows["Z"]["elo"] == 1500.0
+
+
+def test_boosted_and_regression_trees_saved_and_ranked(spark, tmp_path):
+    """Spark ML estimators inside the same pipeline: upset forest, boosted trees of two and three classes, goal regressors; a saved model predicts the same."""
+    rng = random.Random(2)
+    rows = [(f"r{i}", rng.random(), rng.random()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, a double, b double").withColumns({"upset": (F.col("a") > 0.5).cast("double"), "y": F.floor(F.col("a") * 3).cast("double"), "goals": F.round(F.col("a") * 4)}).withColumn("w", F.lit(1.0))
+    right = lambda out, label: out.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+    upset = models.prepared(["a", "b"], models.upset_forest().setNumTrees(5)).fit(df)
+    assert right(upset.transform(df), "upset") > 0.95
+    names = models.importances(upset, ["a", "b"])
+    assert names[0][0] == "a" and abs(sum(v for _, v in names) - 1) < 1e-9
+    assert right(models.prepared(["a", "b"], models.boosted(2, "upset", 3)).fit(df).transform(df), "upset") > 0.95
+    assert right(models.prepared(["a", "b"], models.boosted(3, "y", 3)).fit(df).transform(df), "y") > 0.9
+    for kind in ("poisson", "forest", "boosted"):
+        out = models.prepared(["a", "b"], models.goal_model(kind)).fit(df).transform(df)
+        assert out.agg(F.avg(F.abs(F.col("prediction") - F.col("goals")))).first()[0] < 0.8
+    models.save(upset, str(tmp_path / "m"))
+    again = models.load(str(tmp_path / "m"))
+    assert [r["prediction"] for r in again.transform(df).orderBy("id").collect()] == [r["prediction"] for r in upset.transform(df).orderBy("id").collect()]
+
+
+def test_samples_and_squad_seasons(spark):
+    from matchgrid.operators import backtest, builders
+
+    f = spark.createDataFrame([(f"m{i}",) for i in range(200)], "match string")
+    one = sorted(r[0] for r in backtest.stable_sample(f, "match", 25).collect())
+    assert len(one) == 25 and one == sorted(r[0] for r in backtest.stable_sample(f.repartition(7), "match", 25).collect())
+    assert one != sorted(r[0] for r in backtest.stable_sample(f, "match", 25, seed=1).collect())
+    stats = spark.createDataFrame([("A", "2021-2022"), ("A", "2022-2023"), ("A", "2022-2023")], "team string, season string")
+    got = builders.squads_by_season(stats).where("latest = '2022-2023'").orderBy("season").collect()
+    assert len(got) == 3 and got[-1]["season"] == "2022-2023" and [r["weight"] for r in got] == sorted(r["weight"] for r in got)
