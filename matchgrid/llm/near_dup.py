@@ -31,7 +31,7 @@ PERCENT = 75
 #: Classes of a block; a task compares two blocks of a family exactly.
 BLOCK = 512
 #: Entries of a worker's word cache; it is emptied when full.
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
 
 _M = (1 << 64) - 1
 
@@ -179,6 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verdict = tagged.select("r", "g").join(heads, "g").select(
         F.col("r").alias(key), F.col("h.i").alias(names["component_id"]), (F.col("r") == F.col("h.r")).alias(names["keeper"])
     )
+    verdict = write_table(verdict, "verdict")
+    forget(rows, comp)  # the result reads the texts and this
     out = base.drop(digest, names["bands"]).join(verdict, key)
     same = F.coalesce(F.col(id_col) == F.col(names["component_id"]), F.lit(False))
     return out.select(*docs.columns, n, names["component_id"], same.alias(names["kept"]), names["keeper"])
@@ -221,6 +223,9 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     label = members.select("k", "node").join(star, "node", "left").select("k", "node", F.coalesce("component", "node").alias("g"))
     label = write_table(_open(label), "open")
     forget(written)
+    if not label.limit(1).count():  # the stars have joined all that meet
+        forget(label, texts)
+        return star
     nodes = label.select("node", "g").distinct()
     sets = texts.join(nodes, F.col("r") == F.col("node")).select("node", "g", "t").mapInArrow(_shingler, "node long, g long, x array<long>")
     sets = write_table(sets, "sets")
@@ -231,6 +236,9 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     able = sets.join(common, "node").where(F.col("c") * 100 >= F.size("x") * percent).select("node")
     label, old = write_table(_open(label.join(able, "node").select("k", "node", "g")), "open"), label
     forget(old)
+    if not label.limit(1).count():  # what meets is too little to be a link
+        forget(label, sets)
+        return star
     low = label.groupBy("k").agg(F.min("node").alias("v"))
     families = connected_components(label.join(low, "k").select(F.col("node").alias("u"), "v"))
     family = families.select("node", F.col("component").alias("f"))

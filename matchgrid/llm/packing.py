@@ -33,7 +33,7 @@ GRANULARITY = 8
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of each of a worker's two caches; half goes when one is full.
-CACHE = 400_000
+CACHE = 200_000
 #: Pieces that one ranking task gets on average.
 RANK_ROWS = 20_000
 
