@@ -140,15 +140,21 @@ def grow_tree(x: np.ndarray, t: np.ndarray, w: np.ndarray, how: Growth, rng: np.
     return nodes
 
 
-def grow(rows: Rows, fold: int, tree: int, how: Growth) -> list[tuple]:
-    """One tree of the forest that is fitted on all folds but ``fold`` (-1: on all), missing values filled with the medians of its rows."""
+def prepared(rows: Rows, fold: int, how: Growth) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, weights, medians) of all folds but ``fold`` (-1: of all), missing values filled with the medians of these rows."""
     inside = rows.folds != fold
     x, y = rows.x[inside], rows.y[inside]
-    x = filled(x, medians(x))
+    fill = medians(x)
     w = np.ones(len(x))
     if how.balanced and rows.classes is not None:
         counts = y.sum(axis=0)
         w = (y @ np.divide(len(y), (counts > 0).sum() * counts, out=np.zeros_like(counts), where=counts > 0)).astype(float)
+    return filled(x, fill), y, w, fill
+
+
+def grow(rows: Rows, fold: int, tree: int, how: Growth, ready: tuple | None = None) -> list[tuple]:
+    """One tree of the forest that is fitted on all folds but ``fold``; ``ready``: what ``prepared`` gives for the fold."""
+    x, y, w, _ = ready or prepared(rows, fold, how)
     rng = np.random.default_rng((how.seed, fold + 1, tree))
     drawn = np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x))
     used = drawn > 0
@@ -183,7 +189,8 @@ def fit_forests(df: DataFrame, rows: Rows, how: Growth, folds: list[int] | None
         kinds = [*[pa.int32()] * 4, pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64())]
         for batch in batches:
             for fold, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [(fold, tree, i, *n) for tree in range(first, last) for i, n in enumerate(grow(rows, fold, tree, how))]
+                ready = prepared(rows, fold, how)
+                found = [(fold, tree, i, *n) for tree in range(first, last) for i, n in enumerate(grow(rows, fold, tree, how, ready))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=names)
 
     return _units(df, [-1] if folds is None else folds, how.trees).mapInArrow(run, NODE_SCHEMA)
@@ -202,11 +209,11 @@ def leave_one_out(df: DataFrame, key: str, features: list[str], label: str, how:
             units = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             votes = []
             for fold, first, last in units:
-                inside = rows.x[rows.folds != fold]
-                x = filled(rows.x[fold : fold + 1], medians(inside))
+                ready = prepared(rows, fold, how)
+                x = filled(rows.x[fold : fold + 1], ready[3])
                 total = np.zeros(rows.y.shape[1])
                 for tree in range(first, last):
-                    nodes = grow(rows, fold, tree, how)
+                    nodes = grow(rows, fold, tree, how, ready)
                     total += nodes[descend(x, nodes)[0]][5]
                 votes.append(total.tolist())
             yield pa.RecordBatch.from_arrays([pa.array([u[0] for u in units], pa.int32()), pa.array([u[1] for u in units], pa.int32()), pa.array(votes, pa.list_(pa.float64()))], names=["fold", "first", "votes"])

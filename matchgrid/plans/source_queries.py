@@ -87,7 +87,7 @@ def q99_squad_text(spark, sf):
     """Customers as squads in a text of sections, a file a region, in UTF-16, with managers and lines outside teams."""
     c = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     part = F.trim(F.split(F.expr(POSITION), ",")[0])
-    entry = F.concat("c_name", F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.concat(F.lit(" (Club "), (F.col("c_custkey") % 40).cast("string"), F.lit(", on loan)"))))
+    entry = F.concat("c_name", F.lit(" (Club "), (F.col("c_custkey") % 40).cast("string"), F.when(F.col("c_custkey") % 5 == 0, ")").otherwise(", on loan)"))
     # a line has at most 20 entries
     lines = c.groupBy(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("file"), F.col("n_name").alias("team"), part.alias("p"), F.floor(F.col("c_custkey") / 20).alias("line_no")).agg(F.sort_array(F.collect_list(entry)).alias("es"))
     lines = lines.select("file", "team", F.lit(1).alias("after"), F.concat("p", F.lit(": "), F.array_join("es", ", ")).alias("line"))
@@ -100,7 +100,7 @@ def q99_squad_text(spark, sf):
     return readers.squad_sections(found, scope=["file"]).select("team", "section", "name", "club")
 
 
-Q99 = f"""SELECT n_name AS team, trim(split_part({POSITION}, ',', 1)) AS section, c_name AS name, CASE WHEN c_custkey % 5 <> 0 THEN 'Club ' || (c_custkey % 40) END AS club FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+Q99 = f"""SELECT n_name AS team, trim(split_part({POSITION}, ',', 1)) AS section, c_name AS name, 'Club ' || (c_custkey % 40) AS club FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 def q103_line_up_players(spark, sf):
     """Players of nested line-ups: those that start by the events, and all by name or nickname."""

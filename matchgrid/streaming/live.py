@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from matchgrid.operators import tables
 from matchgrid.operators.merge import missing_rows
 from matchgrid.operators.ratings import START, change_of
 
@@ -39,6 +40,23 @@ def ingest_absent(path: str, keys: list[str]) -> Callable[[DataFrame, int], None
     return run
 
 
+def ingest_into(path: str, name: str, rules: dict[str, Column] | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: upsert each batch into a table made by ``tables.create``; of rows with one key in a batch the largest by its other columns counts.
+
+    Only the buckets that a batch falls in are read and written. The table's log knows the
+    batches of the stream ``name``, so one that is run again adds nothing, and several
+    streams may write the table.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        keys = tables.versions(batch.sparkSession, path)[0]["keys"]
+        rest = [c for c in batch.columns if c not in keys]
+        one = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else batch.distinct()
+        tables.upsert_into(one, path, rules, batch=f"{name}-{number}")
+
+    return run
+
+
 def event_windows(events: DataFrame, time: str, keys: list[str], made: list[Column], width: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Aggregates by keys and tumbling or sliding windows, rows up to ``late`` behind counted."""
     return events.withWatermark(time, late).groupBy(F.window(time, width, slide or width), *keys).agg(*made)

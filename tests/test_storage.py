@@ -84,6 +84,26 @@ def test_an_unfinished_upsert_is_finished_by_the_next_writer(spark, tmp_path, mo
     assert got[3] == 33 and got[4] == 44 and len(got) == 20 and all(v["done"] for v in tables.versions(spark, path))
 
 
+def test_a_stream_upserts_each_batch_once(spark, tmp_path):
+    path, source, state = (str(tmp_path / x) for x in ("t", "in", "state"))
+    schema = "pid int, goals int"
+    tables.create(spark.createDataFrame([(i, 0) for i in range(50)], schema), path, ["pid"], 8)
+    add = {"goals": F.coalesce("old_goals", F.lit(0)) + F.col("new_goals")}
+    write = live.ingest_into(path, "feed", add)
+
+    def feed(n, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{n}")
+        q = live.read(spark, f"{source}/*", schema).writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    feed(0, [(1, 3), (1, 2), (99, 1)])
+    feed(1, [(1, 4), (2, 5)])
+    got = dict(_rows(tables.read_table(spark, path)))
+    assert (got[1], got[2], got[99], len(got)) == (7, 5, 1, 51)
+    write(spark.createDataFrame([(1, 4), (2, 5)], schema), 1)  # a replay after a failure
+    assert dict(_rows(tables.read_table(spark, path))) == got
+
+
 def _land(root, competition, season, match, events, at=None):
     folder = os.path.join(root, competition, season, match)
     os.makedirs(folder, exist_ok=True)
