@@ -96,41 +96,49 @@ FEW, QUANTILES = 10_000, 256
 def values_at(rows: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataFrame:
     """(by, name, value): the exact value at each of ``ranks`` (name -> 0-based rank, over n) among the non-null values of ``rows(by, value)``.
 
-    Quantile sketches narrow each group to the values around its rank, the values below are
-    counted, and so on until few are left; only those are sorted. No task holds a group.
-    Null keys are a group of their own; groups without values have no row.
+    Quantile sketches narrow each group to the values around its rank, again and again until
+    few are left; only those are sorted, after what lies below them has been counted. No task
+    holds a group. A sketch is off by a ten-thousandth of its values at most, a window reaches
+    a 256th beyond the rank. Null keys are a group of their own; groups without values have no row.
     """
     rows = rows.where("value is not null")
-    named = F.array(*(F.struct(F.lit(n).alias("name"), r.cast("long").alias("__k")) for n, r in ranks.items()))
-    state = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.inline(named))
-    state = state.withColumns({"__low": F.lit(None).cast("double"), "__high": F.lit(None).cast("double"), "__done": F.lit(False)})
     same = lambda a, b: reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in by], F.lit(True))
     keys = [*by, "name"]
-    inside = F.col("__low").isNull() | F.col("value").between(F.col("__low"), F.col("__high"))
     grid = [i / QUANTILES for i in range(QUANTILES + 1)]
-    own = lambda s: [s[c].alias(c) for c in (*keys, "__k", "__low", "__high", "__done")]
-    while True:
-        state = stored(state, "ranks")
-        met = rows.join(state, same(rows, state)).select(*own(state), F.col("value").cast("double").alias("value"))
-        each = met.groupBy(*keys, "__k", "__low", "__high", "__done").agg(
-            F.count_if(F.coalesce(F.col("value") < F.col("__low"), F.lit(False))).alias("__below"), F.count_if(inside).alias("__m"),
-            F.approx_count_distinct(F.when(inside, F.col("value"))).alias("__d"), F.percentile_approx(F.when(inside, F.col("value")), grid, 10_000).alias("__g"),
-        )
-        each = stored(each, "narrowed")
-        drop_stored(state)
-        if not each.where(~F.col("__done") & (F.col("__m") > FEW) & (F.col("__d") > FEW // 2)).limit(1).count():
-            break
-        at = F.floor((F.col("__k") - F.col("__below")) / F.col("__m") * QUANTILES).cast("int")
-        low, high = F.get("__g", F.greatest(at - 1, F.lit(0))), F.get("__g", F.least(at + 2, F.lit(QUANTILES)))
-        more = ~F.col("__done") & (F.col("__m") > FEW) & (F.col("__d") > FEW // 2)
+
+    def sketched(value: Column) -> list[Column]:
+        return [F.approx_count_distinct(value).alias("__d"), F.percentile_approx(value, grid, 10_000).alias("__g")]
+
+    def narrowed(inside: Column, low: Column, high: Column) -> dict[str, Column]:
+        """Bounds around the rank that has ``inside`` values of the window before it, where many are left."""
+        many = (F.col("__m") > FEW) & (F.col("__d") > FEW // 2)
+        at = F.floor(inside / F.col("__m") * QUANTILES).cast("int")
+        new = F.get("__g", F.greatest(at - 1, F.lit(0))), F.get("__g", F.least(at + 2, F.lit(QUANTILES)))
         # a window that no longer narrows is sorted as it is
-        stuck = more & (low <= F.coalesce("__low", F.lit(float("-inf")))) & (high >= F.coalesce("__high", F.lit(float("inf"))))
-        state = each.select(*keys, "__k", F.when(more, low).otherwise(F.col("__low")).alias("__low"), F.when(more, high).otherwise(F.col("__high")).alias("__high"), (~more | stuck).alias("__done"))
-    left = rows.join(each, same(rows, each)).select(*(each[c].alias(c) for c in (*keys, "__k", "__low", "__high", "__below")), rows["value"].alias("value"))
-    left = left.where(F.col("__low").isNull() | F.col("value").cast("double").between(F.col("__low"), F.col("__high")))
-    left = left.groupBy(*keys, "__k", "__below", "value").agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return left.withColumn("__upto", F.col("__below") + upto).where("__upto > __k").groupBy(*keys).agg(F.min("value").alias("value"))
+        stuck = (new[0] <= F.coalesce(low, F.lit(float("-inf")))) & (new[1] >= F.coalesce(high, F.lit(float("inf"))))
+        open_ = many & ~stuck & (F.col("__m") * 3 / QUANTILES > FEW)
+        return {"__low": F.when(many, new[0]).otherwise(low), "__high": F.when(many, new[1]).otherwise(high), "__open": open_}
+
+    first = rows.groupBy(*by).agg(F.count("*").alias("n"), *sketched(F.col("value").cast("double")))
+    named = F.array(*(F.struct(F.lit(n).alias("name"), r.cast("long").alias("__k")) for n, r in ranks.items()))
+    first = first.select(*by, F.col("n").alias("__m"), "__d", "__g", F.inline(named))
+    none = F.lit(None).cast("double")
+    state = stored(first.select(*keys, "__k", *(c.alias(n) for n, c in narrowed(F.col("__k"), none, none).items())), "ranks")
+    inside = F.col("__low").isNull() | F.col("value").between(F.col("__low"), F.col("__high"))
+    while state.where("__open").limit(1).count():
+        own = [state[c].alias(c) for c in (*keys, "__k", "__low", "__high", "__open")]
+        met = rows.join(state.where("__open"), same(rows, state)).select(*own, F.col("value").cast("double").alias("value"))
+        below = F.count_if(F.coalesce(F.col("value") < F.col("__low"), F.lit(False)))
+        each = met.groupBy(*keys, "__k", "__low", "__high").agg(below.alias("__below"), F.count_if(inside).alias("__m"), *sketched(F.when(inside, F.col("value"))))
+        new = narrowed(F.col("__k") - F.col("__below"), F.col("__low"), F.col("__high"))
+        more = each.select(*keys, "__k", *(c.alias(n) for n, c in new.items()))
+        state, old = stored(more.union(state.where("not __open")), "ranks"), state
+        drop_stored(old)
+    met = rows.join(state, same(rows, state)).where(F.col("__low").isNull() | (F.col("value").cast("double") <= F.col("__high")))
+    beneath = F.coalesce(F.col("value").cast("double") < F.col("__low"), F.lit(False))
+    left = met.select(*(state[c].alias(c) for c in (*keys, "__k")), F.when(~beneath, rows["value"]).alias("value")).groupBy(*keys, "__k", "value").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    return left.withColumn("__upto", upto).where("__upto > __k and value is not null").groupBy(*keys).agg(F.min("value").alias("value"))
 
 
 def upper_median(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

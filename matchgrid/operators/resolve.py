@@ -177,7 +177,7 @@ def _rarest(names: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
     """(l, r): pairs of ``left(key)`` and ``right(key)``, different ASCII names, among them all that reach the threshold."""
-    a, b = left.select("key").distinct(), right.select("key").distinct()
+    a, b = (stored(x.select("key").where("key is not null").distinct(), "names") for x in (left, right))  # each is read five times
     size = F.length(F.array_join(_tokens(F.col("key")), " "))
     lengths = [sorted(r[0] for r in x.select(size.alias("n")).distinct().collect() if r[0]) for x in (a, b)]  # as many as lengths occur
     words = lambda x: x.select("key", F.explode(_tokens(F.col("key"))).alias("token"))
