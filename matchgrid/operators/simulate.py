@@ -59,8 +59,9 @@ def report(home_elo: float, away_elo: float, spark, neutral: bool = True, total:
 def reports(matches: DataFrame, model: DataFrame, neutral: bool = True, total: float = 2.65, top: int = 3) -> DataFrame:
     """One row a match (match_id, elo_home, elo_away) with three predictions side by side: by Elo, by its Poisson scores, and by ``model`` (match_id, p_home, p_draw, p_away).
 
-    elo_*, poisson_*, model_* probabilities, each one's pick, and the likeliest scores. A
-    match without a model's prediction keeps the other two.
+    The ratings become rating_home and rating_away, as elo_* are probabilities like
+    poisson_* and model_*; each has its pick, and the likeliest scores follow. A match
+    without a model's prediction keeps the other two.
     """
     adv = 0.0 if neutral else market.HOME_ADVANTAGE
     base = predict(matches, adv, total)
@@ -68,7 +69,7 @@ def reports(matches: DataFrame, model: DataFrame, neutral: bool = True, total: f
     scores = market.top_scores(matrix, ["match_id"], top)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "i", "j"))), lambda x: F.concat(x["i"].cast("string"), F.lit("-"), x["j"].cast("string")))
     by_scores = matrix.groupBy("match_id").agg(*market.outcome_sums())
-    out = base.select("match_id", "elo_home", "elo_away")
+    out = base.select("match_id", F.col("elo_home").alias("rating_home"), F.col("elo_away").alias("rating_away"))
     for name, table in (("elo", base), ("poisson", by_scores), ("model", model)):
         p = [F.col(c) for c in ("p_home", "p_draw", "p_away")]
         own = table.select("match_id", *(c.alias(f"{name}_{k}") for c, k in zip(p, ("home", "draw", "away"), strict=True)), market.argmax_outcome(*p).alias(f"{name}_pick"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from matchgrid.operators import dataset, forest, models, predictions, simulate
+from matchgrid.plans import model_queries
 from pyspark.sql import functions as F
 
 SMALL = forest.Growth(trees=12, depth=3, leaf=2)
@@ -191,3 +192,16 @@ def test_reports_hold_three_models(spark):
     assert rows["y"]["model_pick"] is None and rows["y"]["poisson_home"] == pytest.approx(rows["y"]["poisson_away"])
     one = simulate.report(1600, 1500, spark)
     assert one["by_scores"].first()["p_home"] == pytest.approx(rows["x"]["poisson_home"])
+
+
+def test_reports_can_be_written(spark, sf, tmp_path):
+    m = spark.createDataFrame([("x", 1600.0, 1500.0), ("y", 1500.0, 1500.0)], "match_id string, elo_home double, elo_away double")
+    p = spark.createDataFrame([("x", 0.2, 0.3, 0.5)], "match_id string, p_home double, p_draw double, p_away double")
+    simulate.reports(m, p).write.parquet(str(tmp_path / "made"))
+    rows = {r["match_id"]: r for r in spark.read.parquet(str(tmp_path / "made")).collect()}
+    assert (rows["x"]["rating_home"], rows["x"]["rating_away"]) == (1600.0, 1500.0)
+    assert rows["x"]["elo_home"] + rows["x"]["elo_draw"] + rows["x"]["elo_away"] == pytest.approx(1) and rows["x"]["elo_home"] > rows["x"]["elo_away"]
+    report = model_queries.q90_match_report(spark, sf)
+    assert len(set(report.columns)) == len(report.columns)
+    report.write.parquet(str(tmp_path / "report"))
+    assert spark.read.parquet(str(tmp_path / "report")).count() == model_queries._pairings(spark, sf).count()
