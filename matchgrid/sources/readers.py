@@ -28,22 +28,37 @@ def club_matches(spark: SparkSession, paths: list[str], encoding: str = "ISO-885
     """Domestic results of files named ``<league>_<season>.csv``, unreadable rows skipped, in date order.
 
     Seasons order their columns differently, so the files are read as lines, in one scan
-    however many there are: a file's first line names its columns, and every other line is
-    cut by them. A missing file is skipped where ``missing_ok``, one without a HomeTeam
-    column always. Fields hold no line breaks. Rows without teams or whole goals go.
+    however many there are, and large ones in parts: a file's first line names its columns,
+    and every line is cut by them. A missing file is skipped where ``missing_ok``, one without
+    a HomeTeam column always. Fields hold no line breaks. Rows without teams or whole goals
+    go, the first lines among them.
     """
     names = [c.split(" ")[0] for c in schemas.DOMESTIC.split(", ")]
     found = _existing(spark, paths) if missing_ok else list(paths)
     if not found:
         return tidy_results(spark.createDataFrame([], schemas.DOMESTIC + ", source_file string"))
-    raw = spark.read.format("binaryFile").load(found).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.split(F.regexp_replace(F.decode("content", encoding), "^(\ufeff|ï»¿)", ""), "\r?\n").alias("lines"))
+    lines = _lines(spark, found, encoding)
     cut = lambda line: F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
-    rows = raw.select("source_file", cut(F.get("lines", 0)).alias("head"), F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
-    rows = rows.where(F.array_contains("head", "HomeTeam")).withColumn("cells", cut(F.col("line")))
+    # lines of a file's first part come in order; a row a file is left
+    heads = lines.where("start = 0").groupBy("path").agg(F.min_by("line", "place").alias("head"))
+    heads = heads.select("path", cut(F.regexp_replace("head", "^(\ufeff|ï»¿)", "")).alias("head")).where(F.array_contains("head", "HomeTeam"))
+    rows = lines.join(F.broadcast(heads), "path").select("source_file", "head", cut(F.col("line")).alias("cells"))
     field = lambda n: F.when(F.array_position("head", F.lit(n)) > 0, F.get("cells", F.array_position("head", F.lit(n)).cast("int") - 1))
     return tidy_results(rows.select(*(field(n).alias(n) for n in names), F.regexp_replace(F.col("source_file"), "%20", " ").alias("source_file")))
 
 
+def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """(path, source_file, start, place, line) of text files: where a line's part of its file begins, and numbers that grow within a part."""
+    place = F.monotonically_increasing_id().alias("place")
+    if encoding.upper().startswith(("UTF-16", "UTF-32")):  # a line break is no single byte: files are read whole
+        raw = spark.read.format("binaryFile").load(paths).select("path", F.split(F.decode("content", encoding), "\r?\n").alias("lines"))
+        each = raw.select("path", F.explode("lines").alias("line"))
+        return each.select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), F.lit(0).alias("start"), place, "line")
+    raw = spark.read.option("lineSep", "\n").text(paths)  # the reader keeps a line's bytes as they are
+    line = F.regexp_replace(F.decode(F.col("value").cast("binary"), encoding), "\r$", "").alias("line")
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("start"), place, line)
+
+
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those that exist, by one listing of each folder they are in."""
     jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []

@@ -329,3 +329,24 @@ def test_samples_and_squad_seasons(spark):
     stats = spark.createDataFrame([("A", "2021-2022"), ("A", "2022-2023"), ("A", "2022-2023")], "team string, season string")
     got = builders.squads_by_season(stats).where("latest = '2022-2023'").orderBy("season").collect()
     assert len(got) == 3 and got[-1]["season"] == "2022-2023" and [r["weight"] for r in got] == sorted(r["weight"] for r in got)
+
+
+def test_large_result_files_are_read_in_parts(spark, tmp_path):
+    rows = [(f"{1 + i % 28:02}/03/2021", f"Á{i % 17}", f"B{i % 13}", i % 5, i % 3) for i in range(3000)]
+    (tmp_path / "E0_2021.csv").write_bytes(("Date,HomeTeam,AwayTeam,FTHG,FTAG\r\n" + "".join(f"{d},{h},{a},{x},{y}\r\n" for d, h, a, x, y in rows)).encode("latin-1"))
+    (tmp_path / "E1_2021.csv").write_bytes(("﻿FTHG,FTAG,AwayTeam,HomeTeam,Date\n" + "\n".join(f'{x},{y},"{a}",{h},{d}' for d, h, a, x, y in rows)).encode("utf-8").replace("Á".encode(), b"\xc1"))
+    paths = [str(tmp_path / f"{n}_2021.csv") for n in ("E0", "E1")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = readers.club_matches(spark, paths)
+        got = found.collect()
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert readers._lines(spark, paths, "ISO-8859-1").rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted((league, d, h, a, x, y) for league in ("E0", "E1") for d, h, a, x, y in rows)
+    assert sorted((r["league"], r["date"].strftime("%d/%m/%Y"), r["home_team"], r["away_team"], r["home_score"], r["away_score"]) for r in got) == want
+    assert "Generate" not in plan  # no row carries the whole file's lines
+    wide = tmp_path / "E2_2021.csv"
+    wide.write_bytes("Date,HomeTeam,AwayTeam,FTHG,FTAG\n01/03/2021,Ł,B,1,0".encode("utf-16"))
+    assert [(r["home_team"], r["result"]) for r in readers.club_matches(spark, [str(wide)], "UTF-16").collect()] == [("Ł", 1)]
