@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -160,6 +161,11 @@ def _keyed(names: DataFrame, threshold: int, lengths: list[int], probe: bool) ->
     return made.select("key", "n", "bits", F.explode("ks").alias("k")).select("key", "n", "bits", F.xxhash64("k").alias("k"))
 
 
+def _meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the names. Exploded and packed ones look small to the planner, which would gather them in the driver to broadcast them."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"), lambda t: t != ""))
 
@@ -167,7 +173,7 @@ def _tokens(name: Column) -> Column:
 def _rarest(names: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
     """(key, token): of each name the tokens, rarest among ``others`` first, until the rest is too short to be the shared part."""
     counts = others.select(F.explode(_tokens(F.col("key"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    each = names.select("key", F.explode(_tokens(F.col("key"))).alias("token")).join(counts, "token", "left")
+    each = _meet(names.select("key", F.explode(_tokens(F.col("key"))).alias("token")), counts, "token", "left")
     listed = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("ts"))  # as many as a name has
     size = lambda ts: F.aggregate(ts, F.lit(-1), lambda a, t: a + F.length(t["token"]) + 1)
     whole, count = size("ts"), F.size("ts")
@@ -181,10 +187,10 @@ def candidates(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
     size = F.length(F.array_join(_tokens(F.col("key")), " "))
     lengths = [sorted(r[0] for r in x.select(size.alias("n")).distinct().collect() if r[0]) for x in (a, b)]  # as many as lengths occur
     words = lambda x: x.select("key", F.explode(_tokens(F.col("key"))).alias("token"))
-    one = _rarest(a, b, threshold).select("token", F.col("key").alias("l")).join(words(b).select("token", F.col("key").alias("r")), "token").select("l", "r")
-    two = _rarest(b, a, threshold).select("token", F.col("key").alias("r")).join(words(a).select("token", F.col("key").alias("l")), "token").select("l", "r")
+    one = _meet(_rarest(a, b, threshold).select("token", F.col("key").alias("l")), words(b).select("token", F.col("key").alias("r")), "token").select("l", "r")
+    two = _meet(_rarest(b, a, threshold).select("token", F.col("key").alias("r")), words(a).select("token", F.col("key").alias("l")), "token").select("l", "r")
     probes, cuts = _keyed(a, threshold, lengths[1], True), _keyed(b, threshold, lengths[0], False)
-    met = probes.select("k", F.col("key").alias("l"), "n", "bits").join(cuts.select("k", F.col("key").alias("r"), F.col("n").alias("m"), F.col("bits").alias("more")), "k")
+    met = _meet(probes.select("k", F.col("key").alias("l"), "n", "bits"), cuts.select("k", F.col("key").alias("r"), F.col("n").alias("m"), F.col("bits").alias("more")), "k")
     edits = F.floor((F.col("n") + F.col("m")) * ((100.5 - threshold) / 100) + 1e-9)
     three = met.where(F.bit_count(F.col("bits").bitwiseXOR(F.col("more"))) <= edits).select("l", "r")
     return one.union(two).union(three).distinct()
@@ -213,7 +219,7 @@ def best_matches(
         pairs = t.join(F.broadcast(r))
     else:
         found = candidates(t.select(F.col("t_key").alias("key")), r.select(F.col("r_key").alias("key")), threshold)
-        pairs = t.join(found, F.col("t_key") == F.col("l")).join(r, F.col("r_key") == F.col("r")).drop("l", "r")
+        pairs = _meet(_meet(t, found, F.col("t_key") == F.col("l")), r, F.col("r_key") == F.col("r")).drop("l", "r")
     scored = pairs.withColumn("score", similarity("t_key", "r_key")).where(F.col("score") >= threshold)
     key = "target" if per == "target" else "pos"
     order = W.partitionBy(key).orderBy(F.desc("score"), "pos", "target")
@@ -240,6 +246,7 @@ def register(targets: DataFrame, roster: DataFrame, threshold: int = THRESHOLDS[
     the place, the last the name and id. Null targets and names without letters or digits
     match nothing. seq must be unique.
 
+    Nothing beats a roster name of score 100, so names that have one are not compared further.
     Who registers is settled in rounds: a name whose earlier similar names are all settled
     registers if none of them did; names that it reaches do not. Each round is a few joins
     over the pairs that are still open.
@@ -250,41 +257,40 @@ def register(targets: DataFrame, roster: DataFrame, threshold: int = THRESHOLDS[
     r = r.agg(F.min("pos").alias("pos"), F.max_by("name", "pos").alias("name"), F.max_by("entity_id", "pos").alias("entity_id")).where("key is not null")
     r = stored(r, "roster")
     firsts = t.where("key is not null").groupBy("key").agg(F.min("seq").alias("seq"))
-    known = stored(similar(firsts, r, threshold), "known")
-    open_ = firsts.join(known.select(F.col("l").alias("key")).distinct(), "key", "left_anti")
-    open_ = stored(open_, "open")
+    names = lambda x, c: x.select(F.col(c).alias("key")).distinct()
+    same = stored(similar(firsts, r, 100), "same")
+    rest = stored(_meet(firsts, names(same, "l"), "key", "left_anti"), "rest")
+    near = stored(similar(rest, r, threshold), "known")
+    known = same.union(near)
+    open_ = stored(_meet(rest, names(near, "l"), "key", "left_anti"), "open")
     pairs = similar(open_, open_, threshold).where("l <> r")
     side = lambda c: open_.select(F.col("key").alias(c), F.col("seq").alias(f"{c}_seq"))
-    pairs = stored(pairs.join(side("l"), "l").join(side("r"), "r").where("l_seq < r_seq").select("l", "r", "score"), "pairs")
+    pairs = stored(_meet(_meet(pairs, side("l"), "l"), side("r"), "r").where("l_seq < r_seq").select("l", "r", "score"), "pairs")
     edges, joined = pairs.select("l", "r"), []
     while edges.limit(1).count():
-        waiting = edges.select(F.col("r").alias("l")).distinct()
-        heads = edges.select("l").distinct().join(waiting, "l", "left_anti")
-        hit = stored(edges.join(heads, "l").select("r").distinct(), "hit")
+        heads = _meet(edges.select("l").distinct(), names(edges, "r").toDF("l"), "l", "left_anti")
+        hit = stored(_meet(edges, heads, "l").select("r").distinct(), "hit")
         joined.append(hit)
-        left = edges.join(heads, "l", "left_anti").join(hit, "r", "left_anti").join(hit.select(F.col("r").alias("l")), "l", "left_anti")
+        left = _meet(_meet(_meet(edges, heads, "l", "left_anti"), hit, "r", "left_anti"), hit.toDF("l"), "l", "left_anti")
         new = stored(left.select("l", "r"), "edges")
         drop_stored(edges)
         edges = new
-    leaders = open_
-    for hit in joined:
-        leaders = leaders.join(hit.select(F.col("r").alias("key")), "key", "left_anti")
-    leaders = stored(leaders, "leaders")
+    hits = reduce(DataFrame.union, joined).toDF("key") if joined else open_.select("key").limit(0)
+    leaders = stored(_meet(open_, hits, "key", "left_anti"), "leaders")
     heads = leaders.select(F.col("key").alias("r"), F.col("seq").alias("pos"), F.lit(1).alias("late"))
-    mine = leaders.select("key", "seq", F.lit(True).alias("leads"))
     # what a name may join: the roster's names, and leaders before it, itself where it comes again
     again = leaders.where(F.size(_tokens(F.col("key"))) > 0).select(F.col("key").alias("l"), F.col("key").alias("r"), F.lit(100).alias("score"))
-    options = pairs.select("l", "r", "score").union(pairs.select(F.col("r").alias("l"), F.col("l").alias("r"), "score")).union(again).join(heads, "r")
+    options = _meet(pairs.select("l", "r", "score").union(pairs.select(F.col("r").alias("l"), F.col("l").alias("r"), "score")).union(again), heads, "r")
     # names that match the roster may score higher with a leader
-    also = similar(known.select(F.col("l").alias("key")).distinct(), leaders, threshold).join(heads, "r").select("r", "l", "score", "pos", "late")
-    options = options.select("r", "l", "score", "pos", "late").union(also).union(known.join(r.select(F.col("key").alias("r"), "pos"), "r").select("r", "l", "score", "pos", F.lit(0)))
-    met = t.join(options, F.col("key") == F.col("l")).where("late = 0 or pos < seq")
+    also = _meet(similar(names(near, "l"), leaders, threshold), heads, "r").select("r", "l", "score", "pos", "late")
+    options = options.select("r", "l", "score", "pos", "late").union(also).union(_meet(known, r.select(F.col("key").alias("r"), "pos"), "r").select("r", "l", "score", "pos", F.lit(0)))
+    met = _meet(t, options, F.col("key") == F.col("l")).where("late = 0 or pos < seq")
     best = met.groupBy("seq").agg(F.min_by("r", F.struct(-F.col("score"), "late", "pos")).alias("r"), F.max("score").alias("score"))
     ids = r.select(F.col("key").alias("r"), "name", "entity_id", F.lit(0).alias("late"))
     fresh = lambda key, seq: F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", F.lower(key), seq.cast("string")).cast("binary"), 256), 1, 16))
-    own = leaders.join(t.select("seq", "target"), "seq").select(F.col("key").alias("r"), F.col("target").alias("name"), fresh(F.col("key"), F.col("seq")).alias("entity_id"), F.lit(1).alias("late"))
-    named = ids.union(own.join(ids.select("r"), "r", "left_anti")).drop("late")
-    out = t.join(best, "seq", "left").join(named, "r", "left")
+    own = _meet(leaders, t.select("seq", "target"), "seq").select(F.col("key").alias("r"), F.col("target").alias("name"), fresh(F.col("key"), F.col("seq")).alias("entity_id"), F.lit(1).alias("late"))
+    named = ids.union(_meet(own, ids.select("r"), "r", "left_anti")).drop("late")
+    out = _meet(_meet(t, best, "seq", "left"), named, "r", "left")
     new = F.col("entity_id").isNull()
     return out.select("target", "seq", "name", F.coalesce("entity_id", fresh(F.coalesce("key", F.lit("")), F.col("seq"))).alias("entity_id"), "score", new.alias("is_new"))
 
@@ -299,4 +305,4 @@ def ids_to_teams(line_ups: DataFrame, roster: DataFrame, threshold: int = THRESH
     """(entity_id, team) of the registered names that the line-ups' names join, in the order in which they first occur; the last name of an id decides."""
     named = line_up_teams(line_ups)
     found = register(named.select("target", "seq"), roster, threshold).where("not is_new")
-    return found.join(named.select("seq", "team"), "seq").groupBy("entity_id").agg(F.max_by("team", "seq").alias("team"))
+    return _meet(found, named.select("seq", "team"), "seq").groupBy("entity_id").agg(F.max_by("team", "seq").alias("team"))

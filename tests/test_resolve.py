@@ -132,3 +132,20 @@ def test_line_ups_to_ids_to_teams(spark):
     # two names join one player: the later one decides
     assert {r["entity_id"]: r["team"] for r in resolve.ids_to_teams(line_ups, roster).collect()} == {"1": "D", "2": "B"}
     assert resolve.ids_to_teams(line_ups.limit(0), roster).select(F.count("*")).first()[0] == 0
+
+
+def test_exploded_names_are_never_broadcast(spark):
+    names = _keys(spark, [f"{a} {b}" for a, b in zip(_names(random.Random(3), 200, 20)[0], "abcdefghijklmnop" * 20)])
+    broad = lambda df: "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    assert not broad(resolve.candidates(names, names, 80))
+    assert not broad(resolve.register(names.select(F.col("key").alias("target"), F.monotonically_increasing_id().alias("seq")), spark.createDataFrame([("Ann Lee", "a", 1)], "name string, entity_id string, pos int")))
+
+
+def test_names_of_the_roster_are_not_compared_further(spark, monkeypatch):
+    seen, whole = [], resolve.similar
+    monkeypatch.setattr(resolve, "similar", lambda a, b, threshold: seen.append((threshold, a.count())) or whole(a, b, threshold))
+    roster = [("Ann Lee", "a", 1), ("Bob Stone", "b", 2), ("Ann Maria Lee", "c", 3), ("x" * 150 + " " + "y" * 60, "d", 4)]
+    targets = [("lee ann", 1), ("Bob Stone", 2), ("Bob Stones", 3), ("maria lee", 4), ("Cy Young", 5), ("Cy Youn", 6), ("x" * 150 + " " + "y" * 59, 7), ("Bob Stonez", 8)]
+    got = resolve.register(spark.createDataFrame(targets, "target string, seq int"), spark.createDataFrame(roster, "name string, entity_id string, pos int")).collect()
+    assert sorted((r["seq"], r["name"], r["score"]) for r in got) == _sequential(targets, roster, 80)
+    assert seen[:2] == [(100, 8), (80, 4)]
