@@ -376,8 +376,14 @@ def fit_poisson(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 50) -
     return b, mean, scale
 
 
-def poisson_predict(df: DataFrame, key: str, features: list[str], label: str, folds: int | None, penalty: float = 0.1, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(key, prediction) by Poisson regressions that have not seen the row: one a fold, or one a row where ``folds`` is None."""
+def poisson_predict(df: DataFrame, key: str, features: list[str], label: str, folds: int | None, penalty: float = 0.1, fit_rows: int = FIT_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """(key, prediction) by Poisson regressions that have not seen the row: one a fold, or one a row where ``folds`` is None.
+
+    With folds, the columns ``keep`` go with their rows, so that nothing need be joined to them.
+    """
+    keep = keep or []
+    if keep and folds is None:
+        raise ValueError("columns are kept with folds only; join by key where each row is left out")
     rows = fit_sample(df, key, features, label, folds, fit_rows, classify=False)
     kind = df.schema[key].dataType.simpleString()
 
@@ -413,7 +419,9 @@ def poisson_predict(df: DataFrame, key: str, features: list[str], label: str, fo
                 fill, (b, mean, scale) = fitted[f]
                 at = fold == f
                 out[at] = np.exp((filled(x[at], fill) - mean) / scale @ b[:-1] + b[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[key, "prediction"])
+            kept = [batch.column(2 + len(features) + i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *kept], names=[key, "prediction", *keep])
 
-    used = df.select(key, fold_of(F.col(key), folds).alias("__fold"), *(F.col(f).cast("double").alias(f) for f in features))
-    return used.mapInArrow(many, f"`{key}` {kind}, prediction double")
+    used = df.select(key, fold_of(F.col(key), folds).alias("__fold"), *(F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)), *keep)
+    kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return used.mapInArrow(many, f"`{key}` {kind}, prediction double{kinds}")

@@ -51,15 +51,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items whose customer and supplier are of two nations of one region: small sides are left to the optimiser."""
+    """Line items whose customer and supplier are of two nations of one region: small sides are left to the optimiser.
+
+    Orders meet customers before line items meet either, so line items are shuffled by order alone (and by
+    supplier, where suppliers are many); nations come last, as only their keys need to travel.
+    """
     t = lambda n: read(spark, sf_dir, n)
-    n = t("nation")
-    home = t("customer").select("c_custkey", "c_nationkey").join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("home"), F.col("n_regionkey").alias("grp")), "c_nationkey")
-    away = t("supplier").select("s_suppkey", "s_nationkey").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("away"), F.col("n_regionkey").alias("a_grp")), "s_nationkey")
-    o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = t("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(home, F.col("o_custkey") == F.col("c_custkey")).join(away, F.col("l_suppkey") == F.col("s_suppkey"))
+    nation = lambda key, name, region: t("nation").select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name), F.col("n_regionkey").alias(region))
+    home = t("customer").select("c_custkey", "c_nationkey")
+    away = t("supplier").select("s_suppkey", "s_nationkey")
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(home, F.col("o_custkey") == F.col("c_custkey"))
+    lines = t("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(away, F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey <> s_nationkey")
+    lines = lines.join(nation("c_nationkey", "home", "grp"), "c_nationkey").join(nation("s_nationkey", "away", "a_grp"), "s_nationkey")
     goals = lambda c, m: (F.floor(c) % m).cast("bigint")
-    return lines.where("c_nationkey <> s_nationkey and grp = a_grp").select(
+    return lines.where("grp = a_grp").select(
         F.col("o_orderdate").alias("d"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
         F.col("l_extendedprice").alias("xp"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"), "grp", "home", "away",
         goals("l_quantity", 5).alias("hg"), goals("l_extendedprice", 4).alias("ag"),
@@ -73,9 +78,9 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches with eh, ea (ratings) and result. Teams are nations, a table of fixed size."""
+    """Matches with eh, ea (ratings) and result. Teams are nations, a table of fixed size; the optimiser knows only that of the customers behind it."""
     r = ratings(spark, sf_dir)
-    side = lambda t, e: r.select(F.col("team").alias(t), F.col("elo").alias(e))
+    side = lambda t, e: F.broadcast(r.select(F.col("team").alias(t), F.col("elo").alias(e)))
     m = matchup(spark, sf_dir).join(side("home", "eh"), "home").join(side("away", "ea"), "away")
     return m.withColumn("result", F.signum(F.col("hg") - F.col("ag")).cast("int"))
 

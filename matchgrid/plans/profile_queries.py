@@ -9,6 +9,7 @@ from matchgrid.functions import dates, nested, numbers, text
 from matchgrid.operators import dataset, events, forest, merge, profile, resolve
 from matchgrid.plans.base import POSITION, games, r6, read
 from matchgrid.sources import readers
+from matchgrid.sources.stored import stored
 
 
 def _players(spark, sf):
@@ -408,8 +409,8 @@ def q47_rf_cv(spark, sf):
 
 
 def q48_poisson_glm(spark, sf):
-    rows = _model_rows(spark, sf)
-    met = forest.poisson_predict(rows, "id", _MODEL_FEATURES, "goals", 3, fit_rows=FIT_ROWS).join(rows.select("id", "goals"), "id")
+    rows = stored(_model_rows(spark, sf).select("id", *_MODEL_FEATURES, "goals"), "games")  # the sample and the predictions read it
+    met = forest.poisson_predict(rows, "id", _MODEL_FEATURES, "goals", 3, fit_rows=FIT_ROWS, keep=["goals"])
     return met.agg(F.count("*").alias("n"), F.avg(F.abs(numbers.clamp(F.col("prediction"), 0.05, 6.0) - F.col("goals"))).alias("mae"))
 
 

@@ -205,3 +205,16 @@ def test_reports_can_be_written(spark, sf, tmp_path):
     assert len(set(report.columns)) == len(report.columns)
     report.write.parquet(str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report")).count() == model_queries._pairings(spark, sf).count()
+
+
+def test_poisson_predictions_keep_columns_with_their_rows(spark):
+    df = _rows(spark, 60)
+    got = {r["id"]: (r["prediction"], r["goals"]) for r in forest.poisson_predict(df, "id", FEATURES, "goals", 3, keep=["goals"]).collect()}
+    plain = {r["id"]: r["prediction"] for r in forest.poisson_predict(df, "id", FEATURES, "goals", 3).collect()}
+    assert {k: p for k, (p, _) in got.items()} == plain
+    assert {k: g for k, (_, g) in got.items()} == {r["id"]: r["goals"] for r in df.collect()}
+    both = forest.poisson_predict(df, "id", FEATURES, "goals", 3, keep=[FEATURES[0], "goals"])
+    assert both.columns == ["id", "prediction", FEATURES[0], "goals"]
+    assert sorted(map(str, both.drop("prediction").collect())) == sorted(map(str, df.select("id", FEATURES[0], "goals").collect()))
+    with pytest.raises(ValueError, match="kept with folds"):
+        forest.poisson_predict(df, "id", FEATURES, "goals", None, keep=["goals"])
