@@ -100,6 +100,7 @@ def values_at(rows: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataF
     few are left; only those are sorted, after what lies below them has been counted. No task
     holds a group. A sketch is off by a ten-thousandth of its values at most, a window reaches
     a 256th beyond the rank. Null keys are a group of their own; groups without values have no row.
+    The result reads one small stored table; ``drop_stored(result)`` frees it once the result is taken.
     """
     rows = rows.where("value is not null")
     same = lambda a, b: reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in by], F.lit(True))
@@ -138,7 +139,9 @@ def values_at(rows: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataF
     beneath = F.coalesce(F.col("value").cast("double") < F.col("__low"), F.lit(False))
     left = met.select(*(state[c].alias(c) for c in (*keys, "__k")), F.when(~beneath, rows["value"]).alias("value")).groupBy(*keys, "__k", "value").agg(F.count("*").alias("__c"))
     upto = F.sum("__c").over(W.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    return left.withColumn("__upto", upto).where("__upto > __k and value is not null").groupBy(*keys).agg(F.min("value").alias("value"))
+    out = left.withColumn("__upto", upto).where("__upto > __k and value is not null").groupBy(*keys).agg(F.min("value").alias("value"))
+    out.stored_at = state.stored_at
+    return out
 
 
 def upper_median(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ import corpus_pipeline as cp
 import duckdb
 import numpy as np
 import public_tokenizers
-from matchgrid.llm import common, mixing, packing, secrets
+import pyarrow as pa
+from matchgrid.llm import common, language, mixing, packing, secrets
 from matchgrid.llm.queries import QUERIES
 from tokenizers import Tokenizer
 
@@ -187,3 +188,33 @@ def test_stages_take_nulls_ties_repeats_long_texts_and_clashing_names(spark, sf)
     assert [secrets.MASK in r["text"] for r in kept["secrets"] if r["doc_id"] == 6] == [True]
     pieces = cp.STAGES[-1][1](spark, docs, sf).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept["mixing"]}
+
+
+def test_cutoffs_come_from_every_labelled_document(spark):
+    """Exact quantiles over all beginnings, by one plain pass; a few documents that a sample would rarely hold move them."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    some = spark.createDataFrame([(10**9 + i, "en", "the of and to xqzjv kwpyq " * 3 + "zqxj vkwq jzxq " * 40) for i in range(40)], docs.schema)
+    both = docs
+    for _ in range(4):
+        both = both.union(docs)  # 5,000 documents and more
+    both = both.union(some)
+    model = language.profiles(both)
+    judge = language._judge(model, language.PROFILE, 0, ["lang_pred", "score"])
+    scores, seen = {}, {}
+    for r in both.where("lang is not null and text is not null").collect():
+        for k in cp.LENGTHS:
+            if len(r["text"]) >= 1 << k:
+                front = r["text"][: 1 << k]
+                if front not in seen:
+                    batch = next(judge(iter([pa.RecordBatch.from_arrays([pa.array([front])], names=["text"])])))
+                    seen[front] = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+                pred, score = seen[front]
+                if pred == r["lang"]:
+                    scores.setdefault((pred, k), []).append(score)
+    low = {g: float(np.quantile(v, cp.QUANTILE)) for g, v in scores.items()}
+    got = cp.score_cutoffs(both, model)
+    assert set(got) == {(lang, k) for lang in model for k in cp.LENGTHS}
+    for (lang, k), cut in got.items():
+        own = [q for (l, j), q in low.items() if j <= k and l == lang] or [q for (_, j), q in low.items() if j <= k]
+        assert abs(cut - max(cp.MIN_SCORE, cp.FACTOR * min(own, default=0.0))) < 1e-12
