@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 import re
@@ -186,3 +187,45 @@ def test_bigrams(spark):
     words = licences.words_of(df.line)
     assert df.select(words, licences.bigrams(words)).first()[:] == (["gnu", "gpl-3.0", "v3"], ["gnu gpl-3.0", "gpl-3.0 v3"])
     assert re.fullmatch("[a-z]+", "".join(licences.FAMILIES))
+
+
+def _held_out(docs, half):
+    """All windows with words of a half of the documents that templates do not confirm, plainly."""
+    from pyspark.sql import functions as F
+
+    mine = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)) == half).select("text").collect()
+    words = [_words(p) for r in mine for p in _paragraphs(r["text"])]
+    windows = [w[at : at + 64] for w in words if w for at in range(0, max(1, len(w) - 34), 30)]
+    return [w for w in windows if not _brute(" ".join(w), None, None, trust=True)[1]]
+
+
+def test_every_window_of_every_document_counts(spark):
+    """The unknown windows' exact counts of features, and cutoffs that thousands of documents' held-out windows exceed by their share."""
+    rng = random.Random(3)
+    telling = [w for n in licences.NOTICES["gpl"] for w in _words(n)] + "river boat bank people rain year town day".split() * 3
+    rows = [(i, " ".join(rng.sample(telling, 12))) for i in range(4200)] + [(5000, None), (5001, " \n\n ... \n\n" + "long " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = functools.cache(HashingTF(numFeatures=licences.FEATURES).indexOf)
+    features = lambda w: {at(x) for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]}
+    made, lines, n = licences._unknown(docs, "text", 0, licences._counter, "test")
+    windows = _held_out(docs, 0)
+    known = {tuple(r["line"].split(" ")): r["n"] for r in lines.collect()}
+    want = {}
+    for w in windows:
+        for f in features(w) if tuple(w) not in known else ():
+            want[f] = want.get(f, 0) + 1
+    got = {}
+    for r in made.where("i >= 0").collect():
+        got[r["i"] % licences.FEATURES] = got.get(r["i"] % licences.FEATURES, 0) + r["n"]
+    assert got == want and n == len(windows) > 2000
+
+    model, cutoffs = licences.train(docs)
+    windows = _held_out(docs, 1)
+    spare = len(windows) - min(len(windows), math.ceil((len(windows) + 1) * (1 - licences.MISS)))
+    weights, first, above = model.coefficientMatrix.toArray(), model.interceptVector.toArray(), 0
+    z = [first + weights[:, sorted(features(w))].sum(axis=1) for w in windows]
+    for i in range(len(licences.FAMILIES)):
+        p = sorted((1 / (1 + math.exp(x[-1] - x[i])) for x in z), reverse=True)[spare]
+        assert cutoffs[i] == pytest.approx(p, abs=1e-9) if p > cutoffs[i] - 1e-9 else cutoffs[i] >= licences.FLOOR
+        above += p > cutoffs[i] - 1e-9
+    assert above and spare
