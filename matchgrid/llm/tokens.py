@@ -14,9 +14,8 @@ that model and of no published tokenizer.
 from __future__ import annotations
 
 import math
-from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import public_tokenizers
@@ -31,7 +30,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = -10.0
 #: Entries of a worker's cache of word counts; it is emptied when full.
 WORD_CACHE = 500_000
-#: Nodes of a worker's trie (about 150 bytes each); a larger one is dropped before the next slice of words.
+#: Nodes of a worker's trie (about 200 bytes each); a larger one is dropped before the next slice of words.
 TRIE_NODES = 500_000
 SLICE = 2_000
 #: Longer words are scored along their path alone and leave no nodes.
@@ -54,15 +53,15 @@ class PrefixCounter:
     """A trie of words with the forward state of each prefix: its best score, and the fewest tokens that reach it."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: Each end of a piece -> the score of the piece that it is, or None: what is no end of a piece has no longer one before it.
+        self.ends: dict[str, float | None] = dict.fromkeys(p[i:] for p in scores for i in range(1, len(p))) | scores
         self.floor = min(scores.values(), default=0.0) + UNKNOWN_PENALTY
         self.nodes = 0
         self._plant()
 
     def _plant(self) -> None:
         self.children: dict[int, int] = {}  # node << 21 | code point -> node
-        self.score, self.tokens = array("d", [0.0]), array("q", [0])
+        self.score, self.tokens = [0.0], [0]
 
     def count(self, words: list[str]) -> dict[str, int]:
         found = {}
@@ -74,34 +73,44 @@ class PrefixCounter:
         return found
 
     def _insert(self, full: str) -> int:
-        children, node, path = self.children, 0, [0]
+        children, scores, tokens, node, path = self.children, self.score, self.tokens, 0, [0]
         for end, c in enumerate(full, 1):
             key = node << 21 | ord(c)
             node = children.get(key, 0)
             if not node:
-                score, n = self._state(full, end, [(self.score[i], self.tokens[i]) for i in path[-self.longest :]])
-                node = children[key] = len(self.score)
-                self.score.append(score)
-                self.tokens.append(n)
+                score, n = self._state(full, end, scores, tokens, path)
+                node = children[key] = len(scores)
+                scores.append(score)
+                tokens.append(n)
             path.append(node)
-        return self.tokens[node]
+        return tokens[node]
 
     def _along(self, full: str) -> int:
-        states = [(0.0, 0)]
-        for end in range(1, len(full) + 1):
-            states = [*states[-self.longest :], self._state(full, end, states[-self.longest :])]
-        return states[-1][1]
-
-    def _state(self, full: str, end: int, states: list[tuple[float, int]]) -> tuple[float, int]:
-        """The best (score, tokens) of the prefix that ends here, of the states before it; the fewer tokens where scores tie."""
+        scores, tokens, path = [0.0], [0], range(len(full) + 1)
+        for end in path[1:]:
+            score, n = self._state(full, end, scores, tokens, path)
+            scores.append(score)
+            tokens.append(n)
+        return tokens[-1]
+
+    def _state(self, full: str, end: int, scores: list[float], tokens: list[int], path: Sequence[int]) -> tuple[float, int]:
+        """The best (score, tokens) of the prefix that ends here, of the states along ``path`` before it; the fewer tokens where scores tie."""
         self.nodes += 1
-        score, n = states[-1]
-        best, fewest = score + self.floor, n + len(full[end - 1].encode("utf-8", "surrogatepass"))
-        get = self.scores.get
-        for start, (score, n) in enumerate(states, end - len(states)):
-            s = get(full[start:end])
-            if s is not None and (score + s > best or score + s == best and n + 1 < fewest):
-                best, fewest = score + s, n + 1
+        start = end - 1
+        at = path[start]
+        best, fewest = scores[at] + self.floor, tokens[at] + len(full[start].encode("utf-8", "surrogatepass"))
+        ends = self.ends
+        while start >= 0:
+            piece = full[start:end]
+            if piece not in ends:
+                break
+            s = ends[piece]
+            if s is not None:
+                at = path[start]
+                score, n = scores[at] + s, tokens[at] + 1
+                if score > best or score == best and n < fewest:
+                    best, fewest = score, n
+            start -= 1
         return best, fewest
 
 

@@ -74,3 +74,20 @@ def test_one_batch_of_new_words_stays_within_bounds(monkeypatch):
     counter._insert = watched
     words = [f"w{i:05}" for i in range(400)]
     assert counter.count(words) == {w: _brute(w) for w in words} and most[0] < 300 + 10 * 8
+
+
+def test_only_ends_of_pieces_are_looked_up():
+    """What ends no piece ends the search of a prefix's last pieces, with the same counts."""
+    counter = tokens.PrefixCounter(SCORES)
+    looked = []
+
+    class Watched(dict):
+        def __contains__(self, piece):
+            looked.append(piece)
+            return super().__contains__(piece)
+
+    counter.ends = Watched(counter.ends)
+    words = ["zqxjzqxjzqxjzqxj", "interesting", "qqqq日本qqqq", "🙂"]
+    assert counter.count(words) == {w: _brute(w) for w in words}
+    pairs = sum(len(w) * (len(w) + 3) // 2 + 1 for w in words)
+    assert counter.nodes <= len(looked) < pairs / 2
