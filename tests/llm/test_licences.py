@@ -229,3 +229,28 @@ def test_every_window_of_every_document_counts(spark):
         assert cutoffs[i] == pytest.approx(p, abs=1e-9) if p > cutoffs[i] - 1e-9 else cutoffs[i] >= licences.FLOOR
         above += p > cutoffs[i] - 1e-9
     assert above and spare
+
+
+def test_windows_that_a_model_doubts_are_kept_as_their_features(spark):
+    """Each once, of windows with and without repeated words, as vectors and not as text; the other windows as exact counts by their smallest feature."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("river boat bank people rain year town day zoë 日本 a-b 3.0 license public".split(), k=rng.choice([1, 2, 9, 64, 130])))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = functools.cache(HashingTF(numFeatures=licences.FEATURES).indexOf)
+    windows = [sorted({at(x) for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]}) for w in _held_out(docs, 0)]
+    draws = licences.np.random.default_rng(1)
+    weights, intercepts = draws.normal(size=(licences.FEATURES, 2)), draws.normal(size=2) - 5
+    hard = [w for w in windows if (weights[w].sum(axis=0) + intercepts > 0).any()]
+    want = {}
+    for w in (w for w in windows if w not in hard):
+        group = min(w[0], licences.GROUPS - 1)
+        for i in (-1 - group, *(group * licences.FEATURES + f for f in w)):
+            want[i] = want.get(i, 0) + 1
+    _, lines, n = licences._unknown(docs, "text", 0, licences._counter, "test")
+    made, same, again = licences._unknown(docs, "text", 0, lambda signs: licences._counter(signs, weights, intercepts), "test", lines)
+    assert same is lines and lines.count() == 0 and again == n == len(windows) and 0 < len(hard) < n
+    assert sorted(list(r["x"]["indices"]) for r in made.where("x is not null").collect()) == sorted(hard)
+    got = {}
+    for r in made.where("i is not null and n > 0").collect():
+        got[r["i"]] = got.get(r["i"], 0) + r["n"]
+    assert got == want and made.where("line is not null").count() == 0
