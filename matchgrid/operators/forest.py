@@ -5,21 +5,25 @@ to fit on are bounded (``fit_rows``) and sent to every worker; the work is dealt
 trees of a fold each, and every unit is a function of the rows, the fold and the tree numbers
 alone, so a lost executor costs its units and joint fits equal fits one by one. Models come
 back as a table with a row a node; rows of any number are scored, or explained by Shapley
-values, against it.
+values, against it. Poisson regressions of folds are fitted on all rows, which stay where they are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchgrid.functions.numbers import values_at
+from matchgrid.sources.stored import drop_stored
+
 #: Rows that one fit takes, at most.
 FIT_ROWS = 1500
 #: Trees that one unit of work grows.
@@ -376,30 +380,121 @@ def fit_poisson(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 50) -
     return b, mean, scale
 
 
+def fold_medians(rows: DataFrame, columns: dict[str, int], folds: int) -> dict[int, dict[int, float]]:
+    """fold -> place -> the median over the rows of all other folds of ``columns`` (name -> place) of ``rows(__fold, ...)``, exact; nothing where a fold's others have no value."""
+    out: dict[int, dict[int, float]] = {f: {} for f in range(folds)}
+    if not columns:
+        return out
+    value = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    each = rows.select("__fold", F.inline(F.array(*(F.struct(F.lit(i).alias("place"), value(c).alias("value")) for c, i in columns.items()))))
+    others = F.filter(F.array(*map(F.lit, range(folds))), lambda f: f != F.col("__fold"))
+    middle = values_at(each.select(F.explode(others).alias("fold"), "place", "value"), ["fold", "place"], {"lower": F.floor((F.col("n") - 1) / 2), "upper": F.floor(F.col("n") / 2)})
+    for r in middle.groupBy("fold", "place").agg(F.avg("value").alias("median")).collect():
+        out[r["fold"]][r["place"]] = r["median"]
+    drop_stored(middle)
+    return out
+
+
+def _fold_sums(rows: DataFrame, folds: list[int], fill: dict[int, np.ndarray], each: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> dict[int, np.ndarray]:
+    """fold -> what ``each`` (features, labels, fold) gives, added up over all labelled rows of the other folds of ``rows(__fold, label, features)``.
+
+    A task gives a row a fold; those are added up in the order of the partitions, so that a repeated run gives the same sums.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, y, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(float), _matrix(batch, 2, batch.num_columns - 2)
+            for f in folds:
+                inside = at != f
+                if inside.any():
+                    found = each(filled(x[inside], fill[f]), y[inside], f)
+                    total[f] = total[f] + found if f in total else found
+        part = TaskContext.get().partitionId()
+        made = [pa.array(list(total), pa.int32()), pa.array([part] * len(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(made, names=["fold", "part", "sums"])
+
+    parts = rows.mapInArrow(run, "fold int, part int, sums array<double>").select("fold", "part", F.posexplode("sums").alias("i", "v"))
+    ordered = F.sort_array(F.collect_list(F.struct("part", "v")))
+    sums = parts.groupBy("fold", "i").agg(F.aggregate(ordered, F.lit(0.0), lambda a, s: a + s["v"]).alias("v"))
+    out: dict[int, list] = {}
+    for r in sums.collect():
+        out.setdefault(r["fold"], []).append((r["i"], r["v"]))
+    return {f: np.array([v for _, v in sorted(found)]) for f, found in out.items()}
+
+
+def fit_poisson_folds(rows: DataFrame, features: int, folds: int, penalty: float, steps: int = 50) -> dict[int, tuple]:
+    """fold -> (medians, (coefficients, means, scales)): what ``fit_poisson`` gives for all labelled rows of the other folds, whatever their number.
+
+    ``rows(__fold, label, features)`` are read once for counts and twice for moments, more often where values are missing, and
+    once a Newton step for all folds together; give a stored table. A fold whose others have no labelled row has no model.
+    """
+    known = rows.where(F.col(rows.columns[1]).isNotNull())
+    names = rows.columns[2:]
+    # a row to predict may lack what no row to fit on lacks
+    lacking = rows.agg(*(F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in names)).first() if names else {}
+    middle = fold_medians(known, {c: i for i, c in enumerate(names) if lacking[c]}, folds)
+    fill = {f: np.array([middle[f].get(i, 0.0) for i in range(features)], float) for f in range(folds)}
+
+    first = _fold_sums(known, list(range(folds)), fill, lambda x, y, f: np.concatenate(([len(x), y.sum()], x.sum(axis=0))))
+    n = {f: s[0] for f, s in first.items()}
+    mean = {f: s[2:] / s[0] for f, s in first.items()}
+    squares = _fold_sums(known, list(n), fill, lambda x, y, f: ((x - mean[f]) ** 2).sum(axis=0)) if features else {}
+    scale = {f: np.sqrt(squares[f] / n[f]) if features else np.zeros(0) for f in n}
+    scale = {f: np.where(s > 1e-12 * np.abs(mean[f]), s, 1.0) for f, s in scale.items()}
+    ridge = np.append(np.full(features, penalty), 0.0)
+
+    def step_sums(at: dict[int, np.ndarray]) -> dict[int, tuple]:
+        """fold -> (loss, slope, bend) of the coefficients ``at``."""
+
+        def each(x: np.ndarray, y: np.ndarray, f: int) -> np.ndarray:
+            z = np.column_stack(((x - mean[f]) / scale[f], np.ones(len(x))))
+            eta = z @ at[f]
+            mu = np.exp(np.minimum(eta, 700))
+            return np.concatenate(([(mu - y * eta).sum()], z.T @ (mu - y), ((z * mu[:, None]).T @ z).ravel()))
+
+        k = features + 1
+        sums = {f: s / n[f] for f, s in _fold_sums(known, list(at), fill, each).items()}
+        return {f: (s[0] + (ridge * at[f] * at[f]).sum() / 2, s[1 : k + 1] + ridge * at[f], s[k + 1 :].reshape(k, k) + np.diag(ridge + 1e-12)) for f, s in sums.items()}
+
+    b = {f: np.append(np.zeros(features), math.log(max(first[f][1] / n[f], 1e-9))) for f in n}
+    now = step_sums(b) if n else {}
+    size = dict.fromkeys(n, 1.0)
+    for _ in range(steps):
+        open_ = [f for f in n if np.abs(now[f][1]).max() > 1e-10 and size[f] > 1e-8]
+        if not open_:
+            break
+        tried = {f: b[f] - size[f] * np.linalg.solve(now[f][2], now[f][1]) for f in open_}
+        for f, new in step_sums(tried).items():
+            if new[0] <= now[f][0] + 1e-12 * max(1.0, abs(now[f][0])):  # sums round
+                b[f], now[f], size[f] = tried[f], new, 1.0
+            else:
+                size[f] /= 2
+    return {f: (fill[f], (b[f], mean[f], scale[f])) for f in n}
+
+
 def poisson_predict(df: DataFrame, key: str, features: list[str], label: str, folds: int | None, penalty: float = 0.1, fit_rows: int = FIT_ROWS, keep: list[str] | None = None) -> DataFrame:
     """(key, prediction) by Poisson regressions that have not seen the row: one a fold, or one a row where ``folds`` is None.
 
-    With folds, the columns ``keep`` go with their rows, so that nothing need be joined to them.
+    With folds, each regression is fitted on all rows of the other folds, ``df`` is read some ten times (give a stored table), and the
+    columns ``keep`` go with their rows, so that nothing need be joined to them. ``fit_rows`` bounds the rows where each is left out.
     """
     keep = keep or []
     if keep and folds is None:
         raise ValueError("columns are kept with folds only; join by key where each row is left out")
-    rows = fit_sample(df, key, features, label, folds, fit_rows, classify=False)
     kind = df.schema[key].dataType.simpleString()
 
-    def model(fold: int):
-        inside = rows.folds != fold
-        fill = medians(rows.x[inside])
-        return fill, fit_poisson(filled(rows.x[inside], fill), rows.y[inside, 0], penalty)
-
-    def predicted(x: np.ndarray, fold: int) -> np.ndarray:
-        fill, (b, mean, scale) = model(fold)
-        return np.exp((filled(x, fill) - mean) / scale @ b[:-1] + b[-1])
-
     if folds is None:
+        rows = fit_sample(df, key, features, label, None, fit_rows, classify=False)
         if len(rows.keys) < 2:
             return df.select(key, F.lit(0.0).alias("prediction")).limit(0)
 
+        def predicted(x: np.ndarray, fold: int) -> np.ndarray:
+            inside = rows.folds != fold
+            fill = medians(rows.x[inside])
+            b, mean, scale = fit_poisson(filled(rows.x[inside], fill), rows.y[inside, 0], penalty)
+            return np.exp((filled(x, fill) - mean) / scale @ b[:-1] + b[-1])
+
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.column(0).to_pylist()
@@ -408,20 +503,22 @@ def poisson_predict(df: DataFrame, key: str, features: list[str], label: str, fo
         names = df.sparkSession.createDataFrame(list(enumerate(rows.keys)), f"fold int, `{key}` {kind}")
         return _units(df, list(range(len(rows.keys))), 1).mapInArrow(one, "fold int, prediction double").join(names, "fold").select(key, "prediction")
 
+    fold = fold_of(F.col(key), folds).alias("__fold")
+    numbered = [F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)]
+    models = fit_poisson_folds(df.select(fold, F.col(label).cast("double").alias("__y"), *numbered), len(features), folds, penalty)
+
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = {}
         for batch in batches:
             fold, x = batch.column(1).to_numpy(), _matrix(batch, 2, len(features))
-            out = np.zeros(len(x))
+            out = np.full(len(x), math.nan)
             for f in np.unique(fold).tolist():
-                if f not in fitted:
-                    fitted[f] = model(f)
-                fill, (b, mean, scale) = fitted[f]
-                at = fold == f
-                out[at] = np.exp((filled(x[at], fill) - mean) / scale @ b[:-1] + b[-1])
+                if f in models:
+                    fill, (b, mean, scale) = models[f]
+                    at = fold == f
+                    out[at] = np.exp((filled(x[at], fill) - mean) / scale @ b[:-1] + b[-1])
             kept = [batch.column(2 + len(features) + i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *kept], names=[key, "prediction", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, from_pandas=True), *kept], names=[key, "prediction", *keep])
 
-    used = df.select(key, fold_of(F.col(key), folds).alias("__fold"), *(F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)), *keep)
+    used = df.select(key, fold, *numbered, *keep)
     kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return used.mapInArrow(many, f"`{key}` {kind}, prediction double{kinds}")

@@ -218,3 +218,22 @@ def test_poisson_predictions_keep_columns_with_their_rows(spark):
     assert sorted(map(str, both.drop("prediction").collect())) == sorted(map(str, df.select("id", FEATURES[0], "goals").collect()))
     with pytest.raises(ValueError, match="kept with folds"):
         forest.poisson_predict(df, "id", FEATURES, "goals", None, keep=["goals"])
+
+
+def test_poisson_fits_of_folds_are_of_all_rows(spark):
+    df = _rows(spark, forest.FIT_ROWS + 700, seed=8)
+    some = df.withColumn("goals", F.when(F.col("id") != "r007", F.col("goals")))  # a row without a label is predicted only
+    got = {r["id"]: r["prediction"] for r in forest.poisson_predict(some, "id", FEATURES, "goals", 3).collect()}
+    rows = some.withColumn("fold", forest.fold_of(F.col("id"), 3)).collect()
+    assert len(got) == len(rows) == forest.FIT_ROWS + 700
+    x = np.array([[math.nan if r[c] is None else r[c] for c in FEATURES] for r in rows])
+    y, folds = np.array([math.nan if r["goals"] is None else r["goals"] for r in rows]), np.array([r["fold"] for r in rows])
+    for f in range(3):
+        inside = (folds != f) & ~np.isnan(y)
+        fill = forest.medians(x[inside])
+        b, mean, scale = forest.fit_poisson(forest.filled(x[inside], fill), y[inside], 0.1)
+        want = np.exp((forest.filled(x[folds == f], fill) - mean) / scale @ b[:-1] + b[-1])
+        assert [got[r["id"]] for r in rows if r["fold"] == f] == pytest.approx(want.tolist(), rel=1e-9)
+    alone = forest.poisson_predict(df.limit(1), "id", FEATURES, "goals", 3).collect()
+    assert len(alone) == 1 and alone[0]["prediction"] is None
+    assert forest.poisson_predict(df.limit(0), "id", FEATURES, "goals", 3).count() == 0
