@@ -5,7 +5,8 @@ to fit on are bounded (``fit_rows``) and sent to every worker; the work is dealt
 trees of a fold each, and every unit is a function of the rows, the fold and the tree numbers
 alone, so a lost executor costs its units and joint fits equal fits one by one. Models come
 back as a table with a row a node; rows of any number are scored, or explained by Shapley
-values, against it. Poisson regressions of folds are fitted on all rows, which stay where they are.
+values, against it. Poisson regressions of folds, and forests by
+``fit_all``, are fitted on all rows, which stay where they are.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchgrid.functions.numbers import values_at
-from matchgrid.sources.stored import drop_stored
+from matchgrid.sources.stored import drop_stored, stored
 
 #: Rows that one fit takes, at most.
 FIT_ROWS = 1500
@@ -352,6 +355,114 @@ def shapley_ranking(df: DataFrame, key: str, features: list[str], label: str, ho
     return found.select("feature", "importance", F.row_number().over(W.orderBy(F.desc("importance"), "feature")).alias("place"))  # a row a feature
 
 
+def drawn(key: Column, tree: Column, seed: int) -> Column:
+    """How often a tree's bootstrap draws a row: Poisson with mean 1 by hash of the key, whatever the table's size or order."""
+    u = F.shiftrightunsigned(F.xxhash64(key.cast("string"), tree.cast("int"), F.lit(seed)), 11) * F.lit(2.0**-53)
+    upto = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)]).tolist()
+    return reduce(Column.__add__, [(u >= c).cast("long") for c in upto])
+
+
+def _best_cuts(level: DataFrame, features: int, weights: list[float], how: Growth) -> DataFrame:
+    """(tree, node, s): the best cut of each node of ``level(tree, node, c, w, m, __x, __b)``, if any, as ``_best_cut`` finds it, over rows of any number.
+
+    Values are added up first; running sums are taken in a bucket (``__b``) and over the buckets, so no task sorts a node. Columns
+    are tried in an order by hash, more only where none of the first can be cut.
+    """
+    k = range(len(weights))
+    keys = ["tree", "node", "feature"]
+    each = level.select("tree", "node", "c", "w", "m", F.inline(F.array(*(F.struct(F.lit(i).alias("feature"), F.col(f"__x{i}").alias("value"), F.col(f"__b{i}").alias("bucket")) for i in range(features)))))
+    values = each.groupBy(*keys, "bucket", "value").agg(F.sum("m").alias("m"), *(F.sum(F.when(F.col("c") == i, F.col("w")).otherwise(0)).alias(f"w{i}") for i in k))
+    counts = ["m", *(f"w{i}" for i in k)]
+    inside = W.partitionBy(*keys, "bucket").orderBy("value")
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    running = values.select(*keys, "bucket", "value", F.lead("value").over(inside).alias("next"), *(F.sum(c).over(upto).alias(c) for c in counts))
+    buckets = values.groupBy(*keys, "bucket").agg(F.min("value").alias("first"), *(F.sum(c).alias(c) for c in counts))
+    across = W.partitionBy(*keys).orderBy("bucket")
+    before, whole = across.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    sums = [x for c in counts for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}"), F.sum(c).over(whole).alias(f"all_{c}"))]
+    met = running.join(buckets.select(*keys, "bucket", F.lead("first").over(across).alias("after"), *sums), [*keys, "bucket"])
+    met = met.select(*keys, "value", F.coalesce("next", "after").alias("next"), *(F.col(f"all_{c}").alias(f"all_{c}") for c in counts), *((F.col(f"before_{c}") + F.col(c)).alias(c) for c in counts))
+    low = [F.col(f"w{i}") * weights[i] for i in k]
+    high = [(F.col(f"all_w{i}") - F.col(f"w{i}")) * weights[i] for i in k]
+    total = lambda parts: reduce(Column.__add__, parts)
+    gain = total([a * a for a in low]) / total(low) + total([a * a for a in high]) / total(high)
+    middle = (F.col("value") + F.col("next")) / 2
+    cut = F.when(middle < F.col("next"), middle).otherwise(F.col("value"))
+    ok = F.col("next").isNotNull() & (F.col("m") >= how.leaf) & (F.col("all_m") - F.col("m") >= how.leaf)
+    found = met.groupBy(*keys).agg(F.max(F.when(ok, F.struct(gain.alias("gain"), (-cut).alias("low"), F.col("m").alias("m"), F.array(*(f"w{i}" for i in k)).alias("w")))).alias("best"))
+    place = F.row_number().over(W.partitionBy("tree", "node").orderBy(F.xxhash64("tree", "node", "feature", F.lit(how.seed)), "feature"))
+    tried = how.columns or max(1, int(math.sqrt(features)))
+    turn = found.select(*keys, "best", F.floor((place - 1) / tried).alias("turn")).where("best is not null")
+    return turn.groupBy("tree", "node").agg(F.max(F.struct((-F.col("turn")).alias("turn"), "best.gain", "best.low", (-F.col("feature")).alias("feature"), "best.m", "best.w")).alias("s"))
+
+
+def fit_all(df: DataFrame, key: str, features: list[str], label: str, how: Growth = Growth()) -> tuple[DataFrame, np.ndarray, list]:
+    """(nodes, medians, classes) of a forest fitted on all labelled rows, whatever their number; nodes as ``NODE_SCHEMA``, fold -1.
+
+    Trees grow a level at a time, all at once, by exact cuts; rows of a tree with equal features and class are one row. Only the
+    nodes reach the driver. Bootstraps are Poisson draws by key. ``df`` is read some five times: give a stored table.
+    """
+    known = df.where(F.col(label).isNotNull())
+    y = F.col(label).cast("double")
+    n = {r["y"]: r["n"] for r in known.groupBy(y.alias("y")).agg(F.count("*").alias("n")).collect()}
+    if not n:
+        raise ValueError(f"no row has a {label} to fit on")
+    classes = sorted(n)
+    weights = [sum(n.values()) / (len(n) * n[c]) if how.balanced else 1.0 for c in classes]
+    xs = [f"__x{i}" for i in range(len(features))]
+    raw = known.select(F.lit(-1).alias("__fold"), *(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(x) for f, x in zip(features, xs, strict=True)))
+    found = fold_medians(raw, {x: i for i, x in enumerate(xs)}, 1)[0]
+    fill = np.array([found.get(i, 0.0) for i in range(len(xs))], float)
+    whole = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(float(v))).alias(x) for f, x, v in zip(features, xs, fill, strict=True)]
+    c = (F.array_position(F.array(*map(F.lit, classes)), y) - 1).cast("int").alias("c")
+    used = known.select(F.col(key).alias("__key"), c, *whole)
+    grids = used.agg(*(F.percentile_approx(x, [i / 256 for i in range(1, 256)], 1000).alias(x) for x in xs)).first() if xs else {}  # they only part the work
+    each = used.select("*", F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree")).withColumn("__w", drawn(F.col("__key"), F.col("tree"), how.seed)).where("__w > 0")
+    bag = stored(each.groupBy("tree", "c", *xs).agg(F.sum("__w").alias("w"), F.count("*").alias("m")), "bag")
+
+    tops: dict[int, tuple] = {}
+    for r in bag.groupBy("tree", "c").agg(F.sum("w").alias("w"), F.sum("m").alias("m")).collect():
+        w, m = tops.get(r["tree"], ([0] * len(classes), 0))
+        tops[r["tree"]] = [a + (r["w"] if i == r["c"] else 0) for i, a in enumerate(w)], m + r["m"]
+    # a tree that drew nothing is a leaf of all rows
+    trees = {t: [[-1, 0.0, -1, -1, *tops.get(t, ([n[c] for c in classes], 0))]] for t in range(how.trees)}
+
+    def cuttable(node: list, depth: int) -> bool:
+        return bool(xs) and depth < how.depth and node[5] >= 2 * how.leaf and sum(v > 0 for v in node[4]) > 1
+
+    level = bag
+    if xs:
+        splits = [[-math.inf, *(sorted({v + 0.0 for v in grids[x] if math.isfinite(v)}) or [0.0]), math.inf] for x in xs]
+        level = Bucketizer(splitsArray=splits, inputCols=xs, outputCols=[f"__b{i}" for i in range(len(xs))]).transform(bag)
+    open_ = [(t, None, None, None, 0, None) for t in trees if cuttable(trees[t][0], 0)]
+    for depth in range(how.depth):
+        if not open_:
+            break
+        to = df.sparkSession.createDataFrame(open_, "tree int, above int, feature int, cut double, left int, right int")
+        if depth == 0:
+            level = level.join(F.broadcast(to.select("tree", F.col("left").alias("node"))), "tree")
+        else:
+            met = level.withColumnRenamed("node", "above").join(F.broadcast(to), ["tree", "above"])
+            side = F.when(F.get(F.array(*xs), F.col("feature")) <= F.col("cut"), F.col("left")).otherwise(F.col("right"))
+            level = met.select(*bag.columns, *(f"__b{i}" for i in range(len(xs))), side.alias("node")).where("node is not null")
+        open_ = []
+        for r in sorted(_best_cuts(level, len(xs), weights, how).collect(), key=lambda r: (r["tree"], r["node"])):
+            tree, s = trees[r["tree"]], r["s"]
+            me, left = tree[r["node"]], len(tree)
+            me[:4] = -s["feature"], -s["low"], left, left + 1
+            tree += [[-1, 0.0, -1, -1, list(s["w"]), s["m"]], [-1, 0.0, -1, -1, [a - b for a, b in zip(me[4], s["w"], strict=True)], me[5] - s["m"]]]
+            on = [i if cuttable(tree[i], depth + 1) else None for i in (left, left + 1)]
+            if on != [None, None]:
+                open_.append((r["tree"], r["node"], me[0], me[1], *on))
+    drop_stored(bag)
+    made = []
+    for t, tree in trees.items():
+        for i, (feature, cut, left, right, counts, _) in enumerate(tree):
+            held = [float(a * b) for a, b in zip(counts, weights, strict=True)]
+            made.append((-1, t, i, feature, cut, left, right, sum(held), [v / sum(held) for v in held]))
+    return df.sparkSession.createDataFrame(made, NODE_SCHEMA), fill, classes
+
+
 def fit_poisson(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(coefficients with the intercept last, means, scales): the mean Poisson loss with a log link and half ``penalty`` times the squares, on z-scores; Newton's method."""
     mean, scale = x.mean(axis=0), x.std(axis=0)

@@ -9,6 +9,7 @@ from matchgrid.operators import backtest, dataset, forest, models, predictions,
 from matchgrid.plans.base import MATCHES_SQL, matchup, r6, ratings
 from matchgrid.plans.profile_queries import _MODEL_FEATURES, FIT_ROWS, _model_rows
 from matchgrid.plans.team_queries import _profiles
+from matchgrid.sources.stored import drop_stored, stored
 
 _SMALL = forest.Growth(trees=20, depth=4)
 
@@ -108,12 +109,12 @@ def q89_poisson_loo(spark, sf):
 def q90_match_report(spark, sf):
     """Every pairing's report: Elo, Poisson and the forest of all games side by side."""
     m = _pairings(spark, sf)
-    rows = _model_rows(spark, sf).persist()
-    fitted = forest.fit_sample(rows, "id", ["eh", "ea"], "y", 1, FIT_ROWS)
-    nodes = forest.fit_forests(rows, fitted, _SMALL)
+    rows = stored(_model_rows(spark, sf).select("id", "eh", "ea", "y"), "games")
+    nodes, fill, classes = forest.fit_all(rows, "id", ["eh", "ea"], "y", _SMALL)
+    drop_stored(rows)
     asked = m.select("match", "elo_home", "elo_away", F.col("elo_home").alias("eh"), F.col("elo_away").alias("ea"))
-    p = forest.apply(asked, "match", ["eh", "ea"], nodes, forest.medians(fitted.x), fitted.classes)
-    return simulate.reports(m.select(F.col("match").alias("match_id"), "elo_home", "elo_away"), p.select(F.col("match").alias("match_id"), *predictions.shares([c - 1 for c in fitted.classes], F.col("p"))))
+    p = forest.apply(asked, "match", ["eh", "ea"], nodes, fill, classes)
+    return simulate.reports(m.select(F.col("match").alias("match_id"), "elo_home", "elo_away"), p.select(F.col("match").alias("match_id"), *predictions.shares([c - 1 for c in classes], F.col("p"))))
 
 
 QUERIES = {

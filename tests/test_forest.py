@@ -237,3 +237,43 @@ def test_poisson_fits_of_folds_are_of_all_rows(spark):
     alone = forest.poisson_predict(df.limit(1), "id", FEATURES, "goals", 3).collect()
     assert len(alone) == 1 and alone[0]["prediction"] is None
     assert forest.poisson_predict(df.limit(0), "id", FEATURES, "goals", 3).count() == 0
+
+
+def test_forests_of_all_rows_equal_plain_trees(spark):
+    n = forest.FIT_ROWS + 300
+    df = _rows(spark, n, seed=4).withColumn("y", F.when(F.col("id") != "r005", F.col("y")))
+    how = forest.Growth(trees=3, depth=4, leaf=3, columns=3)
+    nodes, fill, classes = forest.fit_all(df, "id", FEATURES, "y", how)
+    (trees,) = forest._packed(nodes).values()
+    draws = [forest.drawn(F.col("id"), F.lit(t), how.seed).alias(f"w{t}") for t in range(3)]
+    rows = df.where("y is not null").select("*", *draws).collect()
+    x = np.array([[math.nan if r[c] is None else r[c] for c in FEATURES] for r in rows])
+    y = np.array([r["y"] for r in rows])
+    assert len(rows) == n - 1 and classes == sorted(set(y)) and fill.tolist() == forest.medians(x).tolist()
+    x, t = forest.filled(x, fill), (y[:, None] == np.array(classes)[None, :]).astype(float)
+    w = t @ (len(y) / (len(classes) * t.sum(axis=0)))
+    for i, tree in enumerate(trees):
+        times = np.array([r[f"w{i}"] for r in rows])
+        assert 0.9 < times.mean() < 1.1 and 0.58 < (times > 0).mean() < 0.68
+        on = times > 0
+        plain = forest.grow_tree(x[on], t[on], (w * times)[on], how, np.random.default_rng(0))
+        assert len(plain) == len(tree) > 5 and tree[0][4] == pytest.approx((w * times).sum())
+        own, other = (np.array([v[5] for v in found])[forest.descend(x[on], found)] for found in (tree, plain))
+        assert own == pytest.approx(other)
+    again = forest.fit_all(df.repartition(7), "id", FEATURES, "y", how)[0]
+    assert sorted(map(str, again.collect())) == sorted(map(str, nodes.collect()))
+
+
+def test_forests_of_all_rows_have_leaves_and_one_class(spark):
+    df = spark.createDataFrame([(f"r{i}", 1.0, None, 2.0) for i in range(30)], "id string, a double, b double, y double")
+    nodes, fill, classes = forest.fit_all(df, "id", ["a", "b"], "y", SMALL)
+    assert classes == [2.0] and fill.tolist() == [1.0, 0.0] and nodes.count() == SMALL.trees and nodes.where("feature >= 0").count() == 0
+    with pytest.raises(ValueError, match="to fit on"):
+        forest.fit_all(df.limit(0), "id", ["a"], "y", SMALL)
+
+
+def test_match_reports_fit_all_games(spark, sf, monkeypatch):
+    asked = ("match_id", "model_home", "model_draw", "model_away")
+    got = sorted(map(str, model_queries.q90_match_report(spark, sf).select(*asked).collect()))
+    monkeypatch.setattr(model_queries, "FIT_ROWS", 40)  # bounds no fit of the report
+    assert sorted(map(str, model_queries.q90_match_report(spark, sf).select(*asked).collect())) == got
